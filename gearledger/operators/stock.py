@@ -23,14 +23,13 @@ equipment never becomes one task. Each round is written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import settle
+from ..session import new_path, settle
 from .numbering import SLICE_BITS, running_total
 from .rejects import Decision, first_refusal, refuse
 
@@ -81,31 +80,38 @@ def _server() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
 
 def _rounds(lines: DataFrame) -> DataFrame:
     """Decide lines (request_id, seq, equipment_id, quantity, capacity) round by round."""
-    waiting = lines
-    verdicts: list[DataFrame] = []
+    spark = lines.sparkSession
+    folder = new_path(spark, "rounds")
+    waiting, number = lines, 0
     while True:
-        judged = (
-            _ahead(waiting, "quantity", "ahead")
+        never = waiting.groupBy("request_id").agg(
+            F.max(F.col("quantity") > F.col("capacity")).alias("_never")
+        )
+        judged = waiting.join(never, "request_id")
+        sure = (
+            _ahead(judged.where("NOT _never"), "quantity", "ahead")
             .groupBy("request_id")
-            .agg(
-                F.max(F.col("quantity") > F.col("capacity")).alias("_never"),
-                F.max(F.col("ahead") + F.col("quantity") > F.col("capacity")).alias("_unsure"),
-            )
-            .select(
-                "request_id",
-                F.when(F.col("_never"), False).when(~F.col("_unsure"), True).alias("served"),
-            )
+            .agg(F.min(F.col("ahead") + F.col("quantity") <= F.col("capacity")).alias("_sure"))
+        )
+        # served: true, false, or NULL while undecided
+        state = judged.join(sure, "request_id", "left").select(
+            *waiting.columns,
+            F.when(F.col("_never"), False).when(F.col("_sure"), True).alias("served"),
         )
-        state = settle(waiting.join(judged, "request_id"))
-        verdicts.append(state.where("served IS NOT NULL").select("request_id", "served").distinct())
+        path = f"{folder}/round={number}"
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
         open_lines = state.where("served IS NULL").drop("served")
         if open_lines.isEmpty():
-            return reduce(DataFrame.unionByName, verdicts)
+            break
         used = state.where("served").groupBy("equipment_id").agg(F.sum("quantity").alias("_used"))
         waiting = open_lines.join(used, "equipment_id", "left").select(
             "request_id", "seq", "equipment_id", "quantity",
             (F.col("capacity") - F.coalesce("_used", F.lit(0))).alias("capacity"),
         )
+        number += 1
+    rounds = spark.read.schema(state.schema).parquet(f"{folder}/round=*")
+    return rounds.where("served IS NOT NULL").select("request_id", "served").distinct()
 
 
 def allocate(
