@@ -156,7 +156,7 @@ def _(t: RentalTables) -> DataFrame:
 
 @query("fl3_equipment_by_make_and_mount")
 def _(t: RentalTables) -> DataFrame:
-    return lookups.equipment_by_make(t["equipments"], "Brand#4", "SMALL", "RF")
+    return lookups.equipment_by_make(t["equipments"], "Brand#17", "ECONOMY", "Z")
 
 
 @query("fl4_customers_by_status")
@@ -724,6 +724,8 @@ for _name, _table, _key, _codes in ID_TRIGGERS:
 # table -> {column: expression that both engines evaluate}.
 BROKEN: dict[str, dict[str, str]] = {
     "customers": {
+        "customer_id": "CASE WHEN customer_id % 100 = 11 THEN customer_id + 1"
+                       " WHEN customer_id % 100 = 13 THEN NULL ELSE customer_id END",
         "email": "CASE WHEN customer_id % 90 = 0 THEN 'same@example.com' ELSE email END",
         "status": "CASE WHEN customer_id % 70 = 1 THEN 'BLOCKED' ELSE status END",
         "phone": "CASE WHEN customer_id % 110 = 2 THEN NULL ELSE phone END",

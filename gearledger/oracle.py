@@ -196,7 +196,7 @@ _add("fl3_equipment_by_make", ("equipments",),
      "SELECT equipment_id, brand, model, mount_type FROM equipments WHERE brand = 'Brand#17'")
 _add("fl3_equipment_by_make_and_mount", ("equipments",),
      """SELECT equipment_id, brand, model, mount_type FROM equipments
-        WHERE brand = 'Brand#4' AND model = 'SMALL' AND mount_type = 'RF'""")
+        WHERE brand = 'Brand#17' AND model = 'ECONOMY' AND mount_type = 'Z'""")
 _add("fl4_customers_by_status", ("customers",),
      "SELECT customer_id, full_name, status FROM customers WHERE status = 'INACTIVE'")
 _add("fl5_customers_in_box", ("customers",),
