@@ -41,19 +41,23 @@ def with_codes(df: DataFrame, order: str, **codes: tuple[str, int, int]) -> Data
     ).drop("_n")
 
 
-def valid_tax(taxes: DataFrame, as_of: str) -> DataFrame:
-    """The tax in force: active, clock within validity, latest start first, then lowest id."""
+def valid_tax(taxes: DataFrame, as_of: str) -> Column:
+    """The tax in force as one (tax_id, tax_rate) value, NULL if there is none.
+
+    Active, clock within validity, latest start first, then lowest id. It is a scalar
+    subquery: one aggregated row, evaluated once, and no join.
+    """
     now = C.clock(as_of)
-    pick = F.struct((-F.unix_micros(F.col("effective_from").cast("timestamp"))).alias("o"),
-                    "tax_id", "tax_rate")
+    rank = F.struct(
+        (-F.unix_micros(F.col("effective_from").cast("timestamp"))).alias("start"), "tax_id"
+    )
     return (
         taxes.where(
             (F.col("is_active") == 1)
             & now.between(F.col("effective_from"), F.col("effective_to"))
         )
-        .agg(F.min(pick).alias("t"))
-        .where(F.col("t").isNotNull())
-        .select("t.tax_id", "t.tax_rate")
+        .agg(F.min_by(F.struct("tax_id", "tax_rate"), rank).alias("tax"))
+        .scalar()
     )
 
 
@@ -168,13 +172,14 @@ def invoice_drafts(
     charges = fees.rental_charges(rentals, items, returns, equipments, as_of)
     shipping = fees.shipping_fees(rentals, shops, customers).frame
     used = deposits.groupBy("rental_id").agg(F.sum("deposit_amount").alias("deposit_used"))
-    tax = F.broadcast(valid_tax(taxes, as_of))  # one row at most: an aggregate without keys
     priced = (
         charges.join(shipping.drop("distance_km"), "rental_id")
         .join(used, "rental_id", "left")
-        .join(tax, F.lit(True), "left")
+        .withColumn("_tax", valid_tax(taxes, as_of))
         .withColumns(
             {
+                "tax_id": F.col("_tax.tax_id"),
+                "tax_rate": F.col("_tax.tax_rate"),
                 "rental_amount": C.money(F.col("rental_amount")),
                 "late_fee": C.money(F.col("late_fee")),
                 "damage_fee": C.money(F.col("damage_fee")),
@@ -204,7 +209,7 @@ def invoice_drafts(
             ),
         )
     )
-    return Decision(priced.drop("tax_rate"), "rental_id")
+    return Decision(priced.drop("tax_rate", "_tax"), "rental_id")
 
 
 INVOICE_AMOUNTS = (

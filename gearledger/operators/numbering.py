@@ -80,12 +80,13 @@ def dense_number_by_time(df: DataFrame, time: str, key: str, out: str) -> DataFr
     sliced = df.withColumns(
         {
             "_day": F.to_date(time),
-            "_high": F.shiftright(key, SLICE_BITS),
+            "_high": F.shiftright(key, 2 * SLICE_BITS),
+            "_mid": F.shiftright(key, SLICE_BITS),
             "_one": F.lit(1),
         }
     )
-    numbered = running_total(sliced, [], ["_day", time, "_high", key], "_one", out)
-    return numbered.withColumn(out, F.col(out) + 1).drop("_day", "_high", "_one")
+    numbered = running_total(sliced, [], ["_day", time, "_high", "_mid", key], "_one", out)
+    return numbered.withColumn(out, F.col(out) + 1).drop("_day", "_high", "_mid", "_one")
 
 
 def number_in_group(

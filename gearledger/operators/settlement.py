@@ -63,6 +63,7 @@ def overlapping_rentals(rentals: DataFrame, items: DataFrame) -> DataFrame:
     """
     held = (
         items.select("rental_id", "equipment_id")
+        .distinct()
         .join(
             rentals.where("status = 'BORROWING'").select(
                 "rental_id",
@@ -71,7 +72,6 @@ def overlapping_rentals(rentals: DataFrame, items: DataFrame) -> DataFrame:
             ),
             "rental_id",
         )
-        .distinct()
         .where("held_from < held_to")
     )
     timeline = (

@@ -86,25 +86,12 @@ def rental_details(
     equipments: DataFrame,
     ordered: bool = False,
 ) -> DataFrame:
-    """Rentals with customer, employee, items and equipment; rentals without items stay."""
-    lines = items.join(
-        equipments.select(
-            "equipment_id", "equipment_name", F.col("equipment_id").alias("_known")
-        ),
-        "equipment_id",
-        "left",
-    ).select(
-        "rental_id",
-        "rental_item_id",
-        F.col("_known").alias("equipment_id"),
-        "equipment_name",
-        "quantity",
-        "days",
-        "price_per_day",
-        "subtotal",
-        "item_status",
-    )
-    view = (
+    """Rentals with customer, employee, items and equipment; rentals without items stay.
+
+    Items are joined to rentals (both sides can be split if one rental is huge), and the
+    rentals without items are added; an outer join could not split its inner side.
+    """
+    heads = (
         rentals.select(
             "rental_id", "rental_code", "rental_type", F.col("status").alias("rental_status"),
             "total_amount", "deposit_required", "rental_date", "due_date", "return_date",
@@ -118,7 +105,23 @@ def rental_details(
             employees.select("employee_id", F.col("full_name").alias("employee_name")),
             "employee_id",
         )
-        .join(lines, "rental_id", "left")
+    )
+    lines = items.select(
+        "rental_id", "rental_item_id", "equipment_id", "quantity", "days", "price_per_day",
+        "subtotal", "item_status",
+    )
+    named = equipments.select(
+        "equipment_id", "equipment_name", F.col("equipment_id").alias("_known")
+    )
+    filled = (
+        lines.join(heads, "rental_id")
+        .join(named, "equipment_id", "left")
+        .withColumn("equipment_id", F.col("_known"))
+        .drop("_known")
+    )
+    used = items.select("rental_id").distinct()
+    view = filled.unionByName(
+        heads.join(used, "rental_id", "left_anti"), allowMissingColumns=True
     )
     return _sorted(
         view,

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.numbering import number_in_group
+from ..session import tune
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -334,6 +335,7 @@ class RentalTables:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
+        tune(spark)
         self.spark = spark
         self.folder = folder
         self._frames: dict[str, DataFrame] = {}
