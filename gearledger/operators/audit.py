@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .numbering import running_total, SLICE_BITS
+from .numbering import key_slices, running_total
 from .rejects import Decision, first_refusal, refuse
 
 # The wording of the audit log.
@@ -121,24 +121,22 @@ def fill_codes(
 
     ``codes`` maps a column to (prefix, pad); each column counts its own missing values.
     """
-    result = df.withColumns(
-        {
-            "_high": F.shiftright(order, 2 * SLICE_BITS),
-            "_mid": F.shiftright(order, SLICE_BITS),
-        }
+    gaps = {
+        f"_gap_{name}": F.col(name).isNull().cast("int") for name in codes
+    }
+    slices = key_slices(order)
+    counted = running_total(
+        df.withColumns({**slices, **gaps}),
+        [],
+        [*slices, order],
+        {f"_n_{name}": f"_gap_{name}" for name in codes},
     )
-    for name, (prefix, pad) in codes.items():
-        missing = F.col(name).isNull()
-        result = running_total(
-            result.withColumn("_gap", missing.cast("int")),
-            [],
-            ["_high", "_mid", order],
-            "_gap",
-            "_n",
-        ).withColumn(
-            name,
-            F.when(missing, C.code_text(prefix, F.col("_n") + start, pad)).otherwise(
-                F.col(name)
-            ),
+    filled = {
+        name: F.coalesce(
+            F.col(name), C.code_text(prefix, F.col(f"_n_{name}") + start, pad)
         )
-    return result.drop("_high", "_mid", "_gap", "_n")
+        for name, (prefix, pad) in codes.items()
+    }
+    return counted.withColumns(filled).drop(
+        *slices, *gaps, *[f"_n_{name}" for name in codes]
+    )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import settle
 from . import fees
-from .numbering import dense_number
+from .numbering import dense_number, top_key
 from .rejects import Decision, first_refusal, refuse
 
 # The written rule names a status the rental table does not allow; these are the states in
@@ -32,7 +33,8 @@ def first_of(commands: DataFrame, key: str) -> DataFrame:
 
 def with_codes(df: DataFrame, order: str, **codes: tuple[str, int, int]) -> DataFrame:
     """Add generated ids: ``name=(prefix, pad, last number in use)``."""
-    numbered = dense_number(df, order, "_n")
+    df = settle(df)
+    numbered = dense_number(df, order, "_n", top_key(df, order))
     return numbered.withColumns(
         {
             name: C.code_text(prefix, F.col("_n") + last, pad)

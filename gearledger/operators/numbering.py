@@ -10,7 +10,7 @@ a lost executor recomputes the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # A group up to this many rows may be sorted by one task.
@@ -22,17 +22,24 @@ COPY_BLOCK = 1_000_000
 
 
 def running_total(
-    df: DataFrame, group: list[str], levels: list[str], value: str, out: str
+    df: DataFrame, group: list[str], levels: list[str], totals: dict[str, str]
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over earlier rows of the same group.
+    """Add one column per entry ``out: value``: the sum of value over earlier rows of the group.
 
-    ``levels`` orders the group from coarse to fine and identifies a row inside it.
+    ``levels`` orders the group from coarse to fine and identifies a row inside it. The input
+    is read once per level, so an expensive one should be settled first.
     """
     result = df
-    offsets: list[Column] = []
-    for depth in range(len(levels) - 1):
+    depths = range(len(levels) - 1)
+
+    def sums(window: WindowSpec, columns: dict[str, str]) -> dict[str, Column]:
+        return {
+            name: F.coalesce(F.sum(value).over(window), F.lit(0))
+            for name, value in columns.items()
+        }
+
+    for depth in depths:
         keys = group + levels[: depth + 1]
-        offset = f"_{out}_{depth}"
         earlier = (
             Window.partitionBy(*(group + levels[:depth]))
             .orderBy(levels[depth])
@@ -40,53 +47,65 @@ def running_total(
         )
         steps = (
             df.groupBy(*keys)
-            .agg(F.sum(value).alias("_sum"))
-            .withColumn(offset, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], offset)
+            .agg(*[F.sum(value).alias(f"_sum_{out}") for out, value in totals.items()])
+            .withColumns(sums(earlier, {f"_{out}_{depth}": f"_sum_{out}" for out in totals}))
+            .select(
+                *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                *[f"_{out}_{depth}" for out in totals],
+            )
         )
         # NULL is a value of its own here, so no row is lost.
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         result = result.join(steps, same).drop(*[f"_k{i}" for i in range(len(keys))])
-        offsets.append(F.col(offset))
     earlier = (
         Window.partitionBy(*(group + levels[:-1]))
         .orderBy(levels[-1])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    total = F.coalesce(F.sum(value).over(earlier), F.lit(0))
-    for offset in offsets:
-        total = total + offset
-    return result.withColumn(out, total.cast("bigint")).drop(
-        *[f"_{out}_{depth}" for depth in range(len(levels) - 1)]
+    added = sums(earlier, totals)
+    for out in totals:
+        for depth in depths:
+            added[out] = added[out] + F.col(f"_{out}_{depth}")
+    return result.withColumns({out: total.cast("bigint") for out, total in added.items()}).drop(
+        *[f"_{out}_{depth}" for out in totals for depth in depths]
     )
 
 
-def dense_number(df: DataFrame, key: str, out: str, start: int | Column = 1) -> DataFrame:
-    """Number the rows ``start, start+1, ...`` in the order of a unique bigint key."""
-    begin = F.lit(start) if isinstance(start, int) else start
-    sliced = df.withColumns(
-        {
-            "_high": F.shiftright(key, 2 * SLICE_BITS),
-            "_mid": F.shiftright(key, SLICE_BITS),
-            "_one": F.lit(1),
-        }
-    )
-    numbered = running_total(sliced, [], ["_high", "_mid", key], "_one", out)
-    return numbered.withColumn(out, F.col(out) + begin).drop("_high", "_mid", "_one")
+def top_key(df: DataFrame, key: str) -> int:
+    """Largest value of a whole-number key (of a settled frame: a scan of one column)."""
+    return df.agg(F.max(key)).first()[0] or 0
+
+
+def key_slices(key: str, top: int | None = None) -> dict[str, Column]:
+    """Coarser levels above a bigint key, each with at most 2^20 values inside the next.
+
+    ``top``, the largest key, saves the levels that would have a single value.
+    """
+    slices = {}
+    if top is None or top >= 1 << 2 * SLICE_BITS:
+        slices["_high"] = F.shiftright(key, 2 * SLICE_BITS)
+    if top is None or top >= 1 << SLICE_BITS:
+        slices["_mid"] = F.shiftright(key, SLICE_BITS)
+    return slices
+
+
+def dense_number(df: DataFrame, key: str, out: str, top: int | None = None) -> DataFrame:
+    """Number the rows from 1 in the order of a unique bigint key."""
+    # The whole table is one group here: always at least one level above the rows.
+    slices = key_slices(key, top) or {"_mid": F.shiftright(key, SLICE_BITS // 2)}
+    sliced = df.withColumns({**slices, "_one": F.lit(1)})
+    numbered = running_total(sliced, [], [*slices, key], {out: "_one"})
+    return numbered.withColumn(out, F.col(out) + 1).drop(*slices, "_one")
 
 
-def dense_number_by_time(df: DataFrame, time: str, key: str, out: str) -> DataFrame:
+def dense_number_by_time(
+    df: DataFrame, time: str, key: str, out: str, top: int | None = None
+) -> DataFrame:
     """Number the rows from 1 in the order of (time, unique bigint key)."""
-    sliced = df.withColumns(
-        {
-            "_day": F.to_date(time),
-            "_high": F.shiftright(key, 2 * SLICE_BITS),
-            "_mid": F.shiftright(key, SLICE_BITS),
-            "_one": F.lit(1),
-        }
-    )
-    numbered = running_total(sliced, [], ["_day", time, "_high", "_mid", key], "_one", out)
-    return numbered.withColumn(out, F.col(out) + 1).drop("_day", "_high", "_mid", "_one")
+    slices = key_slices(key, top)
+    sliced = df.withColumns({"_day": F.to_date(time), **slices, "_one": F.lit(1)})
+    numbered = running_total(sliced, [], ["_day", time, *slices, key], {out: "_one"})
+    return numbered.withColumn(out, F.col(out) + 1).drop("_day", *slices, "_one")
 
 
 def number_in_group(
@@ -136,7 +155,7 @@ def _number_by_levels(
             levels.append(f"_s_{name}")
         levels.append(name)
     blocks = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumns(slices)
-    placed = running_total(blocks, group, levels, "_copies", "_before")
+    placed = running_total(blocks, group, levels, {"_before": "_copies"})
     # Copies are spread over the cluster in blocks before the rows are written out.
     starts = placed.select(
         *columns,

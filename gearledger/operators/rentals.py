@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..session import settle
 from . import billing
 from .checks import pair_refusal, traits
-from .numbering import SLICE_BITS, dense_number_by_time, running_total
+from .numbering import dense_number_by_time, key_slices, running_total, top_key
 from .rejects import Decision, first_refusal, refuse
 from .stock import allocate, inventory_after_return
 
@@ -88,12 +88,14 @@ def create_rentals(
         (F.col("_status") != "AVAILABLE", refuse("item_available", -20050)),
         (F.col("_stocked").isNull(), unknown),
     )
-    checked = priced.withColumns(
-        {
-            "_early": early,
-            "subtotal": C.money(F.col("quantity") * F.col("days") * F.col("price_per_day")),
-            "deposit": C.money(F.col("_unit") * F.col("quantity")),
-        }
+    checked = settle(
+        priced.withColumns(
+            {
+                "_early": early,
+                "subtotal": C.money(F.col("quantity") * F.col("days") * F.col("price_per_day")),
+                "deposit": C.money(F.col("_unit") * F.col("quantity")),
+            }
+        ).drop("_status", "_unit", "_customer", "_stocked")
     )
     sound = dense_number_by_time(
         checked.where("_early IS NULL").select(
@@ -103,6 +105,7 @@ def create_rentals(
         "rental_date",
         "request_id",
         "seq",
+        top_key(checked, "request_id"),
     )
     sound = settle(sound)
 
@@ -244,14 +247,15 @@ def rental_rows(created: NewRentals, as_of: str, last: int = 0) -> DataFrame:
 
 def item_rows(created: NewRentals, rentals: DataFrame, last: int = 0) -> DataFrame:
     """Item rows of the created rentals: main item first, then accessories by id."""
-    placed = created.lines.withColumns(
-        {
-            "_slice": F.shiftright("seq", SLICE_BITS),
-            "_kind": F.col("_at.kind"),
-            "_one": F.lit(1),
-        }
-    )
-    numbered = running_total(placed, [], ["_slice", "seq", "_kind", "equipment_id"], "_one", "_n")
+    slices = key_slices("seq")
+    placed = settle(
+        created.lines.withColumns(
+            {**slices, "_kind": F.col("_at.kind"), "_one": F.lit(1)}
+        )
+    )
+    numbered = running_total(
+        placed, [], [*slices, "seq", "_kind", "equipment_id"], {"_n": "_one"}
+    )
     return numbered.join(rentals.select("request_id", "rental_id"), "request_id").select(
         C.code_text("RI", F.col("_n") + 1 + last, 3).alias("rental_item_id"),
         "rental_id",

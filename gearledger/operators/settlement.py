@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import settle
 from .numbering import running_total
 
 
@@ -74,6 +75,7 @@ def overlapping_rentals(rentals: DataFrame, items: DataFrame) -> DataFrame:
         )
         .where("held_from < held_to")
     )
+    held = settle(held)
     timeline = (
         held.select(
             "equipment_id",
@@ -89,11 +91,7 @@ def overlapping_rentals(rentals: DataFrame, items: DataFrame) -> DataFrame:
         .withColumn("_day", F.to_date("at"))
     )
     counted = running_total(
-        running_total(timeline, ["equipment_id"], ["_day", "at"], "s", "starts_before"),
-        ["equipment_id"],
-        ["_day", "at"],
-        "e",
-        "ends_before",
+        timeline, ["equipment_id"], ["_day", "at"], {"starts_before": "s", "ends_before": "e"}
     )
     starts = counted.select("equipment_id", F.col("at").alias("held_to"), "starts_before")
     ends = counted.select(

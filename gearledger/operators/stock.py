@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import new_path, settle
-from .numbering import SLICE_BITS, running_total
+from .numbering import key_slices, running_total, top_key
 from .rejects import Decision, first_refusal, refuse
 
 # Lines of one equipment that may stream through one task.
@@ -39,17 +39,15 @@ STREAM_LINES = 2_000_000
 CONDITIONS = ("GOOD", "DAMAGED", "LOST")
 
 
-def _ahead(lines: DataFrame, value: str, out: str) -> DataFrame:
+def _ahead(lines: DataFrame, value: str, out: str, top: int) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier lines of the same equipment."""
-    sliced = lines.withColumns(
-        {
-            "_high": F.shiftright("seq", 2 * SLICE_BITS),
-            "_mid": F.shiftright("seq", SLICE_BITS),
-        }
-    )
+    slices = key_slices("seq", top)
     return running_total(
-        sliced, ["equipment_id"], ["_high", "_mid", "seq"], value, out
-    ).drop("_high", "_mid")
+        lines.withColumns(slices) if slices else lines,
+        ["equipment_id"],
+        [*slices, "seq"],
+        {out: value},
+    ).drop(*slices)
 
 
 def _server() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -82,6 +80,7 @@ def _rounds(lines: DataFrame) -> DataFrame:
     """Decide lines (request_id, seq, equipment_id, quantity, capacity) round by round."""
     spark = lines.sparkSession
     folder = new_path(spark, "rounds")
+    top = top_key(lines, "seq")
     waiting, number = lines, 0
     while True:
         never = waiting.groupBy("request_id").agg(
@@ -89,7 +88,7 @@ def _rounds(lines: DataFrame) -> DataFrame:
         )
         judged = waiting.join(never, "request_id")
         sure = (
-            _ahead(judged.where("NOT _never"), "quantity", "ahead")
+            _ahead(judged.where("NOT _never"), "quantity", "ahead", top)
             .groupBy("request_id")
             .agg(F.min(F.col("ahead") + F.col("quantity") <= F.col("capacity")).alias("_sure"))
         )
@@ -173,11 +172,13 @@ def allocate(
     # Order every probe against the units really taken before it.
     won = grouped.join(decided.where("served"), "request_id", "left_semi")
     asked = probes.groupBy("request_id", "seq", "equipment_id").agg(units)
-    rows = won.withColumn("_take", F.col("quantity")).unionByName(
-        asked.withColumn("_take", F.lit(0).cast("bigint"))
+    rows = settle(
+        won.withColumn("_take", F.col("quantity")).unionByName(
+            asked.withColumn("_take", F.lit(0).cast("bigint"))
+        )
     )
     probed = (
-        _ahead(rows, "_take", "_gone")
+        _ahead(rows, "_take", "_gone", top_key(rows, "seq"))
         .where("_take = 0")
         .join(capacity, "equipment_id", "left")
         .groupBy("request_id")
@@ -203,7 +204,7 @@ def rent_out(requests: DataFrame, inventory: DataFrame) -> Decision:
         ),
         (F.col("capacity").isNull(), refuse("stock_out", -1403)),
     )
-    checked = known.withColumn("_early", early).drop("capacity")
+    checked = settle(known.withColumn("_early", early).drop("capacity"))
     served = allocate(checked.where("_early IS NULL"), stock)
     decided = checked.join(served, "request_id", "left").withColumn(
         "refusal",
@@ -244,7 +245,7 @@ def take_back(commands: DataFrame, items: DataFrame, inventory: DataFrame) -> De
         (F.col("quantity").isNull(), refuse("stock_in", -1403)),
         (F.col("capacity").isNull(), refuse("stock_in", -1403)),
     )
-    checked = known.withColumn("_early", early).drop("capacity")
+    checked = settle(known.withColumn("_early", early).drop("capacity"))
     served = allocate(checked.where("_early IS NULL"), stock)
     decided = checked.join(served, "request_id", "left").withColumn(
         "refusal",
