@@ -341,25 +341,22 @@ def complete_rentals(
     """Complete running rentals: all items back as good, then an invoice unless one exists.
 
     A completion fails as a whole, so a rental whose invoice cannot be priced keeps its stock.
+    A repeated command finds the rental returned if the first one went through; otherwise it
+    is judged again, against what is left then (never more than before).
     """
     status = rentals.select("rental_id", F.col("status").alias("_status"))
-    asked = (
+    asked = settle(
         billing.first_of(commands.select("request_id", "rental_id"), "rental_id")
         .join(status, "rental_id", "left")
         .withColumn(
             "_early",
             first_refusal(
                 (F.col("_status").isNull(), refuse("complete_rental", -20001)),
-                (
-                    ~F.col("_status").isin(*COMPLETE_STATUSES) | F.col("_repeat"),
-                    refuse("complete_rental", -20002),
-                ),
+                (~F.col("_status").isin(*COMPLETE_STATUSES), refuse("complete_rental", -20002)),
             ),
         )
     )
-    open_commands = settle(
-        asked.where("_early IS NULL").select("request_id", "rental_id")
-    )
+    open_commands = asked.where("_early IS NULL").select("request_id", "rental_id", "_repeat")
     open_rentals = rentals.join(open_commands.select("rental_id"), "rental_id", "left_semi")
     billed = invoices.where("invoice_type = 'FINAL'").select("rental_id")
     drafts = billing.invoice_drafts(
@@ -373,30 +370,30 @@ def complete_rentals(
     )
     lines = (
         items.select("rental_id", "equipment_id", "quantity")
-        .join(open_commands, "rental_id")
+        .join(open_rentals.select("rental_id"), "rental_id", "left_semi")
         .join(stock, "equipment_id", "left")
     )
     unstocked = (
-        lines.where("capacity IS NULL")
-        .groupBy("request_id")
-        .agg(F.lit(True).alias("_unstocked"))
+        lines.where("capacity IS NULL").groupBy("rental_id").agg(F.lit(True).alias("_unstocked"))
     )
     known = settle(
-        open_commands.join(drafts, "rental_id", "left").join(unstocked, "request_id", "left")
-    )
-    queue = lines.select(
-        "request_id", F.col("request_id").alias("seq"), "equipment_id", "quantity"
-    ).join(
-        known.where("_unstocked IS NULL").select("request_id", "_draft"), "request_id"
-    )
-    served = allocate(
-        queue.where("_draft IS NULL"), stock, probes=queue.where("_draft IS NOT NULL")
+        open_commands.join(drafts, "rental_id", "left").join(unstocked, "rental_id", "left")
+    )
+    queue = lines.select("rental_id", "equipment_id", "quantity").join(
+        known.where("_unstocked IS NULL").select(
+            "rental_id",
+            "request_id",
+            F.col("request_id").alias("seq"),
+            (F.col("_draft").isNotNull() | F.col("_repeat")).alias("_probe"),
+        ),
+        "rental_id",
     )
-    decided = (
-        asked.join(known.drop("rental_id"), "request_id", "left")
+    served = allocate(queue.where("NOT _probe"), stock, probes=queue.where("_probe"))
+    judged = settle(
+        asked.join(known.drop("rental_id", "_repeat"), "request_id", "left")
         .join(served, "request_id", "left")
         .withColumn(
-            "refusal",
+            "_judged",
             F.coalesce(
                 F.col("_early"),
                 first_refusal(
@@ -406,15 +403,26 @@ def complete_rentals(
                 F.col("_draft"),
             ),
         )
+        .select("request_id", "rental_id", "_repeat", "_final", "_judged")
+    )
+    done = judged.where("NOT _repeat AND _judged IS NULL").select(
+        "rental_id", F.lit(True).alias("_done")
+    )
+    decided = judged.join(done, "rental_id", "left").withColumn(
+        "refusal",
+        F.coalesce(
+            first_refusal(
+                (F.col("_repeat") & F.col("_done"), refuse("complete_rental", -20002))
+            ),
+            F.col("_judged"),
+        ),
     )
     decision = Decision(
-        settle(
-            decided.select(
-                "request_id",
-                "rental_id",
-                F.when(F.col("refusal").isNull(), F.col("_final")).alias("final_amount"),
-                "refusal",
-            )
+        decided.select(
+            "request_id",
+            "rental_id",
+            F.when(F.col("refusal").isNull(), F.col("_final")).alias("final_amount"),
+            "refusal",
         ),
         "request_id",
     )

@@ -685,13 +685,13 @@ _COMPLETE_TABLES = (*_INVOICE_TABLES, "inventory_running", "invoices")
 _COMPLETE = """decided AS MATERIALIZED (
     SELECT c.request_id, c.rental_id AS asked_id, p.*,
            CASE WHEN p.rental_id IS NULL THEN 'complete_rental/-20001'
-                WHEN p.status NOT IN ('BORROWING', 'OVERDUE')
-                  OR row_number() OVER (PARTITION BY c.rental_id ORDER BY c.request_id) > 1
-                THEN 'complete_rental/-20002'
+                WHEN p.status NOT IN ('BORROWING', 'OVERDUE') THEN 'complete_rental/-20002'
                 WHEN EXISTS (SELECT 1 FROM rental_items i LEFT JOIN inventory_running v
                              ON v.equipment_id = i.equipment_id
                              WHERE i.rental_id = c.rental_id AND v.equipment_id IS NULL) THEN 'stock_in/-1403'
                 WHEN p.ship_code IS NOT NULL THEN 'shipping_fee/' || CAST(p.ship_code AS VARCHAR)
+                WHEN row_number() OVER (PARTITION BY c.rental_id ORDER BY c.request_id) > 1
+                THEN 'complete_rental/-20002'
            END AS verdict
     FROM rental_commands c LEFT JOIN priced p ON p.rental_id = c.rental_id)"""
 _add("sp10_complete_rental", _COMPLETE_TABLES,

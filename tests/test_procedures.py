@@ -192,7 +192,7 @@ def test_complete_rental_is_all_or_nothing(spark):
         [(e, q, 0, q, 0, 0, 0, T(2024, 1, 1), e) for e, q in rented.items()], schema("inventory", "string"))
     billed = {"R5", "R10"}
     invoices = frame(spark, [(r, "FINAL") for r in billed], "rental_id string, invoice_type string")
-    asked = [f"R{rng.randint(0, n + 2)}" for _ in range(60)]
+    asked = [f"R{rng.randint(0, n + 2)}" for _ in range(120)]
     _, _, returns = _fee_tables(spark)
     done = rentals.complete_rentals(
         frame(spark, list(enumerate(asked)), ASK), table, items, returns.where("false"),
@@ -201,15 +201,14 @@ def test_complete_rental_is_all_or_nothing(spark):
         invoices, seed_table(spark, "taxes"), AS_OF)
     state = {r.rental_id: (r.status, r.customer_id) for r in table.collect()}
     left, want = dict(rented), {}
-    seen = set()
+    returned = set()
     for request, rental in enumerate(asked):
         if rental not in state:
             want[request] = ("complete_rental", -20001)
             continue
-        if state[rental][0] not in ("BORROWING", "OVERDUE") or rental in seen:
+        if state[rental][0] not in ("BORROWING", "OVERDUE") or rental in returned:
             want[request] = ("complete_rental", -20002)
             continue
-        seen.add(rental)
         need = {}
         for _, r, e, q, _, _ in lines:
             if r == rental:
@@ -221,6 +220,7 @@ def test_complete_rental_is_all_or_nothing(spark):
         elif state[rental][1] == "C0099" and rental not in billed:
             want[request] = ("shipping_fee", -20023)
         else:
+            returned.add(rental)
             for e, q in need.items():
                 left[e] -= q
     assert codes(done.decision) == want
