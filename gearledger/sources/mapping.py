@@ -244,7 +244,8 @@ MAPPING: dict[str, str] = {
                     - deposit_used + CASE WHEN invoice_id % 50 = 0 THEN 1 ELSE 0 END
                     AS decimal(10,2)) AS final_amount,
                invoice_date, invoice_date + interval '7' day AS payment_due_date,
-               invoice_date AS created_at, 'FINAL' AS invoice_type, 'T0001' AS tax_id, rental_id
+               invoice_date AS created_at, 'FINAL' AS invoice_type,
+               CASE WHEN invoice_id % 10 = 0 THEN 'T0002' ELSE 'T0001' END AS tax_id, rental_id
         FROM {invoice_totals}""",
     "payments": """
         SELECT i.rental_item_id AS payment_id,
