@@ -611,7 +611,7 @@ def _(t: RentalTables) -> DataFrame:
 
 def _change(df: DataFrame, key: str, label: str) -> DataFrame:
     """A change set over a whole table: the key decides between insert, update and delete."""
-    op = F.element_at(F.array(F.lit("I"), F.lit("U"), F.lit("D")), (F.col(key) % 3 + 1).cast("int"))
+    op = F.element_at(F.array(F.lit("I"), F.lit("U"), F.lit("D")), (F.abs(key) % 3 + 1).cast("int"))
     return df.select(op.alias("op"), F.col(key).alias("record_id"), F.col(label).alias("label"))
 
 

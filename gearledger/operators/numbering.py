@@ -72,14 +72,14 @@ def running_total(
 
 
 def top_key(df: DataFrame, key: str) -> int:
-    """Largest value of a whole-number key (of a settled frame: a scan of one column)."""
-    return df.agg(F.max(key)).first()[0] or 0
+    """Largest size of a whole-number key (of a settled frame: a scan of one column)."""
+    return df.agg(F.max(F.abs(key))).first()[0] or 0
 
 
 def key_slices(key: str, top: int | None = None) -> dict[str, Column]:
     """Coarser levels above a bigint key, each with at most 2^20 values inside the next.
 
-    ``top``, the largest key, saves the levels that would have a single value.
+    ``top``, the largest size of a key, saves the levels that would have a single value.
     """
     slices = {}
     if top is None or top >= 1 << 2 * SLICE_BITS:

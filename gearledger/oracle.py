@@ -754,16 +754,16 @@ _add("tr1_check_new_items", ("rental_items", "equipments"),
 
 
 def _log(table: str, thing: str, label: str, key: str) -> str:
-    return f"""CASE {key} % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action,
+    return f"""CASE abs({key}) % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action,
         '{table.upper()}' AS table_name, CAST({key} AS VARCHAR) AS record_id, {NOW} AS action_time,
-        CASE {key} % 3 WHEN 0 THEN 'Inserted' WHEN 1 THEN 'Updated' ELSE 'Deleted' END
+        CASE abs({key}) % 3 WHEN 0 THEN 'Inserted' WHEN 1 THEN 'Updated' ELSE 'Deleted' END
             || ' {thing} ' || CAST({label} AS VARCHAR) AS description"""
 
 
 def _guarded(name: str, table: str, thing: str, label: str, key: str, source: str,
              guards: tuple[tuple[str, int], ...]) -> None:
     code = "CASE " + " ".join(
-        f"WHEN t.{key} % 3 = 2 AND EXISTS (SELECT 1 FROM {c} x WHERE x.{key} = t.{key}) THEN {n}"
+        f"WHEN abs(t.{key}) % 3 = 2 AND EXISTS (SELECT 1 FROM {c} x WHERE x.{key} = t.{key}) THEN {n}"
         for c, n in guards) + " END"
     _add(name, (table, *[c for c, _ in guards]),
          f"""SELECT action, table_name, record_id, action_time, description,
