@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the business rules.
-LATE_FEE_FACTOR = "1.5"
+LATE_FEE_FACTOR = 1.5
 EARTH_RADIUS_KM = 6371
 NEAR_KM, MIDDLE_KM, FAR_KM = 5, 10, 20
 NEAR_FEE, MIDDLE_FEE, FAR_FEE = 20000, 50000, 70000
@@ -19,6 +19,11 @@ SECONDS_PER_DAY = 86400
 # months_between counts a partial month in 31sts, so one month is 31 days of seconds.
 SECONDS_PER_MONTH = 31 * SECONDS_PER_DAY
 SECONDS_PER_YEAR = 12 * SECONDS_PER_MONTH
+# Seconds late that cost one daily price.
+SECONDS_PER_LATE_FEE = int(SECONDS_PER_DAY / LATE_FEE_FACTOR)
+
+# A stored amount has ten digits, two of them decimals.
+MONEY_LIMIT = 10**8
 
 
 def clock(as_of: str | dt.datetime) -> Column:
@@ -31,8 +36,29 @@ def dec(value: str | int, precision: int, scale: int) -> Column:
 
 
 def money(column: Column) -> Column:
-    """Round half away from zero to two decimals, as an assignment to a money column."""
-    return column.cast("decimal(10,2)")
+    """Round half away from zero to two decimals, as an assignment to a money column.
+
+    The type is wider than a stored amount: one amount that does not fit must not stop a job
+    over all of them. Where it would be stored, ``too_large`` turns it into a refusal.
+    """
+    return column.cast("decimal(20,2)")
+
+
+def too_large(*amounts: Column) -> Column:
+    """True if any amount has more digits than a stored one may have."""
+    over = F.lit(False)
+    for amount in amounts:
+        over = over | F.coalesce(F.abs(amount) >= MONEY_LIMIT, F.lit(False))
+    return over
+
+
+def stored(amount: Column) -> Column:
+    """The type of a stored amount, for amounts that passed ``too_large``."""
+    return amount.cast("decimal(10,2)")
+
+
+def line_total(quantity: Column, days: Column, price: Column) -> Column:
+    return money(quantity.cast("decimal(10,0)") * days.cast("decimal(10,0)") * price)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -74,12 +100,11 @@ def late_fee(due: Column, last_return: Column, daily_base: Column) -> Column:
     """Unrounded late fee: fractional days late * daily price of all items * 1.5."""
     late = seconds_between(due, last_return)
     fee = (
-        late.cast("decimal(12,0)")
-        * F.coalesce(daily_base, F.lit(0)).cast("decimal(16,2)")
-        * dec(LATE_FEE_FACTOR, 2, 1)
-        / dec(SECONDS_PER_DAY, 5, 0)
-    ).cast("decimal(28,9)")
-    return F.when(late > 0, fee).otherwise(dec(0, 28, 9))
+        late.cast("decimal(10,0)")
+        * F.coalesce(daily_base, F.lit(0)).cast("decimal(20,2)")
+        / dec(SECONDS_PER_LATE_FEE, 5, 0)
+    ).cast("decimal(30,8)")
+    return F.when(late > 0, fee).otherwise(dec(0, 30, 8))
 
 
 def damage_fee(condition: Column, percent: Column, quantity: Column, value: Column) -> Column:
@@ -99,7 +124,7 @@ def percent_of(amount: Column, rate: Column) -> Column:
 
 
 def floor_zero(amount: Column) -> Column:
-    return F.when(amount < 0, F.lit(0).cast("decimal(10,2)")).otherwise(amount)
+    return F.when(amount < 0, dec(0, 10, 2)).otherwise(amount)
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

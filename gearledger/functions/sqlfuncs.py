@@ -13,12 +13,12 @@ def register(spark: SparkSession, name: str = "equipment_value") -> str:
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(
             price DECIMAL(10,2), rate DECIMAL(5,2),
             purchased TIMESTAMP_NTZ, as_of TIMESTAMP_NTZ)
-        RETURNS DECIMAL(10,2)
+        RETURNS DECIMAL(20,2)
         RETURN CAST(greatest(
             CAST(0 AS DECIMAL(10,2)),
             price - price * rate
                 * CAST(round(months_between(as_of, purchased, false) * {SECONDS_PER_MONTH})
                        AS DECIMAL(12,0))
-                / CAST({SECONDS_PER_YEAR} AS DECIMAL(8,0))) AS DECIMAL(10,2))
+                / CAST({SECONDS_PER_YEAR} AS DECIMAL(8,0))) AS DECIMAL(20,2))
     """)
     return name

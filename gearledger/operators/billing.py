@@ -106,6 +106,7 @@ def deposit_payments(
                 (F.col("_rental").isNull(), refuse("deposit_payment", -20001)),
                 (F.col("_due").isNull(), refuse("deposit_payment", -20004)),
                 (F.col("_deposit").isNotNull(), refuse("deposit_payment", -20002)),
+                (C.too_large(F.col("_due")), refuse("precision", -6502)),
                 (F.col("_due") <= 0, refuse("deposit_payment", -20003)),
                 (F.col("_repeat"), refuse("deposit_payment", -20002)),
             ),
@@ -140,7 +141,7 @@ def deposit_rows(
         F.lit("DEPOSIT").alias("payment_type"),
         F.lit("COMPLETED").alias("payment_status"),
         "transaction_code",
-        F.col("deposit_amount").alias("amount"),
+        C.stored(F.col("deposit_amount")).alias("amount"),
         now.alias("payment_date"),
         now.alias("created_at"),
         F.lit(None).cast("string").alias("notes"),
@@ -149,7 +150,7 @@ def deposit_rows(
     )
     deposits = coded.select(
         "deposit_id",
-        "deposit_amount",
+        C.stored(F.col("deposit_amount")).alias("deposit_amount"),
         F.lit("HELD").alias("status"),
         now.alias("deposit_date"),
         now.alias("created_at"),
@@ -174,6 +175,13 @@ def invoice_drafts(
     charges = fees.rental_charges(rentals, items, returns, equipments, as_of)
     shipping = fees.shipping_fees(rentals, shops, customers).frame
     used = deposits.groupBy("rental_id").agg(F.sum("deposit_amount").alias("deposit_used"))
+    amounts = [
+        F.col(name)
+        for name in (
+            "rental_amount", "late_fee", "damage_fee", "deposit_used", "subtotal_amount",
+            "tax_amount", "total_amount",
+        )
+    ]
     priced = (
         charges.join(shipping.drop("distance_km"), "rental_id")
         .join(used, "rental_id", "left")
@@ -205,9 +213,15 @@ def invoice_drafts(
         )
         .withColumn(
             "refusal",
+            # In the order in which the amounts come up.
             F.coalesce(
+                first_refusal((C.too_large(*amounts[:3]), refuse("precision", -6502))),
                 F.col("refusal"),
-                first_refusal((F.col("tax_id").isNull(), refuse("create_invoice", -1403))),
+                first_refusal(
+                    (C.too_large(*amounts[3:5]), refuse("precision", -6502)),
+                    (F.col("tax_id").isNull(), refuse("create_invoice", -1403)),
+                    (C.too_large(*amounts[5:]), refuse("precision", -6502)),
+                ),
             ),
         )
     )
@@ -274,7 +288,7 @@ def invoice_rows(decision: Decision, as_of: str, last: int = 0) -> DataFrame:
         "invoice_id",
         "invoice_number",
         F.lit("PENDING").alias("status"),
-        *INVOICE_AMOUNTS,
+        *[C.stored(F.col(name)).alias(name) for name in INVOICE_AMOUNTS],
         now.alias("invoice_date"),
         C.plus_days(now, C.PAYMENT_TERM_DAYS).alias("payment_due_date"),
         now.alias("created_at"),
@@ -378,16 +392,16 @@ def refunds(
     )
     left = (
         F.col("deposit_amount")
-        - F.coalesce("late_fee", F.lit(0)).cast("decimal(28,9)")
+        - F.coalesce("late_fee", F.lit(0)).cast("decimal(30,8)")
         - F.coalesce("damage_fee", F.lit(0)).cast("decimal(20,2)")
     )
-    exact = F.when(left < 0, F.lit(0).cast("decimal(30,9)")).otherwise(left)
+    exact = F.when(left < 0, C.dec(0, 10, 2)).otherwise(left)
     return open_deposits.join(charged, "rental_id", "left").select(
         "request_id",
         "deposit_id",
         "rental_id",
         "deposit_amount",
-        C.money(exact).alias("refund_amount"),
+        C.stored(exact).alias("refund_amount"),  # at most the deposit
         F.when(exact == F.col("deposit_amount"), "REFUNDED")
         .otherwise("PARTIAL_REFUND")
         .alias("status"),

@@ -85,6 +85,12 @@ def item_refusal(status_of_equipment: Column, found: Column) -> tuple[Column, Co
             refuse("item_check", -20041),
         ),
         (~F.col("item_status").isin(*ITEM_STATUSES), refuse("item_check", -20042)),
+        (
+            C.too_large(
+                C.line_total(F.col("quantity"), F.col("days"), F.col("price_per_day"))
+            ),
+            refuse("precision", -6502),
+        ),
         (status_of_equipment != "AVAILABLE", refuse("item_available", -20050)),
     )
     return before, after
@@ -164,8 +170,8 @@ def check_items(new_items: DataFrame, existing: DataFrame, equipments: DataFrame
     fit = F.when(is_main("_first"), pair_refusal(seen("_first"), own)).when(
         is_main("_second"), pair_refusal(seen("_second"), own)
     )
+    subtotal = C.line_total(F.col("quantity"), F.col("days"), F.col("price_per_day"))
     refusal = F.coalesce(F.col("_before"), F.when(accessory, fit), F.col("_after"))
-    subtotal = C.money(F.col("quantity") * F.col("days") * F.col("price_per_day"))
     decided = rows.withColumn("refusal", refusal).withColumn(
         "subtotal", F.when(F.col("refusal").isNull(), subtotal)
     )

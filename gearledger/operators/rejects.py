@@ -43,6 +43,7 @@ REFUSALS: dict[tuple[str, int], str] = {
     ("item_check", -20042): "Invalid item_status",
     ("item_check", -1403): "no data found",
     ("item_available", -20050): "Cannot rent equipment",
+    ("precision", -6502): "numeric or value error",
     ("customer_delete", -20060): "Cannot delete customer; linked rentals exist.",
     ("equipment_delete", -20061): "Cannot delete equipment; linked rental items exist.",
     ("rental_delete", -20062): "Cannot delete rental; linked rental items exist.",

@@ -16,6 +16,7 @@ from .rejects import Decision, first_refusal, refuse
 from .stock import allocate, inventory_after_return
 
 COMPLETE_STATUSES = ("BORROWING", "OVERDUE")
+MAX_QUANTITY = 99_999  # five digits
 
 
 @dataclass(frozen=True)
@@ -74,9 +75,12 @@ def create_rentals(
         .join(stocked, "equipment_id", "left")
     )
     unknown = refuse("create_rental", -20050)
+    subtotal = C.line_total(F.col("quantity"), F.col("days"), F.col("price_per_day"))
+    deposit = C.money(F.col("_unit") * F.col("quantity"))
     early = first_refusal(
         (F.col("customer_confirm") == 0, refuse("create_rental", -20060)),
         (F.col("_customer").isNull() | F.col("main_found").isNull(), unknown),
+        (C.too_large(subtotal, deposit), refuse("precision", -6502)),
         (
             F.col("quantity").isNull() | (F.col("quantity") <= 0),
             refuse("item_check", -20040),
@@ -92,8 +96,8 @@ def create_rentals(
         priced.withColumns(
             {
                 "_early": early,
-                "subtotal": C.money(F.col("quantity") * F.col("days") * F.col("price_per_day")),
-                "deposit": C.money(F.col("_unit") * F.col("quantity")),
+                "subtotal": subtotal,
+                "deposit": deposit,
             }
         ).drop("_status", "_unit", "_customer", "_stocked")
     )
@@ -139,7 +143,7 @@ def create_rentals(
             "left",
         )
     )
-    units = F.col("_per_unit") * F.col("quantity")
+    units = F.col("_per_unit").cast("bigint") * F.col("quantity")
     names = ("found", "category", "mount")
     fit = pair_refusal(
         {n: F.col(f"main_{n}") for n in names}, {n: F.col(f"extra_{n}") for n in names}
@@ -148,6 +152,7 @@ def create_rentals(
         fit,
         first_refusal(
             (units.isNull() | (units <= 0), refuse("item_check", -20040)),
+            (units > MAX_QUANTITY, refuse("precision", -6502)),
             (F.col("_extra_status") != "AVAILABLE", refuse("item_available", -20050)),
             (F.col("_extra_stocked").isNull(), unknown),
         ),
@@ -158,7 +163,7 @@ def create_rentals(
         "seq",
         F.struct(F.lit(1).alias("kind"), F.col("accessory_id").alias("id")).alias("_at"),
         F.col("accessory_id").alias("equipment_id"),
-        units.cast("int").alias("quantity"),
+        F.least(units, F.lit(MAX_QUANTITY + 1)).cast("int").alias("quantity"),
         "days",
         zero.alias("price_per_day"),
         zero.alias("subtotal"),
@@ -227,8 +232,8 @@ def rental_rows(created: NewRentals, as_of: str, last: int = 0) -> DataFrame:
         "rental_code",
         F.lit("NORMAL").alias("rental_type"),
         F.lit("CREATED").alias("status"),
-        F.col("subtotal").alias("total_amount"),
-        F.col("deposit").alias("deposit_required"),
+        C.stored(F.col("subtotal")).alias("total_amount"),
+        C.stored(F.col("deposit")).alias("deposit_required"),
         "rental_date",
         "due_date",
         now.alias("created_at"),

@@ -105,6 +105,7 @@ decided AS (
     SELECT c.request_id, c.rental_id, c.payment_method, u.due,
            CASE WHEN r.rental_id IS NULL THEN -20001 WHEN u.due IS NULL THEN -20004
                 WHEN EXISTS (SELECT 1 FROM deposits d WHERE d.rental_id = c.rental_id) THEN -20002
+                WHEN u.due >= 10000000000 THEN -6502
                 WHEN u.due <= 0 THEN -20003
                 WHEN row_number() OVER (PARTITION BY c.rental_id ORDER BY c.request_id) > 1 THEN -20002
            END AS code
@@ -113,11 +114,11 @@ decided AS (
 _add(
     "sp5_create_deposit_payment",
     _DEPOSIT_TABLES,
-    f"""SELECT request_id, rental_id, payment_method,
+    f"""SELECT *, {_message()} AS message FROM (
+        SELECT request_id, rental_id, payment_method,
                CASE WHEN code IS NULL THEN {euros('due')} END AS deposit_amount,
-               CASE WHEN code IS NOT NULL THEN 'deposit_payment' END AS source,
-               CAST(code AS BIGINT) AS code, {_message("'deposit_payment'")} AS message
-        FROM decided""",
+               CASE WHEN code = -6502 THEN 'precision' WHEN code IS NOT NULL THEN 'deposit_payment' END AS source,
+               CAST(code AS BIGINT) AS code FROM decided)""",
     VALUES,
     _DEPOSIT_DECIDED,
 )
@@ -611,15 +612,22 @@ charged AS MATERIALIZED (
 summed AS (SELECT *, rent_cents + late_cents + damage_cents + ship_cents AS sub_cents FROM charged),
 priced AS MATERIALIZED (
     SELECT *, {half_up('sub_cents * tax_points', '10000')} AS tax_cents FROM summed)"""
-_INVOICE_DECIDED = """decided AS MATERIALIZED (
+# Amounts of more than eight digits before the point cannot be stored.
+_PRICE_VERDICT = """CASE
+    WHEN greatest(p.rent_cents, p.late_cents, p.damage_cents) >= 10000000000 THEN 'precision/-6502'
+    WHEN p.ship_code IS NOT NULL THEN 'shipping_fee/' || CAST(p.ship_code AS VARCHAR)
+    WHEN greatest(p.held_cents, p.sub_cents) >= 10000000000 THEN 'precision/-6502'
+    WHEN p.tax_id IS NULL THEN 'create_invoice/-1403'
+    WHEN p.sub_cents + p.tax_cents >= 10000000000 THEN 'precision/-6502' END"""
+_INVOICE_DECIDED = f"""verdicts AS (
     SELECT c.request_id, c.rental_id AS asked_id, p.*,
-           CASE WHEN p.rental_id IS NULL THEN 'create_invoice'
-                WHEN p.status NOT IN ('BORROWING', 'OVERDUE', 'RETURNED') THEN 'create_invoice'
-                WHEN p.ship_code IS NOT NULL THEN 'shipping_fee' END AS source,
-           CASE WHEN p.rental_id IS NULL THEN -20001
-                WHEN p.status NOT IN ('BORROWING', 'OVERDUE', 'RETURNED') THEN -20002
-                ELSE p.ship_code END AS code
-    FROM rental_commands c LEFT JOIN priced p ON p.rental_id = c.rental_id)"""
+           CASE WHEN p.rental_id IS NULL THEN 'create_invoice/-20001'
+                WHEN p.status NOT IN ('BORROWING', 'OVERDUE', 'RETURNED') THEN 'create_invoice/-20002'
+                ELSE {_PRICE_VERDICT} END AS verdict
+    FROM rental_commands c LEFT JOIN priced p ON p.rental_id = c.rental_id),
+decided AS MATERIALIZED (
+    SELECT *, split_part(verdict, '/', 1) AS source, CAST(split_part(verdict, '/', 2) AS BIGINT) AS code
+    FROM verdicts)"""
 _AMOUNTS = f"""{euros('rent_cents')} AS rental_amount, {euros('late_cents')} AS late_fee,
     {euros('damage_cents')} AS damage_fee, {euros('ship_cents')} AS shipping_fee,
     {euros('sub_cents')} AS subtotal_amount, {euros('tax_cents')} AS tax_amount,
@@ -682,14 +690,14 @@ _add("sp9_refund_payment_rows", _REFUND_TABLES,
 
 # In this stock every running unit is accounted for, so no completion overdraws it.
 _COMPLETE_TABLES = (*_INVOICE_TABLES, "inventory_running", "invoices")
-_COMPLETE = """decided AS MATERIALIZED (
+_COMPLETE = f"""decided AS MATERIALIZED (
     SELECT c.request_id, c.rental_id AS asked_id, p.*,
            CASE WHEN p.rental_id IS NULL THEN 'complete_rental/-20001'
                 WHEN p.status NOT IN ('BORROWING', 'OVERDUE') THEN 'complete_rental/-20002'
                 WHEN EXISTS (SELECT 1 FROM rental_items i LEFT JOIN inventory_running v
                              ON v.equipment_id = i.equipment_id
                              WHERE i.rental_id = c.rental_id AND v.equipment_id IS NULL) THEN 'stock_in/-1403'
-                WHEN p.ship_code IS NOT NULL THEN 'shipping_fee/' || CAST(p.ship_code AS VARCHAR)
+                WHEN {_PRICE_VERDICT} IS NOT NULL THEN {_PRICE_VERDICT}
                 WHEN row_number() OVER (PARTITION BY c.rental_id ORDER BY c.request_id) > 1
                 THEN 'complete_rental/-20002'
            END AS verdict

@@ -196,3 +196,12 @@ def test_code_text_never_cuts(spark):
     df = spark.createDataFrame([(7,), (1000,), (123456,)], "n long")
     assert [r[0] for r in df.select(C.code_text("RE", F.col("n"), 3)).collect()] == [
         "RE007", "RE1000", "RE123456"]
+
+
+def test_large_amounts_do_not_stop_the_job(spark):
+    """A line or deposit with too many digits is a refusal, not an exception."""
+    df = spark.createDataFrame([(99999, 99999, D("99999999.99")), (1, 2, D("3.00"))],
+                               "q int, d int, p decimal(10,2)")
+    total = C.line_total(F.col("q"), F.col("d"), F.col("p"))
+    got = df.select(total.alias("t"), C.too_large(total).alias("over")).collect()
+    assert [(str(r.t), r.over) for r in got] == [(str(D(99999) * 99999 * D("99999999.99")), True), ("6.00", False)]
