@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontamination as D
 from . import licenses as L
 from . import mixing as M
+from . import neardup as N
 from . import topk as K
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,3 +142,30 @@ SELECT doc_id, n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS
        CASE WHEN len(every) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM named
 """
+
+
+def near_duplicates(documents: str = "documents") -> str:
+    k = N.SHINGLE
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + {k - 1}], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), common AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes u ON u.r = a JOIN sizes v ON v.r = b WHERE 100 * shared >= {N.THRESHOLD} * (u.n + v.n - shared)
+), reach AS (
+  SELECT r AS a, r AS b FROM docs
+  UNION
+  SELECT x.a, l.b FROM reach x JOIN links l ON l.a = x.b
+), least AS (
+  SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.r = b GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM docs d LEFT JOIN sizes s USING (r) JOIN least l USING (r)
+"""
