@@ -16,8 +16,10 @@ BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Adaptive joins that split hot keys, and Arrow batches that stay small."""
+    """Adaptive joins that split hot keys, Arrow batches that stay small, and shuffle files that
+    go when the job that wrote them has ended: results that are used again are settled tables."""
     tune(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -6,6 +6,7 @@ from . import decontamination as D
 from . import licenses as L
 from . import mixing as M
 from . import neardup as N
+from . import substrings as S
 from . import topk as K
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,3 +170,32 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id IS NOT DISTINCT FROM l.component_id AS kept
 FROM docs d LEFT JOIN sizes s USING (r) JOIN least l USING (r)
 """
+
+
+def substrings(documents: str = "documents") -> str:
+    n = S.LENGTH
+    return f"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM {documents}
+), grams AS (
+  SELECT doc_id, p, md5(x[2 * p + 1 : 2 * p + {2 * n}]) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {n - 1})) AS p FROM docs WHERE len(x) >= {2 * n})
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM grams) WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS s
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {n} THEN 0 ELSE 1 END AS fresh FROM later)
+), spans AS (
+  SELECT doc_id, s, min(p) AS a, max(p) + {n} AS b FROM marked GROUP BY doc_id, s
+), gaps AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x[2 * a + 1 : coalesce(2 * b, len(x))], '' ORDER BY a) AS k FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

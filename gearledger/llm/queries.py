@@ -14,6 +14,7 @@ from .mixing import mixing_report
 from .neardup import near_duplicates
 from .quality import quality_report
 from .secrets import secrets_report
+from .substrings import substring_report
 from .topk import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_report(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_report(load(spark, folder, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents")).drop("text_hash")
 
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_source_mixing, op2_exact_top_k, op4_decontamination, op6_near_duplicates, op7_license_scan,
+        op1_source_mixing, op2_exact_top_k, op4_decontamination, op5_substring_dedup, op6_near_duplicates, op7_license_scan,
         op8_quality_classifier, op10_secret_scan,
     )
     return {fn.__name__: fn for fn in own}
@@ -60,6 +65,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": oracles.mixing(),
         "op2_exact_top_k": oracles.top_k(),
         "op4_decontamination": oracles.decontamination(),
+        "op5_substring_dedup": oracles.substrings(),
         "op6_near_duplicates": oracles.near_duplicates(),
         "op7_license_scan": oracles.licenses(),
     }
