@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle, tune
 
-__all__ = ["load", "prepare", "row_key", "settle", "whole_text"]
+__all__ = ["load", "prepare", "settle", "unwrap", "whole_text", "wrap"]
 
 # Rows handed to a Python worker at once: with texts of some megabytes each, a batch still
 # fits a worker.
@@ -35,6 +35,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def row_key() -> list[Column]:
-    """Two columns that tell rows apart: repeated rows share them, and nothing else does."""
-    return [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
+def wrap(docs: DataFrame, **added: Column) -> DataFrame:
+    """The rows as one column ``_row`` and new columns beside it, whatever the rows' names are."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, *[value.alias(name) for name, value in added.items()])
+
+
+def unwrap(wrapped: DataFrame, docs: DataFrame) -> DataFrame:
+    """Back to the columns of the documents."""
+    return wrapped.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

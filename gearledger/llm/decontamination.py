@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, whole_text
+from .common import settle, unwrap, whole_text, wrap
 
 WINDOW = 10
 BLOCK = 3
@@ -184,7 +184,8 @@ def contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents in which no window of any item occurs, same columns."""
-    return mark(docs, benchmark, width).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = mark(wrap(docs, text=F.col("text")), benchmark, width)
+    return unwrap(marked.where(~contaminated()), docs)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:

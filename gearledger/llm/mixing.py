@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import running_total
-from .common import settle
+from .common import settle, unwrap, wrap
 
 SEED = 17
 MAX_EPOCHS = 3
@@ -163,12 +163,9 @@ def mix(
 ) -> DataFrame:
     """The mixed corpus: every document as many times as the mix takes it, same columns."""
     decided = decide(size_up(docs, seed), weigh, max_epochs)
-    columns = [F.col(f"_row.`{c}`") for c in docs.columns]
-    keyed = docs.select(
-        source_key().alias("_source"), hash_cell(seed).alias("_cell"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    )
+    keyed = wrap(docs, _source=source_key(), _cell=hash_cell(seed))
     taken = keyed.join(decided, "_source").where(repeats() > 0)
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), repeats().cast("int")))).select(*columns)
+    return unwrap(taken.select("_row", F.explode(F.sequence(F.lit(1), repeats().cast("int")))), docs)
 
 
 def mixing_report(

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, whole_text
+from .common import settle, unwrap, whole_text, wrap
 from .components import components
 
 SHINGLE = 5
@@ -255,19 +255,36 @@ def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: size of its set, its component's least doc_id and whether it is that one."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, group, component) per document; an empty set has no group."""
     facts = sketches(docs.select("doc_id", "text"))
     roots = link_classes(docs.select("doc_id", "text"), facts)
     least = facts.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
     placed = least.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min("first").alias("component"))
-    known = settle(placed.select("key", "root").join(named, "root").select("key", "component"))
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return facts.select("doc_id", "text_hash", "n", "key").join(known, "key", "left").select(
+    known = settle(placed.select("key", "root").join(named, "root").select("key", F.col("root").alias("group"), "component"))
+    return facts.select("doc_id", "text_hash", "n", "key").join(known, "key", "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: size of its set, its component's least doc_id and whether it is that one."""
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return grouped(docs).select(
         "doc_id",
-        "text_hash",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group (least doc_id, then text hash) and all empty ones, same columns."""
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    chosen = grouped(docs).where("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("_first"))
+    chosen = settle(chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = wrap(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"), blank=blank)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    # The join has brought equal rows together; repeated ones leave here.
+    one = rows.where("NOT blank").join(chosen, same).dropDuplicates(["doc_id", "text_hash"])
+    return unwrap(one, docs).unionByName(unwrap(rows.where("blank"), docs))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, whole_text
+from .common import settle, unwrap, whole_text, wrap
 
 FOLDS = 5
 # Below this score a document is rejected.
@@ -167,6 +167,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, same columns."""
     model = learn(vectors_of(docs), labels)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    score = scorer(model)(statistics_of(whole_text()))
-    return docs.withColumn("_score", score).where(F.col("_score") >= threshold).select(*columns)
+    scored = wrap(docs, score=scorer(model)(statistics_of(whole_text())))
+    return unwrap(scored.where(F.col("score") >= threshold), docs)

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import load
 from .decontamination import contamination_report
 from .licenses import find_licenses
+from .lines import line_report
 from .mixing import mixing_report
 from .neardup import near_duplicates
 from .quality import quality_report
 from .secrets import secrets_report
 from .substrings import substring_report
+from .tokens import token_report
 from .topk import exact_top_k
 
+VOCABULARY = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,6 +33,10 @@ def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(load(spark, folder, "embeddings"))
 
 
+def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_report(load(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_report(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
@@ -37,7 +46,7 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(load(spark, folder, "documents")).drop("text_hash")
+    return near_duplicates(load(spark, folder, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,14 +57,18 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(load(spark, folder, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_report(load(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_source_mixing, op2_exact_top_k, op4_decontamination, op5_substring_dedup, op6_near_duplicates, op7_license_scan,
-        op8_quality_classifier, op10_secret_scan,
+        op1_source_mixing, op2_exact_top_k, op3_token_output, op4_decontamination, op5_substring_dedup, op6_near_duplicates, op7_license_scan,
+        op8_quality_classifier, op9_line_dedup, op10_secret_scan,
     )
     return {fn.__name__: fn for fn in own}
 
