@@ -389,9 +389,9 @@ def _rent_requests(t: RentalTables) -> DataFrame:
         F.col("rental_item_id").alias("request_id"),
         F.col("rental_item_id").alias("seq"),
         "equipment_id",
-        F.when(F.col("rental_item_id") % 47 == 0, 0).otherwise(F.col("quantity")).alias(
-            "quantity"
-        ),
+        F.when(F.col("rental_item_id") % 47 == 0, 0)
+        .when(F.col("rental_item_id") % 53 != 0, F.col("quantity"))
+        .alias("quantity"),
     )
 
 
@@ -485,10 +485,11 @@ def _(t: RentalTables) -> DataFrame:
 @query("sp5_rental_deposit_required")
 def _(t: RentalTables) -> DataFrame:
     changes = _deposit_decision(t).accepted.select(
-        "rental_id", F.col("deposit_amount").alias("deposit_required")
+        "rental_id", F.col("deposit_amount").alias("deposit_required"),
+        C.clock(AS_OF).alias("updated_at"),
     )
     return store.upsert(t["rentals"], changes, "rental_id").select(
-        "rental_id", "deposit_required"
+        "rental_id", "deposit_required", "updated_at"
     )
 
 
@@ -513,6 +514,14 @@ def _(t: RentalTables) -> DataFrame:
     return rentals.pickup_media(decision, t["rental_items"], AS_OF)
 
 
+@query("sp6_items_after_pickup")
+def _(t: RentalTables) -> DataFrame:
+    decision = rentals.confirm_pickups(t["rental_commands"], t["rentals"])
+    return rentals.picked_up_items(decision, t["rental_items"]).select(
+        "rental_item_id", "rental_id", "item_status"
+    )
+
+
 def _invoices(t: RentalTables) -> Decision:
     return billing.create_invoices(
         t["rental_commands"], t["rentals"], t["rental_items"], t["returns"], t["equipments"],
@@ -544,7 +553,7 @@ def _(t: RentalTables) -> DataFrame:
     return billing.payment_rows(decision, AS_OF)
 
 
-def _refunds(t: RentalTables) -> DataFrame:
+def _refunds(t: RentalTables) -> Decision:
     return billing.refunds(
         t["rental_commands"], t["deposits"], t["rentals"], t["rental_items"], t["returns"],
         t["equipments"], AS_OF,
@@ -553,8 +562,8 @@ def _refunds(t: RentalTables) -> DataFrame:
 
 @query("sp9_process_refund")
 def _(t: RentalTables) -> DataFrame:
-    return _refunds(t).select(
-        "deposit_id", "rental_id", "deposit_amount", "refund_amount", "status", "refund_date"
+    return _refunds(t).outcome(
+        "request_id", "deposit_id", "rental_id", "deposit_amount", "refund_amount", "status", "refund_date"
     )
 
 
@@ -586,6 +595,26 @@ def _(t: RentalTables) -> DataFrame:
     )
 
 
+@query("sp10_rentals_after_complete")
+def _(t: RentalTables) -> DataFrame:
+    changes = rentals.completed_rentals(_completed(t).decision, AS_OF)
+    return store.upsert(t["rentals"], changes, "rental_id").select(
+        "rental_id", "status", "return_date", "updated_at"
+    )
+
+
+@query("sp10_items_after_complete")
+def _(t: RentalTables) -> DataFrame:
+    return rentals.completed_items(_completed(t).decision, t["rental_items"]).select(
+        "rental_item_id", "rental_id", "item_status"
+    )
+
+
+@query("sp10_invoice_rows")
+def _(t: RentalTables) -> DataFrame:
+    return billing.invoice_rows(_completed(t).drafts, AS_OF)
+
+
 # ---------------------------------------------------------------- triggers
 
 

@@ -371,17 +371,20 @@ def refunds(
     returns: DataFrame,
     equipments: DataFrame,
     as_of: str,
-) -> DataFrame:
+) -> Decision:
     """Refund of every open deposit of the asked rentals: deposit - late fee - damage, floor 0.
 
     The fees stay unrounded until the refund is stored, and the new status is decided on the
-    unrounded refund.
+    unrounded refund. A command has one row per deposit it refunds, or one with its refusal;
+    a repeated command finds no open deposit any more.
     """
-    asked = commands.groupBy("rental_id").agg(F.min("request_id").alias("request_id"))
+    asked = first_of(commands.select("request_id", "rental_id"), "rental_id").join(
+        rentals.select("rental_id", F.lit(True).alias("_rental")), "rental_id", "left"
+    )
     open_deposits = (
         deposits.where(F.col("status").isin(*REFUND_STATUSES))
         .select("deposit_id", "rental_id", "deposit_amount")
-        .join(asked, "rental_id")
+        .join(asked.where("NOT _repeat").select("rental_id"), "rental_id")
     )
     charged = fees.rental_charges(
         rentals.join(open_deposits.select("rental_id"), "rental_id", "left_semi"),
@@ -396,8 +399,7 @@ def refunds(
         - F.coalesce("damage_fee", F.lit(0)).cast("decimal(20,2)")
     )
     exact = F.when(left < 0, C.dec(0, 10, 2)).otherwise(left)
-    return open_deposits.join(charged, "rental_id", "left").select(
-        "request_id",
+    refunded = open_deposits.join(charged, "rental_id", "left").select(
         "deposit_id",
         "rental_id",
         "deposit_amount",
@@ -406,12 +408,23 @@ def refunds(
         .otherwise("PARTIAL_REFUND")
         .alias("status"),
         C.clock(as_of).alias("refund_date"),
+        F.lit(False).alias("_repeat"),
+    )
+    decided = asked.join(refunded, ["rental_id", "_repeat"], "left").withColumn(
+        "refusal",
+        first_refusal(
+            (F.col("_rental").isNull(), refuse("process_refund", -20001)),
+            (F.col("deposit_id").isNull(), refuse("process_refund", -1403)),
+        ),
     )
+    kept = ("deposit_id", "deposit_amount", "refund_amount", "status", "refund_date")
+    accepted = [F.when(F.col("refusal").isNull(), F.col(c)).alias(c) for c in kept]
+    return Decision(decided.select("request_id", "rental_id", *accepted, "refusal"), "request_id")
 
 
-def refund_payment_rows(refunded: DataFrame, as_of: str, last: int = 0) -> DataFrame:
+def refund_payment_rows(decision: Decision, as_of: str, last: int = 0) -> DataFrame:
     """The cash payment rows of the refunds, numbered by deposit."""
-    now_paid = refunded.withColumnRenamed("refund_amount", "amount")
+    now_paid = decision.accepted.withColumnRenamed("refund_amount", "amount")
     return with_codes(
         now_paid,
         "deposit_id",

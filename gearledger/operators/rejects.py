@@ -22,11 +22,13 @@ REFUSALS: dict[tuple[str, int], str] = {
     ("stock_out", -20010): "Quantity must be greater than 0",
     ("stock_out", -20011): "Not enough inventory available",
     ("stock_out", -1403): "no data found",
+    ("stock_out", -1407): "cannot update to NULL",
     ("stock_in", -20020): "Invalid condition status",
     ("stock_in", -1403): "no data found",
     ("stock_in", -2290): "check constraint violated",
     ("create_rental", -20050): "Customer or equipment not found",
     ("create_rental", -20060): "Customer must accept terms before rental",
+    ("create_rental", -1400): "cannot insert NULL",
     ("deposit_payment", -20001): "Rental not found",
     ("deposit_payment", -20002): "Deposit already exists",
     ("deposit_payment", -20003): "Invalid deposit amount",
@@ -36,6 +38,8 @@ REFUSALS: dict[tuple[str, int], str] = {
     ("create_invoice", -20002): "Invoice can only be created for ACTIVE rentals",
     ("create_invoice", -1403): "no data found",
     ("pay_invoice", -20010): "Invoice không tồn tại hoặc đã thanh toán",
+    ("process_refund", -20001): "Rental not found",
+    ("process_refund", -1403): "No deposit found to refund",
     ("complete_rental", -20001): "Rental không tồn tại",
     ("complete_rental", -20002): "Rental không hợp lệ để hoàn",
     ("item_check", -20040): "Quantity must be greater than 0",

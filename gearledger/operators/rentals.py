@@ -81,14 +81,9 @@ def create_rentals(
         (F.col("customer_confirm") == 0, refuse("create_rental", -20060)),
         (F.col("_customer").isNull() | F.col("main_found").isNull(), unknown),
         (C.too_large(subtotal, deposit), refuse("precision", -6502)),
-        (
-            F.col("quantity").isNull() | (F.col("quantity") <= 0),
-            refuse("item_check", -20040),
-        ),
-        (
-            F.col("days").isNull() | F.col("price_per_day").isNull(),
-            refuse("item_check", -20041),
-        ),
+        # The rental row comes before its items, and its total may not be NULL.
+        (subtotal.isNull(), refuse("create_rental", -1400)),
+        (F.col("quantity") <= 0, refuse("item_check", -20040)),
         (F.col("_status") != "AVAILABLE", refuse("item_available", -20050)),
         (F.col("_stocked").isNull(), unknown),
     )
@@ -307,7 +302,7 @@ def picked_up_rentals(decision: Decision, as_of: str) -> DataFrame:
 
 
 def pickup_media(decision: Decision, items: DataFrame, as_of: str, last: int = 0) -> DataFrame:
-    """One placeholder image per item of the picked-up rentals; the items become BORROWING."""
+    """One placeholder image per item of the picked-up rentals."""
     taken = items.select("rental_item_id", "rental_id").join(
         decision.accepted.select("rental_id"), "rental_id", "left_semi"
     )
@@ -321,12 +316,25 @@ def pickup_media(decision: Decision, items: DataFrame, as_of: str, last: int = 0
     )
 
 
+def items_with_status(decision: Decision, items: DataFrame, status: str) -> DataFrame:
+    """The item table after the items of all accepted rentals take a status."""
+    hit = decision.accepted.select("rental_id").distinct().withColumn("_hit", F.lit(True))
+    changed = F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("item_status"))
+    return items.join(hit, "rental_id", "left").withColumn("item_status", changed).drop("_hit")
+
+
+def picked_up_items(decision: Decision, items: DataFrame) -> DataFrame:
+    """The item table after the pickups: items of picked-up rentals are out."""
+    return items_with_status(decision, items, "BORROWING")
+
+
 @dataclass(frozen=True)
 class Completed:
-    """Decided completions, with the inventory and the invoices they lead to."""
+    """Decided completions, with the inventory they lead to and the invoices they need."""
 
     decision: Decision
     inventory: DataFrame
+    drafts: Decision
 
 
 def complete_rentals(
@@ -368,7 +376,8 @@ def complete_rentals(
         open_rentals.join(billed, "rental_id", "left_anti"),
         items, returns, equipments, shops, customers, deposits, taxes, as_of,
     ).frame.select(
-        "rental_id", F.col("final_amount").alias("_final"), F.col("refusal").alias("_draft")
+        "rental_id", F.lit(True).alias("_priced"), *billing.INVOICE_AMOUNTS, "tax_id",
+        F.col("refusal").alias("_draft"),
     )
     stock = inventory.select(
         "equipment_id", F.coalesce("rented_quantity", F.lit(0)).alias("capacity")
@@ -408,7 +417,10 @@ def complete_rentals(
                 F.col("_draft"),
             ),
         )
-        .select("request_id", "rental_id", "_repeat", "_final", "_judged")
+        .select(
+            "request_id", "rental_id", "_repeat", "_priced", *billing.INVOICE_AMOUNTS, "tax_id",
+            "_judged",
+        )
     )
     done = judged.where("NOT _repeat AND _judged IS NULL").select(
         "rental_id", F.lit(True).alias("_done")
@@ -426,17 +438,27 @@ def complete_rentals(
         decided.select(
             "request_id",
             "rental_id",
-            F.when(F.col("refusal").isNull(), F.col("_final")).alias("final_amount"),
+            F.when(F.col("refusal").isNull(), F.col("final_amount")).alias("final_amount"),
             "refusal",
         ),
         "request_id",
     )
+    priced = decided.where("_priced").select(
+        "request_id", "rental_id", *billing.INVOICE_AMOUNTS, "tax_id", "refusal"
+    )
     back = (
         items.select("rental_id", "equipment_id", "quantity")
         .join(decision.accepted.select("rental_id"), "rental_id", "left_semi")
         .withColumn("condition_status", F.lit("GOOD"))
     )
-    return Completed(decision, inventory_after_return(back, inventory, as_of))
+    return Completed(
+        decision, inventory_after_return(back, inventory, as_of), Decision(priced, "request_id")
+    )
+
+
+def completed_items(decision: Decision, items: DataFrame) -> DataFrame:
+    """The item table after the completions: everything of a completed rental is back."""
+    return items_with_status(decision, items, "RETURNED")
 
 
 def completed_rentals(decision: Decision, as_of: str) -> DataFrame:

@@ -14,9 +14,11 @@ A round looks, per line, at the units asked for by earlier undecided requests. A
 whose every line fits even if all of those are served is accepted; a request with a line
 larger than the remaining stock is refused; the others wait for the next round, with the
 accepted units taken off. That may happen without regard to order, because a request is only
-accepted when everything undecided before it fits as well. The earliest undecided request is
-always decided, so the rounds end with the sequential answer, and they are not capped. The
-units ahead are running totals over slices of the order (see ``numbering``): a popular
+accepted when everything undecided before it fits as well. Before it does so, each round
+serves the earliest undecided requests, ``HEAD_LINES`` lines of them, one after another in one
+task: everything before them is decided, so that is the sequential answer too. Every round
+therefore decides at least that many lines, however long the chains of dependent requests
+are, and the rounds end with the sequential answer. The units ahead are running totals over slices of the order (see ``numbering``): a popular
 equipment never becomes one task. Each round is written to the shared folder.
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from .rejects import Decision, first_refusal, refuse
 
 # Lines of one equipment that may stream through one task.
 STREAM_LINES = 2_000_000
+# Lines that a round serves in order before it judges the others at once.
+HEAD_LINES = 100_000
 
 CONDITIONS = ("GOOD", "DAMAGED", "LOST")
 
@@ -56,37 +61,94 @@ def _server() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     Built as a closure, so that it travels to the executors without this package there.
     """
 
+    def take(units: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+        """Which lines of one equipment fit in order, and what is left after them."""
+        served = np.zeros(len(units), bool)
+        waiting = np.flatnonzero(units <= left)
+        while len(waiting):
+            total = np.cumsum(units[waiting])
+            fit = int(np.searchsorted(total, left, side="right"))
+            served[waiting[:fit]] = True
+            left -= int(total[fit - 1]) if fit else 0
+            # What is left only shrinks: larger lines are refused for good.
+            waiting = waiting[fit:]
+            waiting = waiting[units[waiting] <= left]
+        return served, left
+
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, left = None, 0
         for batch in batches:
-            served = []
-            for equipment, units, capacity in zip(
-                batch["equipment_id"], batch["quantity"], batch["capacity"]
-            ):
-                if equipment != current:
-                    current, left = equipment, capacity
-                fits = units <= left
-                if fits:
-                    left -= units
-                served.append(fits)
+            equipment = batch["equipment_id"].to_numpy()
+            units, capacity = batch["quantity"].to_numpy(np.int64), batch["capacity"].to_numpy(np.int64)
+            served = np.zeros(len(batch), bool)
+            edges = np.flatnonzero(np.append(True, equipment[1:] != equipment[:-1])) if len(batch) else []
+            for start, end in zip(edges, np.append(edges[1:], len(batch)).astype(int)):
+                if equipment[start] != current:
+                    current, left = equipment[start], int(capacity[start])
+                served[start:end], left = take(units[start:end], left)
+            yield pd.DataFrame({"request_id": batch["request_id"], "served": served})
+
+    return serve
+
+
+def _in_order() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function that serves whole requests one after another, sorted by ``seq``."""
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: dict = {}
+        held: list[tuple] = []
+
+        def decide() -> tuple:
+            fits = all(units <= left.setdefault(e, capacity) for _, _, e, units, capacity in held)
+            for _, _, equipment, units, capacity in held if fits else ():
+                left[equipment] -= units
+            return held[0][0], fits
+
+        for batch in batches:
+            done = []
+            rows = zip(*(batch[c] for c in ("request_id", "seq", "equipment_id", "quantity", "capacity")))
+            for row in rows:
+                if held and held[0][1] != row[1]:
+                    done.append(decide())
+                    held = []
+                held.append(row)
             yield pd.DataFrame(
-                {"request_id": batch["request_id"], "served": pd.Series(served, dtype=bool)}
+                {"request_id": pd.Series([d[0] for d in done], dtype=batch["request_id"].dtype),
+                 "served": pd.Series([d[1] for d in done], dtype=bool)}
             )
+        if held:
+            yield pd.DataFrame([decide()], columns=["request_id", "served"])
 
     return serve
 
 
-def _rounds(lines: DataFrame) -> DataFrame:
+def _rounds(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     """Decide lines (request_id, seq, equipment_id, quantity, capacity) round by round."""
     spark = lines.sparkSession
     folder = new_path(spark, "rounds")
     top = top_key(lines, "seq")
+    answer = lines.select("request_id").schema.add("served", "boolean")
+
+    def less(rest: DataFrame, served: DataFrame) -> DataFrame:
+        """The lines with the units of served ones taken off."""
+        used = served.groupBy("equipment_id").agg(F.sum("quantity").alias("_used"))
+        return rest.join(used, "equipment_id", "left").select(
+            "request_id", "seq", "equipment_id", "quantity",
+            (F.col("capacity") - F.coalesce("_used", F.lit(0))).alias("capacity"),
+        )
+
     waiting, number = lines, 0
     while True:
-        never = waiting.groupBy("request_id").agg(
+        # Whole requests, so a few lines more than asked for.
+        last = waiting.select("seq").orderBy("seq").limit(head_lines).agg(F.max("seq")).first()[0]
+        head = waiting.where(F.col("seq") <= F.lit(last))
+        told = head.coalesce(1).sortWithinPartitions("seq").mapInPandas(_in_order(), answer)
+        first = settle(head.join(told, "request_id"))
+        rest = settle(less(waiting.where(F.col("seq") > F.lit(last)), first.where("served")))
+        never = rest.groupBy("request_id").agg(
             F.max(F.col("quantity") > F.col("capacity")).alias("_never")
         )
-        judged = waiting.join(never, "request_id")
+        judged = rest.join(never, "request_id")
         sure = (
             _ahead(judged.where("NOT _never"), "quantity", "ahead", top)
             .groupBy("request_id")
@@ -94,20 +156,16 @@ def _rounds(lines: DataFrame) -> DataFrame:
         )
         # served: true, false, or NULL while undecided
         state = judged.join(sure, "request_id", "left").select(
-            *waiting.columns,
+            *rest.columns,
             F.when(F.col("_never"), False).when(F.col("_sure"), True).alias("served"),
         )
         path = f"{folder}/round={number}"
-        state.write.parquet(path)
+        first.select(*state.columns).unionByName(state).write.parquet(path)
         state = spark.read.schema(state.schema).parquet(path)
-        open_lines = state.where("served IS NULL").drop("served")
-        if open_lines.isEmpty():
+        if state.where("served IS NULL").isEmpty():
             break
-        used = state.where("served").groupBy("equipment_id").agg(F.sum("quantity").alias("_used"))
-        waiting = open_lines.join(used, "equipment_id", "left").select(
-            "request_id", "seq", "equipment_id", "quantity",
-            (F.col("capacity") - F.coalesce("_used", F.lit(0))).alias("capacity"),
-        )
+        later = state.where(F.col("seq") > F.lit(last))
+        waiting = less(later.where("served IS NULL").drop("served"), later.where("served"))
         number += 1
     rounds = spark.read.schema(state.schema).parquet(f"{folder}/round=*")
     return rounds.where("served IS NOT NULL").select("request_id", "served").distinct()
@@ -118,6 +176,7 @@ def allocate(
     stock: DataFrame,
     probes: DataFrame | None = None,
     stream_lines: int = STREAM_LINES,
+    head_lines: int = HEAD_LINES,
 ) -> DataFrame:
     """Serve requests in ``seq`` order; returns (request_id, served).
 
@@ -158,7 +217,7 @@ def allocate(
     )
     tangled = sorted_out.where("_entangled").select(*fields)
     if not tangled.isEmpty():
-        served = served.unionByName(_rounds(tangled))
+        served = served.unionByName(_rounds(tangled, head_lines))
     free = (
         grouped.select("request_id")
         .distinct()
@@ -198,11 +257,10 @@ def rent_out(requests: DataFrame, inventory: DataFrame) -> Decision:
     )
     known = requests.join(stock, "equipment_id", "left")
     early = first_refusal(
-        (
-            F.col("quantity").isNull() | (F.col("quantity") <= 0),
-            refuse("stock_out", -20010),
-        ),
+        (F.col("quantity") <= 0, refuse("stock_out", -20010)),
         (F.col("capacity").isNull(), refuse("stock_out", -1403)),
+        # No comparison stops a NULL quantity before the update does.
+        (F.col("quantity").isNull(), refuse("stock_out", -1407)),
     )
     checked = settle(known.withColumn("_early", early).drop("capacity"))
     served = allocate(checked.where("_early IS NULL"), stock)
@@ -231,6 +289,8 @@ def inventory_after_rent(taken: DataFrame, inventory: DataFrame, as_of: str) ->
 def take_back(commands: DataFrame, items: DataFrame, inventory: DataFrame) -> Decision:
     """Return single items: (request_id, seq, rental_item_id, condition_status).
 
+    A NULL condition is accepted without effect, as no rule refuses it.
+
     The rented bucket may not fall below zero (the buckets have to sum to the total), so a
     return that would overdraw it is refused: the same first-come allocation, on that bucket.
     """
@@ -246,7 +306,8 @@ def take_back(commands: DataFrame, items: DataFrame, inventory: DataFrame) -> De
         (F.col("capacity").isNull(), refuse("stock_in", -1403)),
     )
     checked = settle(known.withColumn("_early", early).drop("capacity"))
-    served = allocate(checked.where("_early IS NULL"), stock)
+    # A NULL condition passes the check and moves no bucket.
+    served = allocate(checked.where("_early IS NULL AND condition_status IS NOT NULL"), stock)
     decided = checked.join(served, "request_id", "left").withColumn(
         "refusal",
         F.coalesce("_early", first_refusal((~F.col("served"), refuse("stock_in", -2290)))),
@@ -263,7 +324,7 @@ def inventory_after_return(returned: DataFrame, inventory: DataFrame, as_of: str
             F.when(F.col("condition_status") == condition, F.col("quantity")).otherwise(0)
         ).cast("int")
 
-    delta = returned.groupBy("equipment_id").agg(
+    delta = returned.where("condition_status IS NOT NULL").groupBy("equipment_id").agg(
         units("GOOD").alias("_good"),
         units("DAMAGED").alias("_damaged"),
         units("LOST").alias("_lost"),

@@ -125,7 +125,8 @@ _add(
 _add(
     "sp5_rental_deposit_required",
     _DEPOSIT_TABLES,
-    f"""SELECT r.rental_id, coalesce({euros('d.due')}, CAST(r.deposit_required AS DOUBLE)) AS deposit_required
+    f"""SELECT r.rental_id, coalesce({euros('d.due')}, CAST(r.deposit_required AS DOUBLE)) AS deposit_required,
+               CASE WHEN d.rental_id IS NULL THEN r.updated_at ELSE {NOW} END AS updated_at
         FROM rentals r LEFT JOIN decided d ON d.rental_id = r.rental_id AND d.code IS NULL""",
     VALUES,
     _DEPOSIT_DECIDED,
@@ -429,14 +430,15 @@ def _sequential(requests: str, capacity: str) -> str:
 
 _RENT = """requests AS MATERIALIZED (
     SELECT rental_item_id AS request_id, equipment_id,
-           CASE WHEN rental_item_id % 47 = 0 THEN 0 ELSE quantity END AS quantity FROM rental_items),
+           CASE WHEN rental_item_id % 47 = 0 THEN 0 WHEN rental_item_id % 53 <> 0 THEN quantity END AS quantity
+    FROM rental_items),
 stock AS (SELECT * FROM inventory)"""
 _RENT_QUEUE = _sequential(
     "SELECT r.* FROM requests r JOIN stock s USING (equipment_id) WHERE r.quantity > 0",
     "available_quantity")
 _RENT_DECIDED = """decided AS MATERIALIZED (
     SELECT r.*, CASE WHEN r.quantity <= 0 THEN -20010 WHEN s.equipment_id IS NULL THEN -1403
-                     WHEN NOT a.served THEN -20011 END AS code
+                     WHEN r.quantity IS NULL THEN -1407 WHEN NOT a.served THEN -20011 END AS code
     FROM requests r LEFT JOIN stock s ON s.equipment_id = r.equipment_id
     LEFT JOIN answers a ON a.request_id = r.request_id)"""
 _add("sp2_update_inventory_on_rent", ("rental_items", "inventory"),
@@ -460,7 +462,8 @@ _BACK = """known AS MATERIALIZED (
     FROM return_item_commands c LEFT JOIN rental_items i ON i.rental_item_id = c.rental_item_id
     LEFT JOIN inventory_half_rented s ON s.equipment_id = i.equipment_id),
 stock AS (SELECT * FROM inventory_half_rented)"""
-_BACK_QUEUE = _sequential("SELECT request_id, equipment_id, quantity FROM known WHERE early IS NULL",
+_BACK_QUEUE = _sequential("SELECT request_id, equipment_id, quantity FROM known "
+                          "WHERE early IS NULL AND condition_status IS NOT NULL",
                           "rented_quantity")
 _BACK_DECIDED = """decided AS MATERIALIZED (
     SELECT k.*, coalesce(early, CASE WHEN NOT a.served THEN -2290 END) AS code
@@ -482,7 +485,8 @@ _add("sp3_inventory_after_return", _BACK_TABLES,
              SELECT equipment_id, sum(CASE condition_status WHEN 'GOOD' THEN quantity ELSE 0 END) AS good,
                     sum(CASE condition_status WHEN 'DAMAGED' THEN quantity ELSE 0 END) AS damaged,
                     sum(CASE condition_status WHEN 'LOST' THEN quantity ELSE 0 END) AS lost
-             FROM decided WHERE code IS NULL GROUP BY 1) u ON u.equipment_id = s.equipment_id""",
+             FROM decided WHERE code IS NULL AND condition_status IS NOT NULL GROUP BY 1) u
+             ON u.equipment_id = s.equipment_id""",
      _BACK, _BACK_QUEUE, _BACK_DECIDED)
 
 # A main item shares stock only with its one accessory, so requests are served per such pair.
@@ -491,6 +495,7 @@ _CREATE = f"""early AS MATERIALIZED (
     SELECT c.*, u.full_name, e.deposit_cents, e.rental_price_per_day AS price,
            CASE WHEN c.customer_confirm = 0 THEN 'create_rental/-20060'
                 WHEN u.customer_id IS NULL OR e.equipment_id IS NULL THEN 'create_rental/-20050'
+                WHEN c.quantity * c.days * e.rental_price_per_day IS NULL THEN 'create_rental/-1400'
                 WHEN c.quantity <= 0 THEN 'item_check/-20040'
                 WHEN e.status <> 'AVAILABLE' THEN 'item_available/-20050'
                 WHEN v.equipment_id IS NULL THEN 'create_rental/-20050' END AS early,
@@ -591,6 +596,12 @@ _add("sp6_pickup_media", ("rental_commands", "rentals", "rental_items"),
                FROM rental_items i JOIN decided d ON d.rental_id = i.rental_id AND d.code IS NULL)""",
      _PICKUP)
 
+_add("sp6_items_after_pickup", ("rental_commands", "rentals", "rental_items"),
+     """SELECT i.rental_item_id, i.rental_id,
+               CASE WHEN d.rental_id IS NULL THEN i.item_status ELSE 'BORROWING' END AS item_status
+        FROM rental_items i LEFT JOIN decided d ON d.rental_id = i.rental_id AND d.code IS NULL""",
+     _PICKUP)
+
 _INVOICE_TABLES = ("rental_commands", "rentals", "rental_items", "returns", "equipments", "shop_info",
                    "customers", "deposits", "taxes")
 CHARGES = f"""{VALUES}, {LATE}, {DAMAGE}, {SHIPPING},
@@ -678,8 +689,15 @@ refund AS MATERIALIZED (
     FROM refunded)"""
 _REFUND_TABLES = ("rental_commands", "deposits", "rentals", "rental_items", "returns", "equipments")
 _add("sp9_process_refund", _REFUND_TABLES,
-     f"""SELECT deposit_id, rental_id, CAST(deposit_amount AS DOUBLE) AS deposit_amount,
-                {euros('refund_cents')} AS refund_amount, status, {NOW} AS refund_date FROM refund""",
+     f"""SELECT *, {_message()} AS message FROM (
+         SELECT c.request_id, f.deposit_id, c.rental_id, CAST(f.deposit_amount AS DOUBLE) AS deposit_amount,
+                {euros('f.refund_cents')} AS refund_amount, f.status,
+                CASE WHEN f.deposit_id IS NOT NULL THEN {NOW} END AS refund_date,
+                CASE WHEN f.deposit_id IS NULL THEN 'process_refund' END AS source,
+                CAST(CASE WHEN r.rental_id IS NULL THEN -20001 WHEN f.deposit_id IS NULL THEN -1403 END AS BIGINT) AS code
+         FROM (SELECT *, row_number() OVER (PARTITION BY rental_id ORDER BY request_id) AS turn FROM rental_commands) c
+         LEFT JOIN rentals r ON r.rental_id = c.rental_id
+         LEFT JOIN refund f ON f.rental_id = c.rental_id AND c.turn = 1)""",
      VALUES, LATE, DAMAGE, _REFUND)
 _add("sp9_refund_payment_rows", _REFUND_TABLES,
      f"""SELECT {_code('P', 'n', 4)} AS payment_id, {_code('TX', 'n', 5)} AS transaction_code,
@@ -710,6 +728,25 @@ _add("sp10_complete_rental", _COMPLETE_TABLES,
                 split_part(verdict, '/', 1) AS source, CAST(split_part(verdict, '/', 2) AS BIGINT) AS code
          FROM decided)""",
      CHARGES, _COMPLETE)
+_add("sp10_rentals_after_complete", _COMPLETE_TABLES,
+     f"""SELECT r.rental_id, CASE WHEN d.asked_id IS NULL THEN r.status ELSE 'RETURNED' END AS status,
+                CASE WHEN d.asked_id IS NULL THEN r.return_date ELSE {NOW} END AS return_date,
+                CASE WHEN d.asked_id IS NULL THEN r.updated_at ELSE {NOW} END AS updated_at
+         FROM rentals r LEFT JOIN decided d ON d.asked_id = r.rental_id AND d.verdict IS NULL""",
+     CHARGES, _COMPLETE)
+_add("sp10_items_after_complete", _COMPLETE_TABLES,
+     """SELECT i.rental_item_id, i.rental_id,
+               CASE WHEN d.asked_id IS NULL THEN i.item_status ELSE 'RETURNED' END AS item_status
+        FROM rental_items i LEFT JOIN decided d ON d.asked_id = i.rental_id AND d.verdict IS NULL""",
+     CHARGES, _COMPLETE)
+_add("sp10_invoice_rows", _COMPLETE_TABLES,
+     f"""SELECT {_code('IN', 'n', 3)} AS invoice_id, {_code('INV', 'n', 5)} AS invoice_number,
+                'PENDING' AS status, {_AMOUNTS}, {NOW} AS invoice_date,
+                {NOW} + INTERVAL 7 DAY AS payment_due_date, {NOW} AS created_at, 'FINAL' AS invoice_type,
+                rental_id
+         FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM decided d WHERE verdict IS NULL
+               AND NOT EXISTS (SELECT 1 FROM invoices x WHERE x.rental_id = d.asked_id AND x.invoice_type = 'FINAL'))""",
+     CHARGES, _COMPLETE)
 _add("sp10_inventory_after_complete", _COMPLETE_TABLES,
      """SELECT v.equipment_id, CAST(v.total_quantity AS BIGINT) AS total_quantity,
                CAST(v.available_quantity + coalesce(u.units, 0) AS BIGINT) AS available_quantity,

@@ -289,8 +289,9 @@ MAPPING: dict[str, str] = {
                r.employee_id, r.shop_id,
                CASE WHEN i.rental_item_id % 43 = 0 THEN -1 ELSE i.equipment_id END
                    AS equipment_id,
-               CASE WHEN i.rental_item_id % 47 = 0 THEN 0 ELSE i.quantity END AS quantity,
-               i.days, r.rental_date, r.due_date,
+               CASE WHEN i.rental_item_id % 47 = 0 THEN 0
+                    WHEN i.rental_item_id % 53 <> 0 THEN i.quantity END AS quantity,
+               CASE WHEN i.rental_item_id % 59 <> 0 THEN i.days END AS days, r.rental_date, r.due_date,
                CASE WHEN i.rental_item_id % 31 = 0 THEN 0
                     WHEN i.rental_item_id % 37 = 0 THEN NULL ELSE 1 END AS customer_confirm
         FROM {rental_items} i JOIN {rentals} r ON r.rental_id = i.rental_id""",
@@ -308,7 +309,8 @@ MAPPING: dict[str, str] = {
         SELECT r.return_id AS request_id,
                CASE WHEN r.return_id % 61 = 0 THEN -1 ELSE r.rental_item_id END
                    AS rental_item_id,
-               r.condition_status, r.return_date
+               CASE WHEN r.return_id % 67 <> 0 THEN r.condition_status END
+                   AS condition_status, r.return_date
         FROM {returns} r""",
     "compatibility_commands": """
         SELECT i.rental_item_id AS request_id,

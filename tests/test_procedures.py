@@ -51,7 +51,8 @@ def test_create_rental_walks_the_refusals(spark):
         6: ("item_check", -20040),
         8: ("compatibility", -20046),    # E lens on a Z camera
         9: ("compatibility", -20043),    # accessory unknown
-        10: ("item_available", -20050), 11: ("item_check", -20041),
+        10: ("item_available", -20050),
+        11: ("create_rental", -1400),    # no days, so no total for the rental row
         13: ("stock_out", -20011),       # a camera is left, but only no batteries
     }
     made = rentals.rental_rows(created, AS_OF)
@@ -145,8 +146,11 @@ def test_refund_statuses_use_the_unrounded_fee(spark):
          ("D4", D(500), "HELD", "R4"), ("D5", D(500), "REFUNDED", "R1")],
         "deposit_id string, deposit_amount decimal(10,2), status string, rental_id string")
     commands = frame(spark, list(enumerate(["R1", "R2", "R3", "R4", "R1", "R9"])), ASK)
-    got = billing.refunds(commands, deposits, table, items, returns, seed_table(spark, "equipments"), AS_OF)
-    assert {r.deposit_id: (r.refund_amount, r.status) for r in got.collect()} == {
+    decision = billing.refunds(commands, deposits, table, items, returns, seed_table(spark, "equipments"), AS_OF)
+    # The repeated command and the unknown rental are refused; nothing gets lost.
+    assert codes(decision) == {4: ("process_refund", -1403), 5: ("process_refund", -20001)}
+    assert decision.frame.select("request_id").distinct().count() == 6
+    assert {r.deposit_id: (r.refund_amount, r.status) for r in decision.accepted.collect()} == {
         "D1": (D(350), "PARTIAL_REFUND"), "D2": (D(0), "PARTIAL_REFUND"), "D3": (D(500), "REFUNDED"),
         "D4": (D(500), "PARTIAL_REFUND")}  # a fee of 0.0025 rounds away but decides the status
 
@@ -226,3 +230,34 @@ def test_complete_rental_is_all_or_nothing(spark):
     assert codes(done.decision) == want
     assert {r.equipment_id: r.rented_quantity for r in done.inventory.collect()} == left
     assert all(r.total_quantity == r.available_quantity + r.rented_quantity for r in done.inventory.collect())
+
+
+def test_null_quantities_and_conditions(spark):
+    inventory = seed_table(spark, "inventory").withColumn("rented_quantity", F.lit(5))
+    asked = frame(spark, [(1, 1, "EQ001", None), (2, 2, "EQ999", None), (3, 3, "EQ001", 0), (4, 4, "EQ001", 1)],
+                  "request_id long, seq long, equipment_id string, quantity int")
+    assert codes(stock.rent_out(asked, inventory)) == {
+        1: ("stock_out", -1407), 2: ("stock_out", -1403), 3: ("stock_out", -20010)}
+    items = frame(spark, [("I1", "EQ001", 5)], "rental_item_id string, equipment_id string, quantity int")
+    back = frame(spark, [(1, 1, "I1", None), (2, 2, "I1", "GOOD"), (3, 3, "I1", "GOOD"), (4, 4, "I1", "LOOSE")],
+                 "request_id long, seq long, rental_item_id string, condition_status string")
+    decision = stock.take_back(back, items, inventory)
+    # Without a condition nothing moves, so the next return still finds all units out.
+    assert codes(decision) == {3: ("stock_in", -2290), 4: ("stock_in", -20020)}
+    only = stock.take_back(back.where("request_id = 1"), items, inventory).accepted
+    after = stock.inventory_after_return(only, inventory, AS_OF)
+    kept = ("equipment_id", "available_quantity", "rented_quantity", "last_updated")
+    assert set(after.select(*kept).collect()) == set(inventory.select(*kept).collect())
+
+
+def test_items_follow_their_rentals(spark):
+    from gearledger.operators.rejects import Decision, no_refusal, refuse
+
+    frame_of = frame(spark, [(1, "R1"), (2, "R2")], ASK).withColumn(
+        "refusal", F.when(F.col("rental_id") == "R2", refuse("confirm_pickup", -20001)).otherwise(no_refusal()))
+    items = frame(spark, [("I1", "R1", "LOST"), ("I2", "R2", "LOST"), ("I3", "R3", None)],
+                  "rental_item_id string, rental_id string, item_status string")
+    decision = Decision(frame_of, "request_id")
+    status = lambda df: {r.rental_item_id: r.item_status for r in df.collect()}
+    assert status(rentals.picked_up_items(decision, items)) == {"I1": "BORROWING", "I2": "LOST", "I3": None}
+    assert status(rentals.completed_items(decision, items)) == {"I1": "RETURNED", "I2": "LOST", "I3": None}

@@ -1,6 +1,7 @@
 """Allocation against serving the requests one after another."""
 
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -25,7 +26,7 @@ def sequential(requests, capacity, doomed=()):
     return served
 
 
-def run(spark, requests, capacity, stream_lines, doomed=()):
+def run(spark, requests, capacity, stream_lines, doomed=(), **options):
     rows = {True: [], False: []}
     for seq, (request, lines) in enumerate(requests):
         for equipment, units in lines:
@@ -36,6 +37,7 @@ def run(spark, requests, capacity, stream_lines, doomed=()):
         levels,
         probes=spark.createDataFrame(rows[True], LINES) if doomed else None,
         stream_lines=stream_lines,
+        **options,
     )
     answers = [(r.request_id, r.served) for r in got.collect()]
     assert len(answers) == len(dict(answers))
@@ -50,11 +52,33 @@ requests_strategy = st.lists(
 
 @settings(max_examples=6, deadline=None)
 @given(lines=requests_strategy, stocks=st.lists(st.integers(0, 30), min_size=3, max_size=4),
-       stream=st.sampled_from([0, 10**6]))
-def test_allocation_equals_sequential(spark, lines, stocks, stream):
+       stream=st.sampled_from([0, 10**6]), head=st.sampled_from([7, 10**5]))
+def test_allocation_equals_sequential(spark, lines, stocks, stream, head):
     requests = list(enumerate(lines, start=100))
     capacity = dict(enumerate(stocks, start=1))
-    assert run(spark, requests, capacity, stream) == sequential(requests, capacity)
+    assert run(spark, requests, capacity, stream, head_lines=head) == sequential(requests, capacity)
+
+
+def chain(n):
+    """Every request shares an equipment with the one before it and the one after it."""
+    return [(i, [(i % 25 + 1, 1), ((i + 1) % 25 + 1, 1)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("length, head, most", [(2000, stock.HEAD_LINES, 1), (24, 12, 4)])
+def test_a_chain_ends_in_few_rounds(spark, monkeypatch, length, head, most):
+    rounds = []
+    path = stock.new_path
+    monkeypatch.setattr(stock, "new_path", lambda *a: rounds.append(path(*a)) or rounds[-1])
+    capacity = {e: 1 for e in range(1, 26)}
+    assert run(spark, chain(length), capacity, 0, head_lines=head) == sequential(chain(length), capacity)
+    assert len(list(Path(rounds[0]).glob("round=*"))) <= most
+
+
+def test_many_lines_of_one_equipment_at_once(spark):
+    rng = random.Random(9)
+    requests = [(n, [(rng.randint(1, 3), rng.randint(1, 400))]) for n in range(3000)]
+    capacity = {1: 40_000, 2: 3, 3: 0}
+    assert run(spark, requests, capacity, 10**6) == sequential(requests, capacity)
 
 
 @pytest.mark.parametrize("stream_lines", [0, 10**6])
@@ -105,7 +129,7 @@ def test_rent_out_codes_and_buckets(spark):
     )
     decision = stock.rent_out(requests, inventory)
     codes = {r.key: r.code for r in decision.rejects.collect()}
-    assert codes == {"2": -20011, "4": -20010, "5": -1403, "6": -20011, "7": -20010}
+    assert codes == {"2": -20011, "4": -20010, "5": -1403, "6": -20011, "7": -1407}
     after = stock.inventory_after_rent(decision.accepted, inventory, "2024-07-01 00:00:00")
     assert {r.equipment_id: (r.available_quantity, r.rented_quantity) for r in after.collect()} == {
         1: (0, 5), 2: (None, 0)}
