@@ -93,12 +93,13 @@ def winnow(docs: DataFrame) -> DataFrame:
 def later_windows(docs: DataFrame) -> DataFrame:
     """(d, h, start) of the windows that also start earlier."""
     windows = winnow(docs)
-    repeated = windows.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    # Settled, so that the joins may split a popular fingerprint: below an aggregate they could not.
+    repeated = settle(windows.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
     met = settle(windows.join(repeated, "fingerprint"))
     first = met.groupBy("fingerprint", "window").agg(
         F.min(F.struct("d", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    known = met.join(first.where("n > 1"), ["fingerprint", "window"])
+    known = met.join(settle(first.where("n > 1")), ["fingerprint", "window"])
     return known.where(F.struct("d", "h", "start") != F.col("first")).select("d", "h", "start")
 
 

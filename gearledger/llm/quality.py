@@ -31,8 +31,8 @@ from .common import settle, unwrap, whole_text, wrap
 FOLDS = 5
 # Below this score a document is rejected.
 THRESHOLD = 0.3
-# Part of a class covariance that is replaced by the pooled diagonal.
-SHRINKAGE = 0.1
+# Weight of the pooled diagonal in a class covariance, in rows per feature: few rows shrink much.
+SHRINKAGE = 2.0
 FEATURES = (
     "log_bytes", "letters", "upper", "digits", "blanks", "lines", "stops", "pipes", "symbols",
     "word_length", "words_per_line", "distinct_words", "entropy", "repeated_lines", "capitalised",
@@ -129,7 +129,8 @@ def learn(vectors: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -
     pooled = np.diag((cov * count[:, None, None]).sum(axis=0) / count.sum()).clip(min=0) + 1e-4
     whiten, log_det = np.zeros((2, d, d)), np.zeros(2)
     for k in (0, 1):
-        factor = np.linalg.cholesky((1 - shrinkage) * cov[k] + shrinkage * np.diag(pooled) + 1e-6 * np.eye(d))
+        part = shrinkage * d / (shrinkage * d + count[k])
+        factor = np.linalg.cholesky((1 - part) * cov[k] + part * np.diag(pooled) + 1e-6 * np.eye(d))
         whiten[k] = np.linalg.inv(factor)
         log_det[k] = np.log(np.diag(factor)).sum()
     return Model(mean, whiten, log_det, np.log(count / count.sum()))
