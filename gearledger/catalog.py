@@ -26,6 +26,7 @@ from .sources.mapping import RentalTables
 from .streaming import jobs
 
 AS_OF = "2024-07-01 00:00:00"
+CLIENT = "192.0.2.10"  # an address reserved for documentation
 
 Query = Callable[[RentalTables], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -700,14 +701,15 @@ def _(t: RentalTables) -> DataFrame:
 
 @query("tr7_status_log")
 def _(t: RentalTables) -> DataFrame:
-    return audit.status_log(_status_changes(t), t["rental_items"], AS_OF)
+    return audit.status_log(_status_changes(t), t["rental_items"], AS_OF, CLIENT)
 
 
 @query("tr8_equipment_available")
 def _(t: RentalTables) -> DataFrame:
-    return checks.check_available(t["rental_items"], t["equipments"]).outcome(
+    told = checks.check_available(t["rental_items"], t["equipments"]).outcome(
         "rental_item_id", "equipment_id", "equipment_status"
     )
+    return told.withColumn("message", checks.with_status("message"))
 
 
 @query("tr9_rental_totals")

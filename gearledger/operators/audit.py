@@ -83,8 +83,13 @@ def status_changes(
     )
 
 
-def status_log(changes: DataFrame, items_after: DataFrame, as_of: str) -> DataFrame:
-    """One audit row per item status change, naming the status the equipment received."""
+def status_log(
+    changes: DataFrame, items_after: DataFrame, as_of: str, ip_address: str | None = None
+) -> DataFrame:
+    """One audit row per item status change, naming the status the equipment received.
+
+    ``ip_address`` is the client's, where the caller knows one.
+    """
     text = F.concat(
         F.lit("Updated equipment status to "),
         F.col("new_status"),
@@ -101,6 +106,7 @@ def status_log(changes: DataFrame, items_after: DataFrame, as_of: str) -> DataFr
         F.col("equipment_id").cast("string").alias("record_id"),
         C.clock(as_of).alias("action_time"),
         text.alias("description"),
+        F.lit(ip_address).cast("string").alias("ip_address"),
     )
 
 

@@ -178,6 +178,15 @@ def check_items(new_items: DataFrame, existing: DataFrame, equipments: DataFrame
     return Decision(decided.select(*fields, "subtotal", "refusal"), "rental_item_id")
 
 
+def with_status(message: str) -> Column:
+    """The message of an unavailable equipment names it and its status."""
+    named = F.concat(
+        F.col(message), F.lit(" "), F.col("equipment_id").cast("string"), F.lit(". Status: "),
+        F.col("equipment_status"),
+    )
+    return F.when(F.col("code") == -20050, named).otherwise(F.col(message))
+
+
 def check_available(new_items: DataFrame, equipments: DataFrame) -> Decision:
     """Refuse items whose equipment is not AVAILABLE (or unknown)."""
     decided = new_items.select("rental_item_id", "equipment_id").join(

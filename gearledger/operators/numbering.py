@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 # A group up to this many rows may be sorted by one task.
 GROUP_ROWS = 5_000_000
 # Width of a slice of a whole-number key, as a power of two.
@@ -89,6 +91,14 @@ def key_slices(key: str, top: int | None = None) -> dict[str, Column]:
     return slices
 
 
+def time_slices(time: str) -> dict[str, Column]:
+    """Coarser levels above a time: the day, and the second of at most 86,400 in it.
+
+    What is left inside a second are its at most 10^6 microseconds.
+    """
+    return {"_day": F.to_date(time), "_second": F.date_trunc("second", F.col(time))}
+
+
 def dense_number(df: DataFrame, key: str, out: str, top: int | None = None) -> DataFrame:
     """Number the rows from 1 in the order of a unique bigint key."""
     # The whole table is one group here: always at least one level above the rows.
@@ -102,10 +112,11 @@ def dense_number_by_time(
     df: DataFrame, time: str, key: str, out: str, top: int | None = None
 ) -> DataFrame:
     """Number the rows from 1 in the order of (time, unique bigint key)."""
-    slices = key_slices(key, top)
-    sliced = df.withColumns({"_day": F.to_date(time), **slices, "_one": F.lit(1)})
-    numbered = running_total(sliced, [], ["_day", time, *slices, key], {out: "_one"})
-    return numbered.withColumn(out, F.col(out) + 1).drop("_day", *slices, "_one")
+    slices = {**time_slices(time), **key_slices(key, top)}
+    sliced = df.withColumns({**slices, "_one": F.lit(1)})
+    levels = [*time_slices(time), time, *key_slices(key, top), key]
+    numbered = running_total(sliced, [], levels, {out: "_one"})
+    return numbered.withColumn(out, F.col(out) + 1).drop(*slices, "_one")
 
 
 def number_in_group(
@@ -119,7 +130,8 @@ def number_in_group(
 
     A table of at most ``group_rows`` rows cannot hold a larger group, so one window is safe
     (the row count of a Parquet scan comes from the footers). A larger table is first counted
-    per group; groups above the bound are numbered by levels, the others by the window.
+    per group; groups above the bound are numbered by levels, the others by the window. The
+    null group counts as a group like any other.
     """
     plain = Window.partitionBy(*group).orderBy(*order)
 
@@ -129,15 +141,14 @@ def number_in_group(
     total = df.count()
     if total <= group_rows:
         return numbered(df)
-    # At most total / bound groups can exceed the bound; keep that list small as well.
-    bound = max(group_rows, total // 10_000)
-    hot = df.groupBy(*group).count().where(F.col("count") > bound).select(*group)
-    found = [row.asDict() for row in hot.collect()]
-    if not found:
+    # The bound does not grow with the table, and the list of groups stays a table.
+    counts = df.groupBy(*group).count().where(F.col("count") > group_rows)
+    hot = settle(counts.select(*[F.col(g).alias(f"_hot_{g}") for g in group]))
+    if hot.isEmpty():
         return numbered(df)
-    hot = df.sparkSession.createDataFrame(found, hot.schema)
-    rare = df.join(F.broadcast(hot), group, "left_anti")
-    popular = df.join(F.broadcast(hot), group, "left_semi")
+    same = [F.col(g).eqNullSafe(F.col(f"_hot_{g}")) for g in group]
+    rare = df.join(hot, same, "left_anti")
+    popular = df.join(hot, same, "left_semi")
     return numbered(rare).unionByName(_number_by_levels(popular, group, order, out))
 
 

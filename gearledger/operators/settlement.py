@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import settle
-from .numbering import running_total
+from .numbering import running_total, time_slices
 
 
 def overdue(rentals: DataFrame, as_of: str) -> DataFrame:
@@ -88,10 +88,10 @@ def overlapping_rentals(rentals: DataFrame, items: DataFrame) -> DataFrame:
         )
         .groupBy("equipment_id", "at")
         .agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-        .withColumn("_day", F.to_date("at"))
+        .withColumns(time_slices("at"))
     )
     counted = running_total(
-        timeline, ["equipment_id"], ["_day", "at"], {"starts_before": "s", "ends_before": "e"}
+        timeline, ["equipment_id"], [*time_slices("at"), "at"], {"starts_before": "s", "ends_before": "e"}
     )
     starts = counted.select("equipment_id", F.col("at").alias("held_to"), "starts_before")
     ends = counted.select(

@@ -7,7 +7,7 @@ joins where they count timelines, and recursion where they allocate in rounds.
 
 from __future__ import annotations
 
-from .catalog import AS_OF, BROKEN, ID_TRIGGERS
+from .catalog import AS_OF, BROKEN, CLIENT, ID_TRIGGERS
 from .operators.rejects import REFUSALS
 from .sources import schemas
 from .sources.mapping import oracle_ctes
@@ -844,7 +844,7 @@ _add("tr7_status_log", ("rental_items", "equipments"),
      f"""SELECT 'UPDATE' AS action, 'EQUIPMENTS' AS table_name, CAST(i.equipment_id AS VARCHAR) AS record_id,
                 {NOW} AS action_time,
                 'Updated equipment status to ' || s.new_status || ' due to rental item '
-                || CAST(i.rental_item_id AS VARCHAR) || ' changed from BORROWING to ' || i.item_status AS description
+                || CAST(i.rental_item_id AS VARCHAR) || ' changed from BORROWING to ' || i.item_status AS description, '{CLIENT}' AS ip_address
          FROM rental_items i JOIN statuses s ON s.equipment_id = i.equipment_id
          WHERE i.item_status <> 'BORROWING'""",
      _STATUS)
@@ -852,7 +852,8 @@ _add("tr8_equipment_available", ("rental_items", "equipments"),
      f"""SELECT i.rental_item_id, i.equipment_id, e.status AS equipment_status,
                 CASE WHEN e.status <> 'AVAILABLE' THEN 'item_available' END AS source,
                 CAST(CASE WHEN e.status <> 'AVAILABLE' THEN -20050 END AS BIGINT) AS code,
-                CASE WHEN e.status <> 'AVAILABLE' THEN '{REFUSALS["item_available", -20050]}' END AS message
+                CASE WHEN e.status <> 'AVAILABLE' THEN '{REFUSALS["item_available", -20050]} '
+                     || CAST(i.equipment_id AS VARCHAR) || '. Status: ' || e.status END AS message
          FROM rental_items i JOIN equipments e ON e.equipment_id = i.equipment_id""")
 _add("tr9_rental_totals", ("rentals", "rental_items"),
      """SELECT r.rental_id, CAST(coalesce(sum(i.subtotal), 0) AS DOUBLE) AS total_amount

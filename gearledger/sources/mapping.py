@@ -162,10 +162,11 @@ MAPPING: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)})
                   AS rn
         FROM {{lineitem}}""",
-    # Lines beyond the 999th of one order get ids below zero, so that ids stay unique.
+    # Lines beyond the 999th of one order get ids below zero, so that ids stay unique: room for
+    # 10^9 lines of each of 9 * 10^9 orders in a bigint.
     "item_source": """
         SELECT CASE WHEN rn < 1000 THEN l_orderkey * 1000 + rn
-                    ELSE -(l_orderkey * 10000000 + rn) END AS rental_item_id,
+                    ELSE -(l_orderkey * 1000000000 + rn) END AS rental_item_id,
                l_orderkey AS rental_id, l_partkey AS equipment_id, cast(l_quantity AS int) AS quantity,
                l_linenumber AS days, e.rental_price_per_day AS price_per_day,
                cast(cast(l_quantity AS int) * l_linenumber * e.rental_price_per_day

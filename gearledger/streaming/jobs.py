@@ -10,6 +10,9 @@ from ..operators.audit import audit_columns
 from ..session import new_path
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A Parquet folder or file as a stream, with the schema of the files there now."""
     # A file source takes a single file only through a pattern; this one matches one name.
@@ -40,7 +43,15 @@ def run_audit(changes: DataFrame, table: str, thing: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(log)
+    # The log's schema is known, so a feed without files gives no rows.
+    return spark.read.schema(audit_log(changes, table, thing).schema).parquet(_made(spark, log))
+
+
+def _made(spark: SparkSession, path: str) -> str:
+    """A folder that may not have been written because nothing came."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return path
 
 
 def rental_totals(changes: DataFrame) -> DataFrame:
@@ -65,17 +76,20 @@ def run_totals(changes: DataFrame) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    # Totals never close, so their state grows with the rentals: on disk, not in the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    totals = rental_totals(changes)
     query = (
-        rental_totals(changes)
-        .writeStream.outputMode("update")
+        totals.writeStream.outputMode("update")
         .option("checkpointLocation", state)
         .foreachBatch(keep)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    fields = f"{', '.join(f'{n} {k}' for n, k in totals.dtypes)}, batch long"
     return (
-        spark.read.parquet(out)
+        spark.read.schema(fields).parquet(_made(spark, out))
         .groupBy("rental_id")
         .agg(F.max_by("total_amount", "batch").alias("total_amount"))
     )

@@ -81,3 +81,22 @@ def test_windows_see_bounded_groups(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 3
     assert "_one" not in windows[-1]
+
+def test_the_null_group_is_split_too(spark):
+    rows = [(None, i % 7) for i in range(300)] + [(1, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g long, k long")
+    got = numbering.number_in_group(df, ["g"], ["k"], "n", group_rows=50)
+    plain = {}
+    for g, k, n in sorted(((r.g, r.k, r.n) for r in got.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2])):
+        plain.setdefault(g, []).append((k, n))
+    for g, pairs in plain.items():
+        assert [n for _, n in pairs] == list(range(1, len(pairs) + 1))
+        assert [k for k, _ in pairs] == sorted(k for k, _ in pairs)
+
+
+def test_many_moments_in_one_day(spark):
+    df = spark.range(3000).selectExpr(
+        "timestamp_micros((id * 7919) % 3000 * 1000 + 86400000000) AS t", "id AS key")
+    got = numbering.dense_number_by_time(df, "t", "key", "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 3001))
+    assert [(r.t, r.key) for r in got] == sorted((r.t, r.key) for r in got)

@@ -58,3 +58,12 @@ def test_streamed_totals_equal_recomputed_totals(spark, changes):
     streamed = {r.rental_id: r.total_amount
                 for r in jobs.run_totals(jobs.file_stream(spark, changes, 2)).collect()}
     assert streamed == batch
+
+
+def test_a_feed_without_files_gives_no_rows(spark, changes, tmp_path):
+    empty = tmp_path / "nothing"
+    empty.mkdir()
+    feed = spark.readStream.schema(spark.read.parquet(changes).schema).parquet(str(empty))
+    assert jobs.run_totals(feed).count() == 0
+    log = jobs.run_audit(feed, "RENTAL_ITEMS", "rental item")
+    assert log.count() == 0 and "description" in log.columns
