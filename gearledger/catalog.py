@@ -53,11 +53,23 @@ def edge(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+# Queries that read the numbered items several times write them once instead.
+ITEMS_ONCE = (
+    "dq1_", "dq3_", "dq4_", "tr1_check", "tr11_", "tr12_", "tr14_", "sp7_", "sp10_",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: edge(fn(RentalTables(spark, folder)))
+    def bind(name: str, fn: Query) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tables = RentalTables(spark, folder)
+            if name.startswith(ITEMS_ONCE):
+                tables.settle("item_source")
+            return edge(fn(tables))
+
+        return run
 
-    return {name: bind(fn) for name, fn in _QUERIES.items()}
+    return {name: bind(name, fn) for name, fn in _QUERIES.items()}
 
 
 # ---------------------------------------------------------------- sources and sinks

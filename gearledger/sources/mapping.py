@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.numbering import number_in_group
-from ..session import tune
+from ..session import settle, tune
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -354,6 +354,13 @@ class RentalTables:
             self._frames[name] = self._build(name)
         return self._frames[name]
 
+    def settle(self, name: str) -> None:
+        """Write a derived table once; what is built on it from now on reads the copy.
+
+        For queries that need an expensive table several times.
+        """
+        self._frames[name] = settle(self[name])
+
     def _build(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.driver(name)
