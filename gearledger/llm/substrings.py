@@ -248,7 +248,8 @@ def fetch_bytes(classes: DataFrame, texts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, anchor_classes: int = ANCHOR_CLASSES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(d, h, pos, cnt): starts of strings that also start earlier, as ranges per document."""
     runs = anchored_runs(docs)
-    common = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Settled, so that the join may split a popular anchor: below an aggregate it could not.
+    common = settle(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
     runs = settle(runs.join(common, "anchor"))
     first = F.min(F.struct("d", "h", "pos", "cnt")).alias("first")
     classes = settle(runs.groupBy("anchor", "sid").agg(first, F.count(F.lit(1)).alias("n")))
@@ -257,7 +258,7 @@ def repeats(docs: DataFrame, anchor_classes: int = ANCHOR_CLASSES, shard_bytes:
     copies = runs.join(many, same).where(F.struct("d", "h", "pos") != F.struct("first.d", "first.h", "first.pos"))
     found = copies.select("d", "h", "pos", "cnt")
     differing = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    differing = differing.select("anchor", (F.col("_n") > anchor_classes).alias("hot"))
+    differing = settle(differing.select("anchor", (F.col("_n") > anchor_classes).alias("hot")))
     # Strings of one run differ: the anchor stands elsewhere in each.
     open_classes = classes.join(differing, "anchor").select("anchor", "first.*", "hot")
     fetched = settle(fetch_bytes(open_classes, docs))
@@ -270,7 +271,7 @@ def repeats(docs: DataFrame, anchor_classes: int = ANCHOR_CLASSES, shard_bytes:
     )
     spelled = strings_of(fetched.where("hot"))
     leader = spelled.groupBy("low", "high").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = spelled.join(leader.where("n > 1"), ["low", "high"]).where(F.struct("d", "h", "pos") != F.col("first"))
+    later = spelled.join(settle(leader.where("n > 1")), ["low", "high"]).where(F.struct("d", "h", "pos") != F.col("first"))
     return found.unionByName(compared).unionByName(later.select("d", "h", "pos", F.lit(1).alias("cnt")))
 
 
