@@ -11,6 +11,7 @@ Documents with equal sets are one class; links are sought between classes only.
 band every class is compared with a pivot, a different one each round, until the band lies in
 one component. What the pivots leave open is compared in blocks of ``BLOCK`` classes, so no
 band, however large, meets in one task, and pairs that are already connected are not made.
+Rounds of pivots end when they hardly add links.
 
 Scale: texts are read for the sketches and once more for the sets of candidates. Band keys
 move once to be counted and once to be kept; single ones end there. Links and components stay
@@ -26,6 +27,8 @@ part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -41,9 +44,11 @@ THRESHOLD = 75
 REGISTERS, ROWS = 256, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-# An estimate this far below the threshold is six standard deviations away.
-FLOOR = 0.58
-PIVOT_ROUNDS = 3
+# An estimate this far below the threshold is over five standard deviations away, and so is a
+# share of equal registers.
+FLOOR, NEAR = 0.6, 0.58
+# Pivots go on while a round adds this part of all links; blocks find what is left.
+PAYS_OFF, PIVOT_ROUNDS = 0.1, 4
 BLOCK = 512
 PIECE = 4096
 
@@ -174,22 +179,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("_i") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("_i"))).select("a", "b")
 
 
-def block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components between two blocks of a band."""
-    a, b = block[block["side"] == 0], block[block["side"] == 1]
-    found = []
-    if len(a) and len(b):
-        left, right = matrix(a["registers"]), matrix(b["registers"])
-        keys, roots, sizes = list(b["key"]), list(b["root"]), b["n"].to_numpy(float)
-        for i in range(len(a)):
-            key, root, n = a["key"].iloc[i], a["root"].iloc[i], float(a["n"].iloc[i])
-            apart = np.array([r != root and k > key for r, k in zip(roots, keys)])
-            near = apart & (100 * np.minimum(sizes, n) >= THRESHOLD * np.maximum(sizes, n))
-            rows = np.flatnonzero(near)
-            if len(rows):
-                est = estimate(left[i][None, :], right[rows], np.full(len(rows), n), sizes[rows])
-                found += [(key, keys[r], int(n), int(sizes[r])) for r in rows[est >= FLOOR]]
-    return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+def pairs_within(block: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """Row numbers of plausible pairs in one block of a band, or between two of them.
+
+    A pair belongs to the first band that it shares, so it is made once.
+    """
+    slot = block["slot"].iloc[0]
+    table, sizes = matrix(block["registers"]), block["n"].to_numpy(float)
+    numbers: dict[bytes, int] = {}
+    roots = np.array([numbers.setdefault(r, len(numbers)) for r in block["root"]])
+    side = block["side"].to_numpy()
+    left, right = [], []
+    for i in np.flatnonzero(side != 1):
+        rest = np.arange(i + 1, len(block)) if side[i] == 2 else np.flatnonzero(side == 1)
+        rest = rest[(roots[rest] != roots[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= THRESHOLD * np.maximum(sizes[rest], sizes[i]))]
+        if len(rest):
+            equal = table[rest] == table[i]
+            first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            rest = rest[(equal.mean(axis=1) >= NEAR) & (first == slot)]
+            left += [i] * len(rest)
+            right += rest.tolist()
+    return left, right
+
+
+def block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Plausible pairs of different components from rows sorted by (band, i, j)."""
+
+    def judge(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        left, right = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > 1:
+                x, y = pairs_within(rows.iloc[a:b])
+                left += [a + i for i in x]
+                right += [a + i for i in y]
+        one, other = rows.iloc[left], rows.iloc[right]
+        swap = np.array([x > y for x, y in zip(one["key"], other["key"])], bool)
+        na, nb = one["n"].to_numpy(), other["n"].to_numpy()
+        est = estimate(matrix(one["registers"]), matrix(other["registers"]), na.astype(float), nb.astype(float)) if len(left) else np.zeros(0)
+        found = pd.DataFrame({
+            "a": np.where(swap, other["key"], one["key"]), "b": np.where(swap, one["key"], other["key"]),
+            "n_a": np.where(swap, nb, na), "n_b": np.where(swap, na, nb),
+        })
+        return found[est >= FLOOR]
+
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        group = rows[["band", "i", "j"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+        # The last group may go on in the next batch.
+        held = rows.iloc[edges[-1] :].reset_index(drop=True)
+        if len(edges) > 1:
+            yield judge(rows, edges)
+    if held is not None:
+        yield judge(held, np.array([0, len(held)]))
+
+
+def place(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with the root of their component, themselves where they have none yet."""
+    if roots is None:
+        return members.withColumn("root", F.col("key"))
+    known = roots.withColumnRenamed("node", "key")
+    return members.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def open_bands(placed: DataFrame, turn: int) -> DataFrame:
+    """Bands that lie in more than one component, with their size and this turn's pivot.
+
+    First it is the class that meets the most others, as the origin of many copies does, then
+    any one.
+    """
+    order = -F.col("meets") if turn == 0 else F.xxhash64(F.lit(turn), "key")
+    mark = F.struct(order.alias("order"), F.col("key").alias("key"), F.col("root").alias("root"))
+    return placed.groupBy("band").agg(
+        F.min(mark).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")
+    ).where("low <> high").drop("low", "high")
+
+
+def extend(links: DataFrame, roots: DataFrame | None, fresh: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """All links, their components, and how many links are new."""
+    added = fresh.count()
+    if not added:
+        return links, roots, 0
+    links = links.unionByName(fresh)
+    return links, settle(components(links)), added
 
 
 def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -201,9 +274,11 @@ def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
         )
     )
     band = lambda i: F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS))
-    bands = classes.select("key", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
-    shared = bands.groupBy("band").count().where("count > 1").select("band")
+    bands = classes.select("key", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("slot", "band"))
+    shared = settle(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     members = settle(bands.join(shared, "band"))
+    meets = settle(members.groupBy("key").agg(F.sum("size").alias("meets")))
+    members = settle(members.drop("size").join(meets, "key"))
     candidates = classes.join(members.select("key").distinct(), "key").select("key", "at.*")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = candidates.join(
@@ -213,46 +288,38 @@ def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
     # Rows of equal keys are equal; the join has brought them together.
     one = rows.dropDuplicates(["doc_id", "text_hash", "key"])
     sets = settle(one.select("key", set_of(whole_text()).alias("hashes")))
-    links = settle(members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
-    roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("key"))
-        if roots is not None:
-            known = roots.withColumnRenamed("node", "key")
-            placed = members.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        spread = placed.groupBy("band").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "key"), F.col("key").alias("key"), F.col("root").alias("root"))).alias("pivot"),
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"),
-        ).where("low <> high")
-        if turn < PIVOT_ROUNDS:
-            pairs = placed.join(spread, "band").where(F.col("root") != F.col("pivot.root")).select(
-                F.col("key").alias("a"), F.col("pivot.key").alias("b")
-            ).distinct()
-            near = plausible(pairs, classes)
-            # One confirmation per class and round: its most similar pivot.
-            near = near.groupBy("a").agg(F.max(F.struct("est", "b", "n_a", "n_b")).alias("best")).select("a", "best.*")
-        else:
-            parts = F.ceil(F.col("size") / BLOCK)
-            open_bands = placed.join(spread.select("band", parts.cast("int").alias("parts")), "band").withColumn(
-                "part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-            )
-            other = F.sequence(F.lit(0), F.col("parts") - 1)
-            sides = open_bands.select(
-                "band", "key", "root",
-                F.inline(F.concat(
-                    F.transform(other, lambda p: F.struct(F.col("part").alias("i"), p.alias("j"), F.lit(0).alias("side"))),
-                    F.transform(other, lambda p: F.struct(p.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))),
-                )),
-            )
-            told = sides.join(classes.select("key", "n", "registers"), "key")
-            near = told.groupBy("band", "i", "j").applyInPandas(
-                block_pairs, "a binary, b binary, n_a long, n_b long"
-            ).distinct()
-        fresh = settle(confirmed(near, sets))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = settle(components(links))
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    ends = members.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    links, roots, total = settle(ends.limit(0)), None, 0
+    # Settled aggregates: a join below an aggregate could not split a popular band.
+    for turn in range(PIVOT_ROUNDS):
+        placed = settle(place(members, roots))
+        pivots = settle(open_bands(placed, turn))
+        pairs = placed.join(pivots, "band").where(F.col("root") != F.col("pivot.root")).select(
+            F.col("key").alias("a"), F.col("pivot.key").alias("b")
+        ).distinct()
+        # One confirmation per class and round: its most similar pivot.
+        near = plausible(pairs, classes).groupBy("a").agg(F.max(F.struct("est", "b", "n_a", "n_b")).alias("best"))
+        links, roots, added = extend(links, roots, settle(confirmed(near.select("a", "best.*"), sets)))
+        total += added
+        if added <= PAYS_OFF * total:
+            break
+    placed = settle(place(members, roots))
+    sizes = settle(open_bands(placed, 0).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
+    dealt = placed.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    sides = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda p: F.struct(
+            F.least(F.col("part"), p).alias("i"), F.greatest(F.col("part"), p).alias("j"),
+            F.when(F.col("part") == p, 2).when(F.col("part") < p, 0).otherwise(1).alias("side"),
+        ),
+    )
+    told = dealt.select("band", "slot", "key", "root", F.inline(sides)).join(classes.select("key", "n", "registers"), "key")
+    near = (
+        told.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        .mapInPandas(block_pairs, "a binary, b binary, n_a long, n_b long")
+    )
+    _, roots, _ = extend(links, roots, settle(confirmed(near, sets)))
+    return roots if roots is not None else ends.limit(0).toDF("node", "root")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
