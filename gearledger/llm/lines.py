@@ -74,18 +74,22 @@ def windows_of(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return parts.min(axis=0), scramble((parts * ODD[:, None]).sum(axis=0, dtype=np.uint64))
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
+
+
 def winnow(docs: DataFrame) -> DataFrame:
     """(d, h, fingerprint, window, start) of every window of the documents."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for d, h, data in zip(batch["d"], batch["h"], batch["data"]):
-                least, window = windows_of(lines_of(data)[1])
-                if len(least):
-                    yield pd.DataFrame({
-                        "d": d, "h": h, "fingerprint": least.view(np.int64), "window": window.view(np.int64),
-                        "start": np.arange(len(least), dtype=np.int32),
-                    })
+            found = [windows_of(lines_of(data)[1]) for data in batch["data"]]
+            sizes = np.array([len(least) for least, _ in found], np.int64)
+            yield pd.DataFrame({
+                "d": np.repeat(batch["d"].to_numpy(), sizes), "h": np.repeat(batch["h"].to_numpy(), sizes),
+                "fingerprint": joined([least for least, _ in found]), "window": joined([window for _, window in found]),
+                "start": (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
+            })
 
     return docs.mapInPandas(find, WINDOWS)
 
