@@ -17,6 +17,7 @@ gives no files; further columns play no part.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,12 +36,14 @@ from .huffman import BLOCK, Code
 
 END_ID = 2
 SEGMENT_BYTES = 2 << 20
-# Words a worker remembers.
-REMEMBERED, LONG_WORD = 300_000, 64
+# Words a worker remembers, the longest of them, and how many are encoded in one call.
+REMEMBERED, LONG_WORD, TOGETHER = 150_000, 64, 2000
 
 # A blank between two visible characters always begins a token, so texts may be cut there.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-UNEVEN = re.compile(r" \s|\s ")
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+UNEVEN = [" " + s for s in SPACES] + [s + " " for s in SPACES if s != " "]
+UNEVEN_ASCII = [pair for pair in UNEVEN if pair.isascii()]
 
 SEGMENT = (
     "part int, segment int, before long, doc_ids binary, missing binary, sizes array<int>, "
@@ -51,6 +54,21 @@ SEGMENT = (
 STORED = ("before", "doc_ids", "missing", "sizes", "stream", "checkpoints")
 
 
+def blank_begins_token(vocabulary: str) -> bool:
+    """Whether the tokenizer is of the kind whose texts may be cut at blanks."""
+    config = json.loads(vocabulary)
+    kind = config.get("pre_tokenizer") or {}
+    plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    return bool(plain and not config.get("normalizer"))
+
+
+def id_kind(vocabulary: str) -> str:
+    """The integer type that holds every id of a vocabulary."""
+    config = json.loads(vocabulary)
+    added = [token["id"] for token in config.get("added_tokens", [])]
+    return "<u2" if max([END_ID, len(config["model"]["vocab"]), *added]) < 1 << 16 else "<u4"
+
+
 class Encoder:
     """A tokenizer that encodes a word it has seen from memory."""
 
@@ -58,25 +76,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.kind = id_kind(vocabulary)
+        self.cuts = blank_begins_token(vocabulary)
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def learn(self, memory: dict[str, bytes], words: set[str], prefix: str) -> list[str]:
-        """Put all words into memory; those too long to stay there."""
-        fresh = words.difference(memory)
-        if len(memory) + len(fresh) > REMEMBERED:
-            memory.clear()
-            fresh = words
-        fresh = list(fresh)
-        done = self.tokenizer.encode_batch([prefix + w for w in fresh], add_special_tokens=False)
-        memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, done))
-        return [w for w in fresh if len(w) > LONG_WORD]
+        """Put all words into memory; those that may not stay there.
+
+        Frequent words come early, so the first ones stay and later ones are encoded anew.
+        """
+        fresh, room = words.difference(memory), max(REMEMBERED - len(memory), 0)
+        # A full stop or comma after letters is a token of its own, so the letters are enough.
+        marked = {w for w in fresh if w[-1:] in (".", ",") and w[:-1].isalpha() and max(w) < "\u0250"}
+        stems = {w[:-1] for w in marked}.difference(memory)
+        # Words that hold other white space are no lines; they go one by one at the end.
+        plain = sorted(fresh - marked | stems, key=lambda w: w.split() != [w])
+        memory.update(zip(plain, self.encode_words(plain, prefix)))
+        for mark in ".,":
+            if mark not in self.marks:
+                self.marks[mark] = self.whole(mark)
+        memory.update((w, memory[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        learned = [*plain, *marked]
+        return learned[room:] + [w for w in learned[:room] if len(w) > LONG_WORD]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode_words(self, words: list[str], prefix: str) -> Iterator[bytes]:
+        """Ids of each word; with a blank before them many are encoded as the lines of one text."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            if prefix and self.line_end is not None and all(w.split() == [w] for w in some):
+                ids = np.array(self.tokenizer.encode("\n".join(prefix + w for w in some), add_special_tokens=False).ids, self.kind)
+                ends = np.flatnonzero(ids == self.line_end)
+                edges = zip((0, *(ends + 1).tolist()), (*ends.tolist(), len(ids)))
+                yield from (ids[a:b].tobytes() for a, b in edges)
+            else:
+                done = self.tokenizer.encode_batch([prefix + w for w in some], add_special_tokens=False)
+                yield from (np.array(e.ids, self.kind).tobytes() for e in done)
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian 32-bit integers."""
+        """Ids of each text and the end id, as packed integers."""
+        end = np.array([end_id], self.kind).tobytes()
+        if not self.cuts:
+            done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [np.array(e.ids, self.kind).tobytes() + end for e in done]
         cut = []
         for text in texts:
-            if UNEVEN.search(text):
+            if any(pair in text for pair in (UNEVEN_ASCII if text.isascii() else UNEVEN)):
                 parts = CUT.split(text)
                 parts = [parts[0], *[p[1:] for p in parts[1:]]]
             else:
@@ -87,8 +138,8 @@ class Encoder:
             words.update(parts[1:])
         start, later = self.first, self.later
         long_heads, long_words = self.learn(start, heads, ""), self.learn(later, words, " ")
-        end = np.array([end_id], "<u4").tobytes()
-        out = [b"".join([start[p[0]], *[later[w] for w in p[1:]], end]) for p in cut]
+        found = later.__getitem__
+        out = [b"".join((start[p[0]], *map(found, p[1:]), end)) for p in cut]
         for memory, words in ((start, long_heads), (later, long_words)):
             for word in words:
                 del memory[word]
@@ -108,9 +159,9 @@ def encoder(vocabulary: Broadcast) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) written once, ids as packed 32-bit integers."""
+    """(doc_id, ids) written once, ids as packed integers."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Path(vocabulary).read_text())
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.BinaryType())
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,13 +175,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     return spark.read.schema("doc_id long, ids binary").parquet(path)
 
 
-def count_ids(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def count_ids(encoded: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and how often; at most the vocabulary's size."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch["ids"]), "<u4"))
+            found = np.bincount(np.frombuffer(b"".join(batch["ids"]), kind))
             if len(found) > len(total):
                 found[: len(total)] += total
                 total = found
@@ -144,17 +195,30 @@ def count_ids(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table["id"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
 
 
-def compress(encoded: DataFrame, code: Broadcast) -> DataFrame:
-    """(doc_id, missing, size, stream, checkpoints) per document; a null doc_id is 0 and missing."""
+def range_bounds(encoded: DataFrame, parts: int) -> np.ndarray:
+    """Ascending doc_ids that cut the rows into about equal parts; reads one column."""
+    cuts = [i / parts for i in range(1, parts)]
+    found = encoded.agg(F.percentile_approx("doc_id", cuts, 10 * parts)).first()[0] if cuts else None
+    return np.unique(np.array(found or [], np.int64))
+
+
+def compress(encoded: DataFrame, code: Broadcast, kind: str, bounds: np.ndarray) -> DataFrame:
+    """(part, doc_id, missing, size, stream, checkpoints) per document.
+
+    A null doc_id is 0 and missing, and in a part after all others.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = code.value
         for batch in batches:
-            sizes = batch["ids"].map(len).to_numpy(np.int64) // 4
-            stream, lengths, marks = own.encode(np.frombuffer(b"".join(batch["ids"]), "<u4").astype(np.int64), sizes)
+            ids = np.frombuffer(b"".join(batch["ids"]), kind).astype(np.int64)
+            sizes = batch["ids"].map(len).to_numpy(np.int64) // np.dtype(kind).itemsize
+            stream, lengths, marks = own.encode(ids, sizes)
             ends, blocks = np.cumsum(lengths), np.cumsum(-(-sizes // BLOCK))
             marks = marks.astype("<u4")
+            part = np.searchsorted(bounds, batch["doc_id"].to_numpy(np.int64), side="right")
             yield pd.DataFrame({
+                "part": np.where(batch["missing"], len(bounds) + 1, part),
                 "doc_id": batch["doc_id"], "missing": batch["missing"],
                 "size": sizes,
                 "stream": [stream[e - n : e] for e, n in zip(ends, lengths)],
@@ -162,7 +226,7 @@ def compress(encoded: DataFrame, code: Broadcast) -> DataFrame:
             })
 
     named = encoded.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "ids")
-    return named.mapInPandas(pack, "doc_id long, missing boolean, size int, stream binary, checkpoints binary")
+    return named.mapInPandas(pack, "part int, doc_id long, missing boolean, size int, stream binary, checkpoints binary")
 
 
 def segments(rows: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -189,9 +253,15 @@ def segments(rows: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
             number, before, held = number + 1, before + sum(sizes), []
             return pd.DataFrame([out])
 
-        size = 0
+        size, last = 0, None
         for batch in batches:
             for row in batch.to_dict("records"):
+                if held and held[0]["part"] != row["part"]:
+                    yield flush()
+                    number = before = size = 0
+                elif number and last != row["part"]:
+                    number = before = 0
+                last = row["part"]
                 held.append(row)
                 size += len(row["stream"])
                 if size >= segment_bytes:
@@ -206,12 +276,14 @@ def segments(rows: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> Code:
     """Write the documents' ids under ``path`` in ascending doc_id; the code that reads them."""
     spark = docs.sparkSession
-    encoded = encode_texts(docs, vocabulary, end_id)
-    code = Code.of(*count_ids(encoded))
-    packed = compress(encoded, spark.sparkContext.broadcast(code))
-    order = ["missing", "doc_id", "size"]
-    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order, "stream")
-    segments(dealt.withColumn("part", F.spark_partition_id())).write.parquet(path)
+    text = Path(vocabulary).read_text()
+    encoded, kind = encode_texts(docs, text, end_id), id_kind(text)
+    code = Code.of(*count_ids(encoded, kind))
+    # Several parts per task, so that those that meet in one by their hash even out.
+    bounds = range_bounds(encoded, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = compress(encoded, spark.sparkContext.broadcast(code), kind, bounds)
+    dealt = packed.repartition("part").sortWithinPartitions("part", "doc_id", "size", "stream")
+    segments(dealt).write.parquet(path)
     return code
 
 
@@ -221,7 +293,7 @@ def read_token_files(spark: SparkSession, path: str, code: Code) -> DataFrame:
     parts = stored.groupBy("part").agg(
         F.max(F.col("before") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("_n")
     )
-    # One row per file that was written.
+    # One row per part.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("offset"))
     placed = stored.join(offsets, "part").withColumn("before", F.col("before") + F.col("offset"))
