@@ -507,6 +507,53 @@ def test_lines(docs, none):
     assert lines.line_report(none).count() == 0
 
 
+def brute_passages(texts, size):
+    """What remains of single-line texts without the later copies of runs of ``size`` words."""
+    first, out = {}, {}
+    for i, text in sorted(texts.items()):
+        words = text.split()
+        grams = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
+        gone = {j for k, g in enumerate(grams) if first.setdefault(g, (i, k)) != (i, k) for j in range(k, k + size)}
+        out[i] = " ".join(w for j, w in enumerate(words) if j not in gone)
+    return out
+
+
+def test_passages_at_any_offset_of_a_line(spark):
+    """Passages of 48 to 60 words and of 500 at other word offsets, edited copies, own repeats."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    texts = {}
+    for size in [47, 48, *range(51, 61), 500]:
+        shared = some(size)
+        for before, after in ((5, 30), (9, 21), (rng.randint(0, 40), rng.randint(0, 40)), (0, 0)):
+            texts[len(texts)] = " ".join(some(before) + shared + some(after))
+    phrase = some(20)  # a popular short phrase whose first places are not the passage's
+    texts |= {len(texts) + i: " ".join(some(30) + phrase + some(30)) for i in range(20)}
+    passage = some(20) + phrase + some(15)
+    texts |= {len(texts) + i: " ".join(some(3 + i) + passage + some(7)) for i in range(3)}
+    long = some(300)
+    texts |= {len(texts) + i: " ".join(edited) for i, edited in enumerate(
+        [long, long[:70] + some(1) + long[70:], long[:130] + long[131:], some(7) + long[40:200] + some(2) + long[100:]])}
+    texts[len(texts)] = " ".join(["same"] * 90 + some(20) + ["same"] * 70)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    cut = lines.remove_repeats(docs).collect()
+    want = brute_passages(texts, lines.PASSAGE)
+    assert {r.doc_id: " ".join(bytes(r.kept).decode().split()) for r in cut} == want
+    report = {r.doc_id: r for r in lines.line_report(docs).collect()}
+    for r in cut:
+        assert report[r.doc_id].kept_sha256 == hashlib.sha256(bytes(r.kept)).hexdigest()
+        assert (len(r.removed) > 0) == (r.n_runs > 0) == (want[r.doc_id] != texts[r.doc_id])
+    assert all(report[i].n_removed for i in range(8, 13 * 4) if i % 4)
+
+
+def test_passages_contain_the_runs_of_lines(docs):
+    """Nothing that runs of lines remove stays."""
+    whole = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in lines.remove_repeats(docs).collect()}
+    for r in lines.remove_repeated_lines(docs).collect():
+        assert any(x[:2] == (r.doc_id, r.n_lines) and set(r.removed) <= set(x[2]) for x in whole)
+
+
 def test_wrapped_lines_tile_the_text():
     data = ("a b c\n\n  " + " ".join(f"w{i}" for i in range(50)) + "  \nend").encode()
     spans, hashes = lines.lines_of(data)
