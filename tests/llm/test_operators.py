@@ -547,6 +547,18 @@ def test_passages_at_any_offset_of_a_line(spark):
     assert all(report[i].n_removed for i in range(8, 13 * 4) if i % 4)
 
 
+def test_selected_positions_do_not_depend_on_the_place():
+    """Winnowing keeps few positions, and equal passages the same ones, across blocks of bytes too."""
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))
+    shared = text(500)
+    words = lines.Words([t.encode() for t in (f"{text(9)} {shared}", f"{text(3 * lines.BLOCK // 7)}\n{shared}\n{text(5)}")])
+    fingerprint, key, start, _ = lines.passages_of(words, lines.PASSAGE)
+    assert len(start) < len(words) / 14
+    both = [(f, k) for (f, k), n in Counter(zip(fingerprint.tolist(), key.tolist())).items() if n == 2]
+    assert len(both) > 20 and len(set(key.tolist())) == len(key) - len(both)
+
+
 def test_passages_contain_the_runs_of_lines(docs):
     """Nothing that runs of lines remove stays."""
     whole = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in lines.remove_repeats(docs).collect()}
