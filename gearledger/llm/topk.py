@@ -2,10 +2,10 @@
 
 Vectors are dealt to shards by id, queries to blocks. For each (shard, block) a ball tree is
 built over the shard: a node is a centre and a radius, and no vector in it can score above
-``q . centre + |q| * radius``. Nodes are visited from the highest bound down, and a query is
-done as soon as the bound falls below its current k-th score. Shards are searched in two
-waves: the k-th scores of the first wave's shard are shared with all others, so that most of
-their nodes are never opened.
+``q . centre + |q| * radius``. A queue opens nodes from the highest bound down, inner ones into
+the balls below them, and a query is done as soon as the bound falls below its current k-th score:
+one bound cuts a whole branch. Shards are searched in two waves: the k-th scores of the first
+wave's shard are shared once with all others, which do not hear of each other's.
 
 Scale: the queries are a stated set that meets all rows in blocks; a task holds one shard of
 at most about ``SHARD_ROWS`` vectors and one block of queries, whatever the table's size. Ids are
@@ -20,6 +20,8 @@ stop at the bound; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -29,26 +31,49 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 2048, 64
+SHARD_ROWS, BLOCK_ROWS, LEAF, LEVELS = 8192, 2048, 64, 4
 K, EVERY, SCALE = 5, 50, 256
 FOUND = "query_id long, vec_id long, score long"
 LIMIT = (-(1 << 63), (1 << 63) - 1)
 
 
-def leaves_of(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Row numbers of the tree's leaves: balls split at the median of their widest axis."""
-    todo, done = [np.arange(len(points))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= leaf:
-            done.append(rows)
-            continue
-        part = points[rows]
-        axis = int((part.max(axis=0) - part.min(axis=0)).argmax()) if part.shape[1] else 0
-        order = np.argsort(part[:, axis], kind="stable") if part.shape[1] else np.arange(len(rows))
-        half = len(rows) // 2
-        todo += [rows[order[:half]], rows[order[half:]]]
-    return done
+class Tree:
+    """Balls split at the median of their widest axis: every node has a centre and a radius.
+
+    ``children`` are the balls ``LEVELS`` splits below, so that one call gives many bounds.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        centres, radii = [], []
+        self.rows: list[np.ndarray] = [np.arange(len(points))]
+        halves: list[list[int]] = []
+        for node in itertools.count():
+            if node == len(self.rows):
+                break
+            rows = self.rows[node]
+            part = points[rows]
+            centres.append(part.mean(axis=0))
+            radii.append(np.sqrt(((part - centres[-1]) ** 2).sum(axis=1).max()))
+            halves.append([])
+            if len(rows) > leaf:
+                axis = int((part.max(axis=0) - part.min(axis=0)).argmax()) if part.shape[1] else 0
+                order = np.argsort(part[:, axis], kind="stable") if part.shape[1] else np.arange(len(rows))
+                half = len(rows) // 2
+                halves[node] = [len(self.rows), len(self.rows) + 1]
+                self.rows += [rows[order[:half]], rows[order[half:]]]
+        self.centres, self.radii = np.array(centres), np.array(radii)
+        self.children = [below[:] for below in halves]
+        for below in self.children:
+            for _ in range(LEVELS - 1):
+                below[:] = [x for node in below for x in halves[node] or [node]]
+
+    def bounds(self, nodes: list[int], vector: np.ndarray, length: float) -> list[float]:
+        """What no vector below the nodes can score above."""
+        reach = length * self.radii[nodes]
+        bounds = self.centres[nodes] @ vector + reach
+        # Rounding must never hide a row: widen the bound a little.
+        bounds += 1e-9 * (np.abs(bounds) + reach) + 1
+        return np.where(np.isnan(bounds), np.inf, bounds).tolist()
 
 
 def products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -64,20 +89,21 @@ def search(
     ids: np.ndarray, points: np.ndarray, queries: list[tuple[int, np.ndarray, int]], k: int
 ) -> list[tuple[int, int, int]]:
     """(query, id, score) of the k best rows per query that are not below its shared floor."""
-    leaves = leaves_of(points)
-    centres = np.array([points[rows].mean(axis=0) for rows in leaves])
-    radii = np.array([np.sqrt(((points[r] - c) ** 2).sum(axis=1).max()) for r, c in zip(leaves, centres)])
+    tree = Tree(points)
     found = []
     for query, vector, floor in queries:
         length = np.sqrt((vector**2).sum())
-        bounds = centres @ vector + length * radii
-        # Rounding must never hide a row: widen the bound a little.
-        bounds += 1e-9 * (np.abs(bounds) + length * radii) + 1
         best: list[tuple[int, int]] = []
-        for node in np.argsort(-bounds, kind="stable"):
-            if bounds[node] < floor:
-                break
-            rows = leaves[node]
+        # The highest bound first; what stays in the queue when it falls below the floor is cut.
+        queue = [(-tree.bounds([0], vector, length)[0], 0)]
+        while queue and -queue[0][0] >= floor:
+            node = heapq.heappop(queue)[1]
+            if inner := tree.children[node]:
+                for bound, child in zip(tree.bounds(inner, vector, length), inner):
+                    if bound >= floor:
+                        heapq.heappush(queue, (-bound, child))
+                continue
+            rows = tree.rows[node]
             scores = products(points[rows], vector)
             keep = (scores >= floor) & (ids[rows] != query)
             if keep.any():

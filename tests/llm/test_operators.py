@@ -154,6 +154,23 @@ def test_top_k(spark):
     assert topk.exact_top_k(vectors.limit(0)).count() == 0
 
 
+def test_one_bound_cuts_a_branch(monkeypatch):
+    """Far clusters are never split: fewer bounds than leaves, and the same answer as all products."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(-20, 20, (8192, 4)).astype(float)
+    points[:, 0] += 1000 * rng.integers(0, 16, 8192)
+    ids, vector, asked, bounds = np.arange(len(points)), np.array([9.0, 2.0, -1.0, 1.0]), [], topk.Tree.bounds
+    monkeypatch.setattr(topk.Tree, "bounds", lambda tree, nodes, *a: asked.extend(nodes) or bounds(tree, nodes, *a))
+    got = topk.search(ids, points, [(-1, vector, topk.LIMIT[0])], 5)
+    scores = (points @ vector).astype(int)
+    assert [(i, s) for _, i, s in got] == [(i, scores[i]) for i in sorted(ids, key=lambda i: (-scores[i], i))[:5]]
+    assert len(asked) < 8192 // topk.LEAF / 2
+    tree = topk.Tree(points)
+    for node, rows in enumerate(tree.rows):
+        assert np.sqrt(((points[rows] - tree.centres[node]) ** 2).sum(axis=1)).max() <= tree.radii[node]
+        assert not tree.children[node] or sorted(np.concatenate([tree.rows[c] for c in tree.children[node]])) == sorted(rows)
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 def test_token_files(spark, docs, none):
