@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the driver tables, BENCH_CPUS the local
 cores. Every query is planned and run to completion, all rows and columns, nothing cached
-between queries; the session is warmed with one untimed run of the first query.
+between queries; the session is warmed with one untimed run of the first query. A query that
+fails is reported under ``failed`` and the exit status is 1; the others are timed all the same.
 """
 
 from __future__ import annotations
@@ -33,16 +34,22 @@ HEADLINE = (
 )
 
 
-def main() -> None:
+def main() -> int:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, app="gearledger-bench")
     queries = catalog.queries()
     queries[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+        try:
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # one broken query must not hide the others
+            failed[name] = f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"
+            print(f"{name} FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     scale = Path(folder).name.removeprefix("sf")
@@ -55,11 +62,13 @@ def main() -> None:
                 "queries": seconds,
                 "sf": float(scale) if scale.replace(".", "").isdigit() else scale,
                 "cpus": int(cpus),
+                **({"failed": failed} if failed else {}),
             }
         )
     )
     spark.stop()
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

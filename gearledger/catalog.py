@@ -850,7 +850,7 @@ def _(t: RentalTables) -> DataFrame:
 
 @query("st2_deposit_settlement")
 def _(t: RentalTables) -> DataFrame:
-    return settlement.deposit_settlement(t["deposits"], t["invoices"], _refunds(t))
+    return settlement.deposit_settlement(t["deposits"], t["invoices"], _refunds(t).accepted)
 
 
 @query("st3_overlapping_rentals")

@@ -543,13 +543,16 @@ verdicts AS MATERIALIZED (
 made AS MATERIALIZED (
     SELECT v.*, row_number() OVER (ORDER BY rental_date, request_id) AS n FROM verdicts v WHERE verdict IS NULL)"""
 _add("sp4_create_rental", _CREATE_TABLES,
-     f"""SELECT *, {_message()} AS message FROM (
-         SELECT v.request_id, v.equipment_id, split_part(v.verdict, '/', 1) AS source,
-                CAST(split_part(v.verdict, '/', 2) AS BIGINT) AS code,
-                {_code('RE', 'm.n', 3)} AS rental_id, {_code('RC', 'm.n', 5)} AS rental_code,
-                CAST(m.quantity * m.days * m.price AS DOUBLE) AS total_amount,
-                {euros('m.deposit_cents * m.quantity')} AS deposit_required, m.full_name AS customer_name
-         FROM verdicts v LEFT JOIN made m ON m.request_id = v.request_id)""",
+     f"""SELECT request_id, equipment_id, source, code,
+                CASE WHEN source IS NULL THEN {_code('RE', 'n', 3)} END AS rental_id,
+                CASE WHEN source IS NULL THEN {_code('RC', 'n', 5)} END AS rental_code,
+                CASE WHEN source IS NULL THEN CAST(quantity * days * price AS DOUBLE) END AS total_amount,
+                CASE WHEN source IS NULL THEN {euros('deposit_cents * quantity')} END AS deposit_required,
+                CASE WHEN source IS NULL THEN full_name END AS customer_name, {_message()} AS message
+         FROM (SELECT request_id, equipment_id, quantity, days, price, deposit_cents, full_name,
+                      split_part(verdict, '/', 1) AS source, CAST(split_part(verdict, '/', 2) AS BIGINT) AS code,
+                      row_number() OVER (PARTITION BY verdict IS NULL ORDER BY rental_date, request_id) AS n
+               FROM verdicts)""",
      VALUES, _CREATE)
 _add("sp4_create_rental_items", _CREATE_TABLES,
      f"""SELECT {_code('RI', 'k', 3)} AS rental_item_id, {_code('RE', 'n', 3)} AS rental_id, equipment_id,
