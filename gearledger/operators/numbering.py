@@ -10,6 +10,8 @@ a lost executor recomputes the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -180,3 +182,53 @@ def _number_by_levels(
         "_before",
         F.explode(F.sequence(F.col("_from"), last)).alias("_copy"),
     ).select(*columns, (F.col("_before") + F.col("_copy") + 1).cast("bigint").alias(out))
+
+
+def range_scan(
+    df: DataFrame,
+    group: list[str],
+    order: list[str | Column],
+    totals: dict[str, str],
+    fold: Callable[[str], Column] = F.sum,
+) -> DataFrame:
+    """Add one column per entry ``out: value``: the fold of value over earlier rows of the group,
+    NULL for its first row.
+
+    The rows are cut into sampled ranges of (group, order); equal rows are told apart by their
+    place, so a popular group, or one repeated row, spreads over as many ranges as it fills. A
+    window sees one group inside one range, and only a range that begins inside a group takes
+    over what the ranges before it summed up: at most one row per range. One path for every
+    size; the cut rows are written once, so a lost executor finds the same ranges again.
+    """
+    keys = [F.col(k) if isinstance(k, str) else k for k in order]
+    cut = settle(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*[F.col(g).asc_nulls_first() for g in group], *keys, F.col("_tie").asc())
+        .withColumn("_part", F.spark_partition_id())
+    )
+    inside = Window.partitionBy(*group, "_part").orderBy(*keys, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy(*group, "_part").agg(*[fold(v).alias(f"_sum_{out}") for out, v in totals.items()])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ranges.withColumns({f"_from_{out}": fold(f"_sum_{out}").over(before) for out in totals})
+        .withColumn("_first", F.min("_part").over(Window.partitionBy(*group)))
+        .where("_part > _first")
+        .select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), *[f"_from_{out}" for out in totals])
+    )
+    same = [F.col("_part") == F.col("_p")] + [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    scanned = cut.withColumns({f"_in_{out}": fold(v).over(inside) for out, v in totals.items()}).join(carried, same, "left")
+    both = {out: fold_two(fold, F.col(f"_from_{out}"), F.col(f"_in_{out}")) for out in totals}
+    return scanned.select(*df.columns, *[c.alias(out) for out, c in both.items()])
+
+
+def fold_two(fold: Callable[[str], Column], a: Column, b: Column) -> Column:
+    """What ``fold`` makes of two partial results, either of which may be NULL."""
+    if fold is F.sum:
+        both = a + b
+    elif fold is F.bit_xor:
+        both = a.bitwiseXOR(b)
+    elif fold is F.max:
+        both = F.greatest(a, b)
+    else:
+        raise ValueError("folds: sum, max, bit_xor")
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
