@@ -21,6 +21,7 @@ from .substrings import substring_report
 from .tokens import token_report
 from .topk import exact_top_k
 from .toxicity import toxicity_report
+from .whitening import whiten
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -67,6 +68,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_report(load(spark, folder, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(load(spark, folder, "embeddings"))
+
+
 def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_report(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
@@ -78,7 +83,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         op1_source_mixing, op2_exact_top_k, op3_token_output, op4_decontamination, op5_substring_dedup, op6_near_duplicates, op7_license_scan,
-        op8_quality_classifier, op9_line_dedup, op10_secret_scan, op12_toxicity, op13_prefix_trie,
+        op8_quality_classifier, op9_line_dedup, op10_secret_scan, op11_embedding_whitening, op12_toxicity, op13_prefix_trie,
     )
     return {fn.__name__: fn for fn in own}
 
