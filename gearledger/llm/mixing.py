@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import running_total
+from ..operators.numbering import range_scan, running_total
 from .common import settle, unwrap, wrap
 
 SEED = 17
@@ -66,24 +66,32 @@ def cycle_weights(cycle: tuple[int, ...] = CYCLE) -> Callable[[DataFrame], DataF
 
 
 def fill(sources: DataFrame, max_epochs: int) -> DataFrame:
-    """Add ``_target`` to sources (_source, _words, _weight): clamp, share again, until feasible."""
-    cap = F.col("_words") * max_epochs
-    budget = sources.agg(F.sum("_words")).first()[0] or 0
-    # Water level as a ratio of two whole numbers, so that no rounding builds up.
-    rest, weight, clamped = budget, 0, -1
-    above = F.lit(False)
-    while True:
-        row = sources.agg(
-            F.sum(F.when(above, cap)), F.sum(F.when(~above, F.col("_weight"))), F.count(F.when(above, 1))
-        ).first()
-        rest, weight = budget - (row[0] or 0), row[1] or 0
-        if row[2] == clamped or weight == 0:
-            break
-        clamped = row[2]
-        # A level only rises, so that a clamped source stays clamped.
-        above = F.col("_weight") * F.lit(rest) > cap * F.lit(weight)
-    share = (F.col("_weight") * F.lit(rest)) / F.lit(max(weight, 1))
-    return sources.withColumn("_target", F.when(above, cap.cast("double")).otherwise(share.cast("double")))
+    """Add ``_target`` to sources (_source, _words, _weight): clamp, share again, until feasible.
+
+    In the order of cap per weight the sources that are clamped come first: one is if its share
+    of what the caps before it leave is above its cap. The first that is not sets the level for
+    itself and all after it, so one scan over ranges of that order takes the place of rounds.
+    Sums and products are decimals of 38 digits.
+    """
+    wide = "decimal(38,0)"
+    ranked = sources.withColumns(
+        {"_w": F.col("_weight").cast(wide), "_cap": F.col("_words").cast(wide) * F.lit(max_epochs).cast("decimal(10,0)")}
+    ).withColumns({"_cap": F.col("_cap").cast(wide), "_rate": F.col("_cap").cast("double") / F.col("_w").cast("double")})
+    total = ranked.agg(F.sum("_words").cast(wide).alias("words"), F.sum("_w").cast(wide).alias("weight")).first()
+    words, weight = (F.lit(v if v is not None else 0).cast(wide) for v in total)
+    scanned = range_scan(ranked, [], ["_rate", "_source"], {"_caps": "_cap", "_weights": "_w"})
+    none = F.lit(0).cast(wide)
+    left = scanned.withColumns(
+        {"_rest": (words - F.coalesce("_caps", none)).cast(wide), "_spread": (weight - F.coalesce("_weights", none)).cast(wide)}
+    )
+    left = settle(left.withColumn("_above", F.col("_w") * F.col("_rest") > F.col("_cap") * F.col("_spread")))
+    level = left.where("NOT _above").agg(F.min(F.struct("_rate", "_source", "_rest", "_spread")).alias("_l")).first()[0]
+    rest, spread = (F.lit(level[k] if level else 1).cast(wide) for k in ("_rest", "_spread"))
+    share = (F.col("_w") * rest).cast("double") / spread.cast("double")
+    # A source at its cap and one after it may stand in either order: the level decides, not the place.
+    above = F.lit(True) if level is None else F.col("_w") * rest > F.col("_cap") * spread
+    target = F.when(above, F.col("_cap").cast("double")).otherwise(share)
+    return left.select(*sources.columns, target.alias("_target"))
 
 
 def decide(
