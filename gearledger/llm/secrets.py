@@ -241,9 +241,29 @@ def anchor(expression: str) -> Dfa:
     return minimise(*determine(nfa, start, search=False))
 
 
+def mirrored(node: Node) -> Node:
+    """The tree of the same matches read from right to left."""
+    kind, body = node
+    if kind == "set":
+        return node
+    if kind == "row":
+        return (kind, [mirrored(part) for part in reversed(body)])
+    if kind == "or":
+        return (kind, [mirrored(part) for part in body])
+    return (kind, mirrored(body))
+
+
+def backward(expression: str) -> Dfa:
+    """Read from right to left, it accepts at every byte where a match begins."""
+    nfa = Nfa()
+    start = nfa.state()
+    nfa.accept[nfa.add(mirrored(parse(expression)), start)] = 0
+    return minimise(*determine(nfa, start, search=True))
+
+
 @lru_cache(maxsize=4)
-def compile_rules(rules: tuple[Rule, ...]) -> tuple[Dfa, list[tuple[Dfa, Dfa | None]]]:
-    """The combined search automaton, and per rule those of its whole match and of its head."""
+def compile_rules(rules: tuple[Rule, ...]) -> tuple[Dfa, list[tuple[Dfa, Dfa, Dfa | None]]]:
+    """The combined search automaton, and per rule those of its starts, its whole match and its head."""
     nfa = Nfa()
     start = nfa.state()
     for number, rule in enumerate(rules):
@@ -251,7 +271,9 @@ def compile_rules(rules: tuple[Rule, ...]) -> tuple[Dfa, list[tuple[Dfa, Dfa | N
         repeats = min(rule.least, 4) if rule.head else rule.least
         nfa.accept[nfa.add(parse(rule.head + rule.tail * repeats), start)] = number
     combined = minimise(*determine(nfa, start, search=True))
-    anchored = [(anchor(f"{r.head}{r.tail}+"), anchor(r.head) if r.head else None) for r in rules]
+    anchored = [
+        (backward(f"{r.head}{r.tail}+"), anchor(f"{r.head}{r.tail}+"), anchor(r.head) if r.head else None) for r in rules
+    ]
     return combined, anchored
 
 
@@ -279,23 +301,34 @@ def longest(data: bytes, at: int, dfa: Dfa) -> int:
     return end
 
 
-def spans_of(data: bytes, rule: Rule, dfa: Dfa, head: Dfa | None) -> Iterator[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping matches of one rule, in bytes; short ones consume too."""
-    opens = frozenset(b for b in range(256) if dfa.table[b] != dfa.dead)
-    at, n = 0, len(data)
-    while at < n:
-        end = longest(data, at, dfa) if data[at] in opens else -1
-        if end < 0:
-            at += 1
+def starts_of(data: bytes, back: Dfa) -> list[int]:
+    """Places where a match begins, from the last to the first: one pass from right to left."""
+    table, limit = back.table, back.first_accepting
+    state, found = 0, []
+    for at in range(len(data) - 1, -1, -1):
+        state = table[state + data[at]]
+        if state >= limit:
+            found.append(at)
+    return found
+
+
+def spans_of(data: bytes, rule: Rule, back: Dfa, dfa: Dfa, head: Dfa | None) -> Iterator[tuple[int, int]]:
+    """Leftmost, longest, non-overlapping matches of one rule, in bytes; short ones consume too.
+
+    Only real starts are followed, so a text of many false ones takes no longer than another.
+    """
+    at = 0
+    for start in reversed(starts_of(data, back)):
+        if start < at:
             continue
-        counted = at if rule.whole or head is None else longest(data, at, head)
-        if end - counted >= rule.least:
-            yield at, end
-        at = end
+        at = longest(data, start, dfa)
+        counted = start if rule.whole or head is None else longest(data, start, head)
+        if at - counted >= rule.least:
+            yield start, at
 
 
 def scan(
-    text: str | None, rules: tuple[Rule, ...], automata: tuple[Dfa, list[tuple[Dfa, Dfa | None]]]
+    text: str | None, rules: tuple[Rule, ...], automata: tuple[Dfa, list[tuple[Dfa, Dfa, Dfa | None]]]
 ) -> list[tuple[int, int, int]]:
     """(start, rule number, end) of every secret of a text, in code points, in listing order."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -304,8 +337,7 @@ def scan(
     found = []
     for number, rule in enumerate(rules):
         if raised >> number & 1:
-            own, head = anchored[number]
-            found += [(start, number, end) for start, end in spans_of(data, rule, own, head)]
+            found += [(start, number, end) for start, end in spans_of(data, rule, *anchored[number])]
     found.sort()
     if found and not data.isascii():
         # Code points before a byte: those that begin before it.
