@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle, tune
 
-__all__ = ["load", "prepare", "settle", "unwrap", "whole_text", "wrap"]
+__all__ = ["load", "prepare", "settle", "text_mark", "unwrap", "whole_text", "wrap"]
 
 # Rows handed to a Python worker at once: with texts of some megabytes each, a batch still
 # fits a worker.
@@ -35,6 +35,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_mark(column: str = "text", key: str = "doc_id") -> Column:
+    """63 bits of the text's SHA-256, which tell texts under one id apart; below zero where there is an id.
+
+    Texts without an id share the largest id; they sort after those that really have it.
+    """
+    digest = F.sha2(whole_text(column), 256)
+    bits = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    more = F.conv(F.substring(digest, 16, 1), 16, 10).cast("bigint").bitwiseAND(F.lit(7))
+    mark = F.shiftleft(bits, 3).bitwiseOR(more)
+    return F.when(F.col(key).isNull(), mark).otherwise(mark.bitwiseXOR(F.lit(-(1 << 63))))
+
+
 def wrap(docs: DataFrame, **added: Column) -> DataFrame:
     """The rows as one column ``_row`` and new columns beside it, whatever the rows' names are."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -86,7 +86,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plan.select("conv_id", "length"), kept.unionByName(plan.select("conv_id", "length", F.inline("head")))
 
 
-def blocks_of(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks_of(turns: DataFrame, block: int) -> DataFrame:
     """Blocks of turns (at, h1, h2, size) with the digest (b1, b2) and that of all turns before (p1, p2)."""
     hashed = turns.select(
         "conv_id", "length", F.floor(F.col("at") / block).alias("number"), "at", "size",
@@ -214,7 +214,7 @@ def trie(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     Every node: its digest, least member, depth, parent's least member, members, children,
     leaves and repeated code points below it, and the hash of the members that end there.
     """
-    blocks = settle(blocks_of(turns))
+    blocks = settle(blocks_of(turns, BLOCK))
     zero = F.lit(0).cast("bigint")
     none = F.lit(None).cast("bigint")
     root = conversations.agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("first")).where("n_convs > 0").select(

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, text_mark
 from .neardup import scramble
 
 RUN, WRAP = 3, 16
@@ -58,7 +58,7 @@ POWERS, INVERSES = (
     np.multiply.accumulate(np.array([1, *[x] * BLOCK], np.uint64)) for x in (int(ODD[0]), pow(int(ODD[0]), -1, 2**64))
 )
 
-PLACES = "d long, h int, fingerprint long, key long, start int, size int"
+PLACES = "d long, h long, fingerprint long, key long, start int, size int"
 CUT = T.StructType([
     T.StructField("n_lines", T.LongType()),
     T.StructField("removed", T.ArrayType(T.IntegerType())),
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(LAST)).alias("d"),
-        F.hash("text").alias("h"),
+        text_mark().alias("h"),
         F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("data"),
     )
     found = settle(repeats(rows.drop("doc_id"), passage))

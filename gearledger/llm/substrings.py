@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, text_mark
 from .neardup import scramble
 
 LENGTH, ANCHOR = 100, 28
@@ -48,7 +48,7 @@ FACTOR = int(MIX.integers(0, 2**62)) * 2 + 1
 POWERS = np.cumprod(np.full(PIECE + 2 * LENGTH, FACTOR, np.uint64))
 INVERSE = np.cumprod(np.full(PIECE + 2 * LENGTH, pow(FACTOR, -1, 2**64), np.uint64))
 
-RUNS = "d long, h int, anchor long, sid long, pos int, cnt int"
+RUNS = "d long, h long, anchor long, sid long, pos int, cnt int"
 CUT = T.StructType([
     T.StructField("n_bytes", T.LongType()),
     T.StructField("spans", T.ArrayType(T.IntegerType())),
@@ -225,7 +225,7 @@ def strings_of(runs: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["d", "h", "pos", "low", "high"])
 
-    return runs.mapInPandas(spell, "d long, h int, pos int, low long, high long")
+    return runs.mapInPandas(spell, "d long, h long, pos int, low long, high long")
 
 
 def fetch_bytes(classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def fetch_bytes(classes: DataFrame, texts: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["d", "h", "anchor", "pos", "cnt", "hot", "data"])
 
-    return held.mapInPandas(cut, "d long, h int, anchor long, pos int, cnt int, hot boolean, data binary")
+    return held.mapInPandas(cut, "d long, h long, anchor long, pos int, cnt int, hot boolean, data binary")
 
 
 def repeats(docs: DataFrame, anchor_classes: int = ANCHOR_CLASSES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -267,7 +267,7 @@ def repeats(docs: DataFrame, anchor_classes: int = ANCHOR_CLASSES, shard_bytes:
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     compared = (
         fetched.where("NOT hot").select("d", "h", "pos", "cnt", "data", shard)
-        .groupBy("shard").applyInPandas(repeated_in_shard, "d long, h int, pos int, cnt int")
+        .groupBy("shard").applyInPandas(repeated_in_shard, "d long, h long, pos int, cnt int")
     )
     spelled = strings_of(fetched.where("hot"))
     leader = spelled.groupBy("low", "high").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(LAST)).alias("d"),
-        F.hash("text").alias("h"),
+        text_mark().alias("h"),
         F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("data"),
     )
     found = settle(repeats(rows.drop("doc_id")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gearledger.llm import (
     decontamination, huffman, licenses, lines, mixing, neardup, quality, secrets, substrings, tokens, topk,
 )
-from gearledger.llm.common import prepare
+from gearledger.llm.common import prepare, text_mark
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # Names the operators use inside, and names of other tables' columns.
@@ -270,11 +270,17 @@ def test_decontamination(spark, docs, none):
 
 # 5 -------------------------------------------------------------------------------------------
 
+def mark(d, text):
+    """63 bits of the text's SHA-256, below zero where there is an id."""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    return (int(digest[:15], 16) << 3 | int(digest[15], 16) & 7) - (2**63 if d != 2**63 - 1 else 0)
+
+
 def brute_substrings(rows, n=substrings.LENGTH):
     keyed = sorted({(r[0] if r[0] is not None else 2**63 - 1, r[1] or "") for r in rows})
     place = {}
     texts = {k: k[1].encode() for k in keyed}
-    order = lambda k: (k[0], HASHES[k[1]])
+    order = lambda k: (k[0], mark(*k))
     for k in sorted(keyed, key=order):
         for p in range(len(texts[k]) - n + 1):
             g = texts[k][p : p + n]
@@ -293,11 +299,7 @@ def brute_substrings(rows, n=substrings.LENGTH):
     return [(r[0], *out[r[0] if r[0] is not None else 2**63 - 1, r[1] or ""]) for r in rows]
 
 
-HASHES = {}
-
-
 def test_substrings(docs, none):
-    HASHES.update({r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.hash("text").alias("h")).collect()})
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = ordered(brute_substrings(ROWS))
     assert sum(r[2] for r in want) > 1000
@@ -307,7 +309,7 @@ def test_substrings(docs, none):
 
 def test_popular_anchors_and_small_shards_change_nothing(docs):
     keyed = docs.select(
-        F.coalesce("doc_id", F.lit(substrings.LAST)).alias("d"), F.hash("text").alias("h"),
+        F.coalesce("doc_id", F.lit(substrings.LAST)).alias("d"), text_mark().alias("h"),
         F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("data"),
     )
 
@@ -493,7 +495,7 @@ def brute_lines(rows):
             out += [b" ".join(words[i : i + lines.WRAP]) for i in range(0, len(words), lines.WRAP)]
         return out
 
-    key = lambda r: (2**63 - 1 if r[0] is None else r[0], HASHES[r[1] or ""])
+    key = lambda r: (lambda d: (d, mark(d, r[1] or "")))(2**63 - 1 if r[0] is None else r[0])
     first = {}
     for r in rows:
         u = units(r[1] or "")
@@ -512,7 +514,6 @@ def brute_lines(rows):
 
 
 def test_lines(docs, none):
-    HASHES.update({r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.hash("text").alias("h")).collect()})
     cut = lines.remove_repeated_lines(docs).collect()
     got = [(r.doc_id, r.n_lines, len(r.removed), r.n_runs, b" ".join(bytes(r.kept).split())) for r in cut]
     want = brute_lines(ROWS)

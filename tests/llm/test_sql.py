@@ -19,5 +19,5 @@ def test_query_equals_sql(spark, con, folder, name):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
