@@ -9,9 +9,12 @@ may reach the threshold is confirmed on the full sets.
 
 Documents with equal sets are one class; links are sought between classes only. In a shared
 band every class is compared with a pivot, a different one each round, until the band lies in
-one component. What the pivots leave open is compared in blocks of ``BLOCK`` classes, so no
-band, however large, meets in one task, and pairs that are already connected are not made.
-Rounds of pivots end when they hardly add links.
+one component. Rounds of pivots end when they hardly add links. A class of which more than a
+quarter of the shingles stand in no other open class can have no link, and leaves. What is still
+open is compared in blocks of at most ``BLOCK`` classes and ``BLOCK_BYTES`` of sets, so no band,
+however large, meets in one task. A block holds the full sets: its pairs are confirmed where they
+are found, the most similar first and only while they are apart, and no more than a forest of
+links leaves it. No table of pairs is made.
 
 Scale: texts are read for the sketches and once more for the sets of candidates. Band keys
 move once to be counted and once to be kept; single ones end there. Links and components stay
@@ -49,7 +52,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 FLOOR, NEAR = 0.6, 0.58
 # Pivots go on while a round adds this part of all links; blocks find what is left.
 PAYS_OFF, PIVOT_ROUNDS = 0.1, 4
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+PEELS = 2
 PIECE = 4096
 
 MIX = np.random.default_rng(5)
@@ -179,7 +183,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("_i") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("_i"))).select("a", "b")
 
 
-def pairs_within(block: pd.DataFrame) -> tuple[list[int], list[int]]:
+def pairs_within(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of plausible pairs in one block of a band, or between two of them.
 
     A pair belongs to the first band that it shares, so it is made once.
@@ -197,30 +201,49 @@ def pairs_within(block: pd.DataFrame) -> tuple[list[int], list[int]]:
             equal = table[rest] == table[i]
             first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
             rest = rest[(equal.mean(axis=1) >= NEAR) & (first == slot)]
-            left += [i] * len(rest)
-            right += rest.tolist()
-    return left, right
+            left.append(np.full(len(rest), i))
+            right.append(rest)
+    none = np.zeros(0, int)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def forest_of(block: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between rows of a block that connect all its rows that links connect."""
+    left, right = pairs_within(block)
+    if not len(left):
+        return []
+    sizes, table = block["n"].to_numpy(np.int64), matrix(block["registers"])
+    est = estimate(table[left], table[right], sizes[left].astype(float), sizes[right].astype(float))
+    sets = [np.frombuffer(x, np.uint64) for x in block["hashes"]]
+    heads: dict = {}
+
+    def top(x: object) -> object:
+        while x in heads:
+            x = heads[x]
+        return x
+
+    roots, found = block["root"].tolist(), []
+    for k in np.argsort(-est, kind="stable"):
+        a, b = int(left[k]), int(right[k])
+        if est[k] < FLOOR:
+            break
+        one, other = top(roots[a]), top(roots[b])
+        if one == other:
+            continue
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * shared >= THRESHOLD * (sizes[a] + sizes[b] - shared):
+            heads[one] = other
+            found.append((a, b))
+    return found
 
 
-def block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Plausible pairs of different components from rows sorted by (band, i, j)."""
+def block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between components from rows sorted by (band, i, j)."""
 
     def judge(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        left, right = [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > 1:
-                x, y = pairs_within(rows.iloc[a:b])
-                left += [a + i for i in x]
-                right += [a + i for i in y]
-        one, other = rows.iloc[left], rows.iloc[right]
-        swap = np.array([x > y for x, y in zip(one["key"], other["key"])], bool)
-        na, nb = one["n"].to_numpy(), other["n"].to_numpy()
-        est = estimate(matrix(one["registers"]), matrix(other["registers"]), na.astype(float), nb.astype(float)) if len(left) else np.zeros(0)
-        found = pd.DataFrame({
-            "a": np.where(swap, other["key"], one["key"]), "b": np.where(swap, one["key"], other["key"]),
-            "n_a": np.where(swap, nb, na), "n_b": np.where(swap, na, nb),
-        })
-        return found[est >= FLOOR]
+        keys = rows["key"].tolist()
+        pairs = [(a + x, a + y) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for x, y in forest_of(rows.iloc[a:b])]
+        return pd.DataFrame([tuple(sorted((keys[x], keys[y]))) for x, y in pairs], columns=["a", "b"])
 
     held = None
     for batch in batches:
@@ -235,6 +258,25 @@ def block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield judge(held, np.array([0, len(held)]))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def listed(sets: pd.Series) -> pd.Series:
+    return sets.map(lambda data: np.frombuffer(data, np.int64))
+
+
+def supported(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes (key) that may have a link: enough of their shingles stand in another one, too.
+
+    What a link shares is three quarters of both sets. A shingle of a single class counts
+    against it; no shingle is looked up again, so a popular one combines before the shuffle.
+    """
+    tokens = sets.join(keys, "key").select("key", F.explode(listed("hashes")).alias("token"))
+    single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1")
+    lone = single.groupBy("key").agg(F.count(F.lit(1)).alias("lone"))
+    held = sets.join(keys, "key").select("key", F.floor(F.octet_length("hashes") / 8).alias("n"))
+    fit = 100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= THRESHOLD * F.col("n")
+    return settle(held.join(lone, "key", "left").where(fit).select("key"))
+
+
 def place(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members with the root of their component, themselves where they have none yet."""
     if roots is None:
@@ -304,8 +346,18 @@ def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
         if added <= PAYS_OFF * total:
             break
     placed = settle(place(members, roots))
-    sizes = settle(open_bands(placed, 0).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
-    dealt = placed.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    live = settle(placed.join(open_bands(placed, 0).select("band"), "band").select("key").distinct())
+    for _ in range(PEELS):
+        live = supported(live, sets)
+    facts = classes.join(live, "key").select("key", "n", "registers").join(sets, "key")
+    rows = settle(placed.join(live, "key", "left_semi"))
+    still = open_bands(rows, 0).select("band")
+    weights = settle(
+        rows.join(still, "band").join(classes.select("key", "n"), "key").groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    )
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = settle(weights.select("band", parts.alias("parts")))
+    dealt = rows.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     sides = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(
@@ -313,12 +365,9 @@ def link_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
             F.when(F.col("part") == p, 2).when(F.col("part") < p, 0).otherwise(1).alias("side"),
         ),
     )
-    told = dealt.select("band", "slot", "key", "root", F.inline(sides)).join(classes.select("key", "n", "registers"), "key")
-    near = (
-        told.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        .mapInPandas(block_pairs, "a binary, b binary, n_a long, n_b long")
-    )
-    _, roots, _ = extend(links, roots, settle(confirmed(near, sets)))
+    told = dealt.select("band", "slot", "key", "root", F.inline(sides)).join(facts, "key")
+    near = told.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(block_links, "a binary, b binary")
+    _, roots, _ = extend(links, roots, settle(near.distinct()))
     return roots if roots is not None else ends.limit(0).toDF("node", "root")
 
 
