@@ -32,10 +32,13 @@ from pyspark.sql import types as T
 
 from ..session import new_path
 from .common import whole_text
-from .huffman import BLOCK, Code
+from .huffman import BLOCK, LIMIT, Code
 
 END_ID = 2
 SEGMENT_BYTES = 2 << 20
+# Parts for the rows of one popular id, or of none.
+SPLITS = 32
+VERSION, CODE = 1, "version int, longest int, block int, lengths binary"
 # Words a worker remembers, the longest of them, and how many are encoded in one call.
 REMEMBERED, LONG_WORD, TOGETHER = 150_000, 64, 2000
 
@@ -195,17 +198,19 @@ def count_ids(encoded: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return table["id"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
 
 
-def range_bounds(encoded: DataFrame, parts: int) -> np.ndarray:
-    """Ascending doc_ids that cut the rows into about equal parts; reads one column."""
+def range_bounds(encoded: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending doc_ids that cut the rows into about equal parts, and those that fill several; reads one column."""
     cuts = [i / parts for i in range(1, parts)]
     found = encoded.agg(F.percentile_approx("doc_id", cuts, 10 * parts)).first()[0] if cuts else None
-    return np.unique(np.array(found or [], np.int64))
+    bounds, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    return bounds, bounds[times > 1]
 
 
-def compress(encoded: DataFrame, code: Broadcast, kind: str, bounds: np.ndarray) -> DataFrame:
+def compress(encoded: DataFrame, code: Broadcast, kind: str, bounds: np.ndarray, repeated: np.ndarray) -> DataFrame:
     """(part, doc_id, missing, size, stream, checkpoints) per document.
 
-    A null doc_id is 0 and missing, and in a part after all others.
+    A null doc_id is 0 and missing, and in parts after all others. Rows without an id, and those
+    of an id that fills several ranges, are spread over ``SPLITS`` parts.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +221,13 @@ def compress(encoded: DataFrame, code: Broadcast, kind: str, bounds: np.ndarray)
             stream, lengths, marks = own.encode(ids, sizes)
             ends, blocks = np.cumsum(lengths), np.cumsum(-(-sizes // BLOCK))
             marks = marks.astype("<u4")
-            part = np.searchsorted(bounds, batch["doc_id"].to_numpy(np.int64), side="right")
+            doc_ids, missing = batch["doc_id"].to_numpy(np.int64), batch["missing"].to_numpy(bool)
+            part = np.where(missing, len(bounds) + 1, np.searchsorted(bounds, doc_ids, side="right"))
+            # A popular id is the least of its range: its rows fill places before the others'.
+            spread = np.array([zlib.crc32(stream[e - n : e]) % SPLITS for e, n in zip(ends, lengths)], np.int64)
+            popular = missing | np.isin(doc_ids, repeated)
             yield pd.DataFrame({
-                "part": np.where(batch["missing"], len(bounds) + 1, part),
+                "part": part * (SPLITS + 1) + np.where(popular, spread, SPLITS),
                 "doc_id": batch["doc_id"], "missing": batch["missing"],
                 "size": sizes,
                 "stream": [stream[e - n : e] for e, n in zip(ends, lengths)],
@@ -273,23 +282,38 @@ def segments(rows: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     return rows.mapInPandas(join, SEGMENT)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> Code:
-    """Write the documents' ids under ``path`` in ascending doc_id; the code that reads them."""
+def write_code(spark: SparkSession, code: Code, path: str) -> None:
+    """The code beside the segments: format version, longest code, block and the length per id, one byte each."""
+    row = (VERSION, LIMIT, BLOCK, code.lengths.astype(np.uint8).tobytes())
+    spark.createDataFrame([row], CODE).coalesce(1).write.parquet(f"{path}/code")
+
+
+def read_code(spark: SparkSession, path: str) -> Code:
+    """The code that the files under ``path`` were written with."""
+    row = spark.read.schema(CODE).parquet(f"{path}/code").first()
+    if row is None or (row["version"], row["longest"], row["block"]) != (VERSION, LIMIT, BLOCK):
+        raise ValueError(f"no code of version {VERSION} under {path}")
+    return Code(np.frombuffer(row["lengths"], np.uint8).astype(np.int64))
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
+    """Write the documents' ids in ascending doc_id, and the code that reads them, under ``path``."""
     spark = docs.sparkSession
     text = Path(vocabulary).read_text()
     encoded, kind = encode_texts(docs, text, end_id), id_kind(text)
     code = Code.of(*count_ids(encoded, kind))
+    write_code(spark, code, path)
     # Several parts per task, so that those that meet in one by their hash even out.
-    bounds = range_bounds(encoded, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = compress(encoded, spark.sparkContext.broadcast(code), kind, bounds)
+    bounds, repeated = range_bounds(encoded, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = compress(encoded, spark.sparkContext.broadcast(code), kind, bounds, repeated)
     dealt = packed.repartition("part").sortWithinPartitions("part", "doc_id", "size", "stream")
-    segments(dealt).write.parquet(path)
-    return code
+    segments(dealt).write.parquet(f"{path}/segments")
 
 
-def read_token_files(spark: SparkSession, path: str, code: Code) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files."""
-    stored = spark.read.schema(SEGMENT).parquet(path)
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files under a path."""
+    code = read_code(spark, path)
+    stored = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
     parts = stored.groupBy("part").agg(
         F.max(F.col("before") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("_n")
     )
@@ -329,5 +353,5 @@ def token_report(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     """Per document, read from the files: ids before it, its ids and their checksum."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    code = write_token_files(docs.select("doc_id", "text"), vocabulary, path, end_id)
-    return read_token_files(spark, path, code).drop("ids")
+    write_token_files(docs.select("doc_id", "text"), vocabulary, path, end_id)
+    return read_token_files(spark, path).drop("ids")

@@ -390,3 +390,45 @@ def test_false_starts_take_no_longer(spark):
     assert time.perf_counter() - start < 60
     jwt = next(i for i, r in enumerate(secrets.RULES) if r.kind == "jwt")
     assert (0, jwt, len(token)) in found
+
+
+def test_a_group_just_below_the_threshold_stays_apart(spark):
+    """1,200 texts at 0.67 to 0.74 of one another, none linked but one pair; no pair leaves a block without a link."""
+    from gearledger.llm import neardup
+
+    rng = random.Random(13)
+    origin = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    texts = []
+    for k in range(1200):
+        words = origin[:]
+        for at in rng.sample(range(0, 995, 5), 19):
+            words[at + rng.randint(0, 4)] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    texts.append(texts[0].replace(" e0x", " f0x", 1))
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in (rng.sample(range(1200), 2) for _ in range(3000))]
+    assert max(near) < 0.75 and sum(0.67 <= j for j in near) > 1500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {d: (0 if d == 1200 else d) for d in range(1201)}
+
+
+def test_token_files_are_read_from_their_path_alone(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gearledger.llm import tokens
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"no id {i} of many") for i in range(200)] + [(7, f"one popular id {i}") for i in range(300)] + [(i, f"text {i}") for i in range(40)]
+    path = str(tmp_path / "files")
+    tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), vocabulary, path)
+    got = tokens.read_token_files(spark.newSession(), path).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(vocabulary)
+    want = sorted((np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows))
+    assert sorted(bytes(r.ids) for r in got) == want
+    order = [(r.doc_id is None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and len(got) == len(rows)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
+    parts = spark.read.parquet(f"{path}/segments").select("part").distinct().count()
+    assert parts > 20
