@@ -7,18 +7,21 @@ that is a single-task job, so the work is cut down first:
 * an equipment that shares no request with another contested one is independent. Its lines,
   if there are not too many for one task, stream past a counter in request order, with the
   equipments spread over the cluster;
-* the rest (several contested equipments in one request, or an equipment so popular that its
-  lines would keep one task busy for too long) is decided in parallel rounds.
+* contested equipments that requests tie together form connected components, and requests of
+  different components never meet: each component is served in order by its own group, many of
+  them at once, whole requests tested in windows;
+* a component (or a single equipment) with so many lines that it would keep one task busy for
+  too long is decided in parallel rounds.
 
 A round looks, per line, at the units asked for by earlier undecided requests. A request
 whose every line fits even if all of those are served is accepted; a request with a line
 larger than the remaining stock is refused; the others wait for the next round, with the
 accepted units taken off. That may happen without regard to order, because a request is only
 accepted when everything undecided before it fits as well. Before it does so, each round
-serves the earliest undecided requests, ``HEAD_LINES`` lines of them, one after another in one
-task: everything before them is decided, so that is the sequential answer too. Every round
-therefore decides at least that many lines, however long the chains of dependent requests
-are, and the rounds end with the sequential answer. The units ahead are running totals over slices of the order (see ``numbering``): a popular
+serves the earliest undecided requests, ``HEAD_LINES`` lines of them, one after another, each
+component in its own group: everything before them is decided, so that is the sequential answer
+too. Every round therefore decides at least that many lines, however long the chains of
+dependent requests are, and the rounds end with the sequential answer. The units ahead are running totals over slices of the order (see ``numbering``): a popular
 equipment never becomes one task. Each round is written to the shared folder.
 """
 
@@ -33,11 +36,14 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import new_path, settle
+from .components import components
 from .numbering import key_slices, running_total, top_key
 from .rejects import Decision, first_refusal, refuse
 
-# Lines of one equipment that may stream through one task.
+# Lines of one equipment, or of one component, that may stream through one task.
 STREAM_LINES = 2_000_000
+# Lines whose requests are tested at once when a component is served.
+WINDOW_LINES = 4096
 # Lines that a round serves in order before it judges the others at once.
 HEAD_LINES = 100_000
 
@@ -91,43 +97,104 @@ def _server() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     return serve
 
 
-def _in_order() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function that serves whole requests one after another, sorted by ``seq``."""
+def _in_order(window: int = WINDOW_LINES) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function that serves whole requests one after another, sorted by (component, seq).
+
+    A window of requests is tested at once: those before the first one that no longer fits are
+    served, that one is refused, and so is every later one with a line above what is left.
+    """
+
+    def decide(request: np.ndarray, equipment: np.ndarray, units: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Which requests (numbered in order, one number per line) are served; takes from ``left``."""
+        served = np.zeros(int(request[-1]) + 1, bool)
+        by_equipment = np.argsort(equipment, kind="stable")
+        request, equipment, units = request[by_equipment], equipment[by_equipment], units[by_equipment]
+        while len(request):
+            # What no longer fits by itself is refused with its whole request.
+            low = np.unique(request[units > left[equipment]])
+            keep = ~np.isin(request, low)
+            request, equipment, units = request[keep], equipment[keep], units[keep]
+            if not len(request):
+                break
+            total = np.cumsum(units)
+            heads = np.flatnonzero(np.append(True, equipment[1:] != equipment[:-1]))
+            before = np.repeat(total[heads] - units[heads], np.diff(np.append(heads, len(units))))
+            over = request[total - before > left[equipment]]
+            stop = over.min() if len(over) else served.size
+            ready = request < stop
+            served[request[ready]] = True
+            np.subtract.at(left, equipment[ready], units[ready])
+            # The one that stops the others has a line above what is left now.
+            request, equipment, units = request[~ready], equipment[~ready], units[~ready]
+        return served
 
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: dict = {}
-        held: list[tuple] = []
-
-        def decide() -> tuple:
-            fits = all(units <= left.setdefault(e, capacity) for _, _, e, units, capacity in held)
-            for _, _, equipment, units, capacity in held if fits else ():
-                left[equipment] -= units
-            return held[0][0], fits
+        component, held = None, None
+
+        def judge(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal component, left
+            last = rows["component"].iloc[-1]
+            fresh = rows.drop_duplicates("equipment_id")
+            for e, capacity in zip(fresh["equipment_id"], fresh["capacity"]):
+                left.setdefault(e, int(capacity))
+            names, place = np.unique(rows["equipment_id"].to_numpy(), return_inverse=True)
+            stock = np.array([left[e] for e in names], np.int64)
+            seq = rows["seq"].to_numpy()
+            part = rows["component"].to_numpy()
+            starts = np.append(True, (seq[1:] != seq[:-1]) | (part[1:] != part[:-1]))
+            number, firsts = np.cumsum(starts) - 1, np.flatnonzero(starts)
+            units, served = rows["quantity"].to_numpy(np.int64), []
+            # Windows end between requests.
+            cuts = firsts[np.unique(np.searchsorted(firsts, np.arange(0, len(rows), window)).clip(max=len(firsts) - 1))]
+            cuts = np.unique(np.append(cuts, [0, len(rows)]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                served.append(decide(number[a:b] - number[a], place[a:b], units[a:b], stock))
+            left.update(zip(names.tolist(), stock.tolist()))
+            if last != component:
+                # Nothing of an earlier component is asked for again.
+                own = set(rows["equipment_id"][part == last])
+                left = {e: n for e, n in left.items() if e in own}
+                component = last
+            return pd.DataFrame({"request_id": rows["request_id"].iloc[firsts].to_numpy(), "served": np.concatenate(served)})
 
         for batch in batches:
-            done = []
-            rows = zip(*(batch[c] for c in ("request_id", "seq", "equipment_id", "quantity", "capacity")))
-            for row in rows:
-                if held and held[0][1] != row[1]:
-                    done.append(decide())
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(
-                {"request_id": pd.Series([d[0] for d in done], dtype=batch["request_id"].dtype),
-                 "served": pd.Series([d[1] for d in done], dtype=bool)}
-            )
-        if held:
-            yield pd.DataFrame([decide()], columns=["request_id", "served"])
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last request may go on in the next batch.
+            seq, part = rows["seq"].to_numpy(), rows["component"].to_numpy()
+            ends = np.flatnonzero((seq != seq[-1]) | (part != part[-1]))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield judge(rows.iloc[:cut])
+            held = rows.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield judge(held)
 
     return serve
 
 
+def _in_components(lines: DataFrame) -> DataFrame:
+    """(request_id, served) of lines served in order, every component in one group."""
+    schema = lines.select("request_id").schema.add("served", "boolean")
+    spread = lines.repartition("component").sortWithinPartitions("component", "seq")
+    return spread.mapInPandas(_in_order(), schema)
+
+
+def _with_components(lines: DataFrame) -> DataFrame:
+    """Contested lines with the component of their equipment, written once."""
+    least = lines.groupBy("request_id").agg(F.min("equipment_id").alias("a"), F.max("equipment_id").alias("_z")).where("a < _z")
+    links = lines.join(least.select("request_id", "a"), "request_id").select("a", F.col("equipment_id").alias("b")).distinct()
+    named = components(settle(links)).withColumnRenamed("node", "equipment_id")
+    return settle(lines.join(named, "equipment_id", "left").withColumn("component", F.coalesce("component", "equipment_id")))
+
+
 def _rounds(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
-    """Decide lines (request_id, seq, equipment_id, quantity, capacity) round by round."""
+    """Decide lines (request_id, seq, equipment_id, quantity, capacity, component) round by round."""
     spark = lines.sparkSession
     folder = new_path(spark, "rounds")
     top = top_key(lines, "seq")
-    answer = lines.select("request_id").schema.add("served", "boolean")
 
     def less(rest: DataFrame, served: DataFrame) -> DataFrame:
         """The lines with the units of served ones taken off."""
@@ -135,6 +202,7 @@ def _rounds(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
         return rest.join(used, "equipment_id", "left").select(
             "request_id", "seq", "equipment_id", "quantity",
             (F.col("capacity") - F.coalesce("_used", F.lit(0))).alias("capacity"),
+            "component",
         )
 
     waiting, number = lines, 0
@@ -142,8 +210,7 @@ def _rounds(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
         # Whole requests, so a few lines more than asked for.
         last = waiting.select("seq").orderBy("seq").limit(head_lines).agg(F.max("seq")).first()[0]
         head = waiting.where(F.col("seq") <= F.lit(last))
-        told = head.coalesce(1).sortWithinPartitions("seq").mapInPandas(_in_order(), answer)
-        first = settle(head.join(told, "request_id"))
+        first = settle(head.join(_in_components(head), "request_id"))
         rest = settle(less(waiting.where(F.col("seq") > F.lit(last)), first.where("served")))
         never = rest.groupBy("request_id").agg(
             F.max(F.col("quantity") > F.col("capacity")).alias("_never")
@@ -217,7 +284,12 @@ def allocate(
     )
     tangled = sorted_out.where("_entangled").select(*fields)
     if not tangled.isEmpty():
-        served = served.unionByName(_rounds(tangled, head_lines))
+        tangled = _with_components(tangled)
+        large = settle(tangled.groupBy("component").agg(F.count("*").alias("_lines")).where(F.col("_lines") > stream_lines))
+        served = served.unionByName(_in_components(tangled.join(large, "component", "left_anti").select(*fields, "component")))
+        if not large.isEmpty():
+            rest = tangled.join(large, "component", "left_semi").select(*fields, "component")
+            served = served.unionByName(_rounds(settle(rest), head_lines))
     free = (
         grouped.select("request_id")
         .distinct()

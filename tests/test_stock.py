@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gearledger.operators import stock
+from gearledger.operators.components import components
 
 LINES = "request_id long, seq long, equipment_id long, quantity int"
 
@@ -152,3 +153,55 @@ def test_take_back_keeps_bucket_sums(spark):
     row = stock.inventory_after_return(decision.accepted, inventory, "2024-07-01 00:00:00").first()
     assert (row.available_quantity, row.rented_quantity, row.damaged_quantity, row.lost_quantity) == (5, 0, 4, 1)
     assert row.total_quantity == 5 + 0 + 4 + 1
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    """Paths, stars and lone links; the number of rounds does not follow the path's length."""
+    rng = random.Random(2)
+    order = list(range(1, 401))
+    rng.shuffle(order)
+    links = list(zip(order, order[1:])) + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5001), (6000, 6000)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in links], "a long, b long")
+    got = {r.node: r.component for r in components(frame).collect()}
+    want = dict.fromkeys(range(1, 401), 1) | dict.fromkeys(range(1000, 1200), 1000) | {5000: 5000, 5001: 5000, 6000: 6000}
+    assert got == want
+
+
+def test_chains_are_served_side_by_side(spark):
+    """Independent chains of requests are components of their own, each served in one group."""
+    rng = random.Random(11)
+    requests = []
+    for n in range(4000):
+        base = 100 * rng.randint(0, 7)
+        first = rng.randint(1, 30)
+        requests.append((n, [(base + first, rng.randint(1, 4)), (base + first % 30 + 1, rng.randint(1, 4))]))
+    capacity = {100 * b + e: rng.randint(0, 60) for b in range(8) for e in range(1, 31)}
+    assert run(spark, requests, capacity, 10**6) == sequential(requests, capacity)
+    lines = spark.createDataFrame([(r, r, e, u, capacity[e]) for r, ls in requests for e, u in ls],
+                                  "request_id long, seq long, equipment_id long, quantity long, capacity long")
+    parts = stock._with_components(lines).groupBy("component").agg({"equipment_id": "count"}).collect()
+    assert sorted(r.component for r in parts) == [100 * b + 1 for b in range(8)]
+
+
+@pytest.mark.parametrize("rows, window", [(7, 3), (64, 10), (5000, 4096)])
+def test_windows_and_batches_change_nothing(rows, window):
+    """Requests cut by batches and windows, components one after another in one task."""
+    import pandas as pd
+
+    rng = random.Random(rows)
+    lines, want = [], {}
+    for component in range(3):
+        left = {e: rng.randint(0, 40) for e in range(5)}
+        start = dict(left)
+        for n in range(60):
+            asked = {e: rng.randint(1, 9) for e in rng.sample(range(5), rng.randint(1, 3))}
+            request = 100 * component + n
+            want[request] = all(left[e] >= u for e, u in asked.items())
+            for e, u in asked.items():
+                lines.append((component, n, request, 10 * component + e, u, start[e]))
+                left[e] -= u if want[request] else 0
+    frame = pd.DataFrame(lines, columns=["component", "seq", "request_id", "equipment_id", "quantity", "capacity"])
+    batches = [frame.iloc[a : a + rows] for a in range(0, len(frame), rows)]
+    told = pd.concat(stock._in_order(window)(iter(batches)))
+    assert dict(zip(told["request_id"], told["served"])) == want
