@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .numbering import key_slices, running_total
+from .numbering import key_slices, range_scan, running_total
 from .rejects import Decision, first_refusal, refuse
 
 # The wording of the audit log.
@@ -59,6 +61,47 @@ def audit(
     )
 
 
+# Refusals (source, code) of a delete, one per kind of child, in the order they are tested.
+Guards = Sequence[tuple[str, int]]
+
+
+def guard_events(changes: DataFrame, children: DataFrame) -> DataFrame:
+    """Changes and their records' children as one sequence of events; children of one moment come first."""
+    none = F.lit(None)
+    came = children.select(
+        "record_id", "change_time", F.lit(0).alias("kind"), F.col("guard").cast("int").alias("guard"),
+        F.when(F.col("op") == "D", -1).otherwise(1).cast("long").alias("delta"),
+        none.cast("string").alias("op"), none.cast("string").alias("label"),
+    )
+    asked = changes.select(
+        "record_id", "change_time", F.lit(1).alias("kind"), none.cast("int").alias("guard"),
+        F.lit(0).cast("long").alias("delta"), "op", F.col("label").cast("string").alias("label"),
+    )
+    return came.unionByName(asked)
+
+
+def guarded_rows(rows: DataFrame, used: list[Column], table: str, thing: str, guards: Guards) -> Decision:
+    """Log rows of changes, deletes refused where a guard's children are in use."""
+    rules = [((F.col("op") == "D") & hit, refuse(*guard)) for hit, guard in zip(used, guards)]
+    return Decision(
+        rows.select(*audit_columns(table, thing, F.col("change_time")), first_refusal(*rules).alias("refusal")), "record_id"
+    )
+
+
+def audit_feed(changes: DataFrame, children: DataFrame, table: str, thing: str, guards: Guards) -> Decision:
+    """Log rows of a timed change feed; a delete is refused while children are there at its time.
+
+    ``changes``: (op, record_id, label, change_time); ``children``: (guard, op, record_id,
+    change_time), where guard counts ``guards`` from 0. The children there before a change are
+    a running sum, scanned in ranges, so a record of very many children is split.
+    """
+    deltas = {f"_d{i}": F.when(F.col("guard") == i, F.col("delta")).otherwise(0) for i in range(len(guards))}
+    events = guard_events(changes, children).withColumns(deltas)
+    scanned = range_scan(events, ["record_id"], ["change_time", "kind"], {f"_n{i}": f"_d{i}" for i in range(len(guards))})
+    used = [F.coalesce(F.col(f"_n{i}"), F.lit(0)) > 0 for i in range(len(guards))]
+    return guarded_rows(scanned.where("kind = 1"), used, table, thing, guards)
+
+
 def equipment_status(items: DataFrame) -> DataFrame:
     """Status an equipment gets from its items: borrowed, then damaged or lost, else free."""
     borrowed = F.max(F.col("item_status") == "BORROWING")

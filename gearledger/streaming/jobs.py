@@ -44,10 +44,10 @@ def run_audit(changes: DataFrame, table: str, thing: str) -> DataFrame:
     )
     query.awaitTermination()
     # The log's schema is known, so a feed without files gives no rows.
-    return spark.read.schema(audit_log(changes, table, thing).schema).parquet(_made(spark, log))
+    return spark.read.schema(audit_log(changes, table, thing).schema).parquet(made(spark, log))
 
 
-def _made(spark: SparkSession, path: str) -> str:
+def made(spark: SparkSession, path: str) -> str:
     """A folder that may not have been written because nothing came."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
@@ -89,7 +89,7 @@ def run_totals(changes: DataFrame) -> DataFrame:
     query.awaitTermination()
     fields = f"{', '.join(f'{n} {k}' for n, k in totals.dtypes)}, batch long"
     return (
-        spark.read.schema(fields).parquet(_made(spark, out))
+        spark.read.schema(fields).parquet(made(spark, out))
         .groupBy("rental_id")
         .agg(F.max_by("total_amount", "batch").alias("total_amount"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF
 from gearledger.operators import audit
-from gearledger.streaming import jobs
+from gearledger.streaming import jobs, keyed
 
 
 @pytest.fixture
@@ -67,3 +67,112 @@ def test_a_feed_without_files_gives_no_rows(spark, changes, tmp_path):
     assert jobs.run_totals(feed).count() == 0
     log = jobs.run_audit(feed, "RENTAL_ITEMS", "rental item")
     assert log.count() == 0 and "description" in log.columns
+
+
+FEED = "op string, record_id long, label string, change_time timestamp_ntz"
+CHILDREN = "guard int, op string, record_id long, change_time timestamp_ntz"
+GUARDS = (("rental_delete", -20062), ("rental_delete", -20063))
+
+
+def written(spark, rows, ddl, path, chunk):
+    """Rows as files of a feed, in their order."""
+    for n in range(0, len(rows), chunk):
+        spark.createDataFrame(rows[n : n + chunk], ddl).coalesce(1).write.mode("append").parquet(path)
+
+
+def moments(seed, n):
+    import datetime
+    import random
+
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda k: start + datetime.timedelta(hours=k)
+    changes = [(rng.choice("IUDD"), rng.randint(1, 12), f"R{k}", at(rng.randint(0, 200))) for k in range(n)]
+    children = []
+    for _ in range(n):
+        guard, record, came = rng.randint(0, 1), rng.randint(1, 14), rng.randint(0, 200)
+        children.append((guard, "I", record, at(came)))
+        if rng.random() < 0.6:
+            children.append((guard, "D", record, at(came + rng.randint(0, 40))))
+    changes += [("D", 99, None, at(5)), ("D", None, "nobody", at(5))]
+    return changes, children
+
+
+def brute_guards(changes, children):
+    out = []
+    for op, record, label, at in changes:
+        code = None
+        for guard, (_, number) in enumerate(GUARDS):
+            there = sum(1 if o == "I" else -1 for g, o, r, t in children if g == guard and r == record and t <= at)
+            if op == "D" and record is not None and there > 0 and code is None:
+                code = number
+        out.append((op, record, at, code))
+    return sorted(out, key=repr)
+
+
+def decided(decision):
+    named = {"INSERT": "I", "UPDATE": "U", "DELETE": "D"}
+    rows = decision.outcome("action", "record_id", "action_time").collect()
+    return sorted(((named[r.action], r.record_id and int(r.record_id), r.action_time, r.code) for r in rows), key=repr)
+
+
+def test_deletes_are_guarded_at_their_time(spark):
+    changes, children = moments(3, 60)
+    got = audit.audit_feed(spark.createDataFrame(changes, FEED), spark.createDataFrame(children, CHILDREN), "RENTALS", "rental", GUARDS)
+    assert decided(got) == brute_guards(changes, children)
+    assert {c for *_, c in decided(got)} == {None, -20062, -20063}
+
+
+@pytest.mark.parametrize("files", [1, 50])
+def test_guarded_stream_equals_batch(spark, tmp_path, files):
+    """Feeds in the order of time: in small batches, stopped and gone on with, and in one."""
+    changes, children = moments(4, 40)
+    changes, children = sorted(changes, key=lambda r: r[3]), sorted(children, key=lambda r: r[3])
+    middle = changes[len(changes) // 2][3]
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    for early in (True, False):
+        for rows, ddl, name in ((changes, FEED, "changes"), (children, CHILDREN, "children")):
+            part = [r for r in rows if (r[3] <= middle) == early]
+            written(spark, part, ddl, str(tmp_path / name), 1000 if early else len(part))
+        feeds = [jobs.file_stream(spark, str(tmp_path / name), files) for name in ("changes", "children")]
+        got = keyed.run_guarded_audit(*feeds, "RENTALS", "rental", GUARDS, log, state)
+    assert decided(got) == brute_guards(changes, children)
+
+
+def test_latest_value_goes_back_after_deletes(spark, tmp_path):
+    """Inserts, updates and deletes in any batches, stopped and gone on with."""
+    import random
+
+    rng = random.Random(7)
+    live, events = {}, []
+    for row in range(120):
+        if live and rng.random() < 0.45:
+            gone = rng.choice(list(live))
+            events.append((*live.pop(gone), -1))
+        live[row] = (rng.randint(1, 6), rng.randint(0, 30), rng.randint(1, 500))
+        events.append((*live[row], 1))
+    rows = [(k, sign, value, amount) for k, value, amount, sign in events]
+    ddl, path = "key long, sign long, value long, amount long", str(tmp_path / "feed")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    got = None
+    for half in (rows[:100], rows[100:]):
+        written(spark, half, ddl, path, 17)
+        got = keyed.run_tracked(jobs.file_stream(spark, path, files_per_trigger=2), out, state).collect()
+    want = {}
+    for k, value, amount in live.values():
+        n, total, latest = want.get(k, (0, 0, -1))
+        want[k] = (n + 1, total + amount, max(latest, value))
+    assert {r.key: (r.n, r.total, r.latest) for r in got} == want
+
+
+def test_results_of_a_feed_equal_the_batch(spark, changes):
+    """Deletes that empty a key remove it; a delete before its insert is owed."""
+    ddl = "key long, sign long, value long, amount long"
+    rows = [(1, 1, 5, 10), (1, -1, 5, 10), (2, -1, 9, 3), (2, 1, 9, 3), (2, 1, 4, 1), (3, 1, 2, 2), (3, 1, 2, 2), (3, -1, 2, 2)]
+    feed = spark.createDataFrame(rows, ddl)
+    path = changes + "-signed"
+    written(spark, rows, ddl, path, 1)
+    got = keyed.run_tracked(jobs.file_stream(spark, path, files_per_trigger=1))
+    batch = feed.groupBy("key").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("amount")).alias("total")).where("n > 0")
+    assert sorted((r.key, r.n, r.total) for r in got.collect()) == sorted(map(tuple, batch.collect()))
+    assert {r.key: r.latest for r in got.collect()} == {2: 4, 3: 2}
