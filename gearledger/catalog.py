@@ -23,7 +23,7 @@ from .operators.rejects import Decision
 from .plans import lookups, reports, views
 from .sources import schemas, store
 from .sources.mapping import RentalTables
-from .streaming import jobs
+from .streaming import jobs, keyed
 
 AS_OF = "2024-07-01 00:00:00"
 CLIENT = "192.0.2.10"  # an address reserved for documentation
@@ -55,7 +55,8 @@ def edge(df: DataFrame) -> DataFrame:
 
 # Queries that read the numbered items several times write them once instead.
 ITEMS_ONCE = (
-    "dq1_", "dq3_", "dq4_", "tr1_check", "tr11_", "tr12_", "tr14_", "sp7_", "sp10_",
+    "dq1_", "dq3_", "dq4_", "tr1_check", "tr11_", "tr12_", "tr14_", "sp7_", "sp9_", "sp10_",
+    "rp2_", "rp3_", "vw5_", "fn4_",
 )
 
 
@@ -631,10 +632,9 @@ def _(t: RentalTables) -> DataFrame:
 # ---------------------------------------------------------------- triggers
 
 
-@query("tr1_check_new_items")
-def _(t: RentalTables) -> DataFrame:
-    """The whole item table as one insert batch, in id order, into an empty table."""
-    items = t["rental_items"].withColumns(
+def _arriving(items: DataFrame) -> DataFrame:
+    """Items with some broken values."""
+    return items.withColumns(
         {
             "quantity": F.when(F.col("rental_item_id") % 47 == 0, 0).otherwise(
                 F.col("quantity")
@@ -645,8 +645,23 @@ def _(t: RentalTables) -> DataFrame:
             ),
         }
     )
+
+
+@query("tr1_check_new_items")
+def _(t: RentalTables) -> DataFrame:
+    """The whole item table as one insert batch, in id order, into an empty table."""
     none = t["rental_items"].where(F.lit(False))
-    return checks.check_items(items, none, t["equipments"]).outcome(
+    return checks.check_items(_arriving(t["rental_items"]), none, t["equipments"]).outcome(
+        "rental_item_id", "rental_id", "equipment_id", "subtotal"
+    )
+
+
+@query("tr1_check_second_batch")
+def _(t: RentalTables) -> DataFrame:
+    """Every second item arrives where the others are stored already."""
+    second = F.pmod(F.col("rental_item_id"), F.lit(2)) == 1
+    stored = t["rental_items"].where(~second)
+    return checks.check_items(_arriving(t["rental_items"].where(second)), stored, t["equipments"]).outcome(
         "rental_item_id", "rental_id", "equipment_id", "subtotal"
     )
 
@@ -916,3 +931,57 @@ def _(t: RentalTables) -> DataFrame:
         )
     )
     return jobs.run_totals(feed)
+
+
+def _rental_feeds(orders: DataFrame, again: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes of rentals, and the items and invoices that come to them and leave them."""
+    changes = orders.select(
+        F.when(F.col("o_orderstatus") == "P", "I").when(F.col("o_orderstatus") == "O", "U").otherwise("D").alias("op"),
+        F.col("o_orderkey").alias("record_id"),
+        C.code_text("RC", F.col("o_orderkey"), 9).alias("label"),
+        F.expr("CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '30' DAY ELSE o_orderdate END").alias("change_time"),
+    )
+    items = lines.select(
+        F.lit(0).alias("guard"), F.col("l_orderkey").alias("record_id"),
+        F.inline(F.array_compact(F.array(
+            F.struct(F.lit("I").alias("op"), F.col("l_shipdate").alias("change_time")),
+            F.when(F.col("l_returnflag") == "R", F.struct(F.lit("D").alias("op"), F.expr("l_shipdate + INTERVAL '20' DAY").alias("change_time"))),
+        ))),
+    )
+    invoices = again.where("o_orderkey % 5 = 0").select(
+        F.lit(1).alias("guard"), F.col("o_orderkey").alias("record_id"), F.lit("I").alias("op"),
+        F.expr("o_orderdate + INTERVAL '10' DAY").alias("change_time"),
+    )
+    return changes, items.unionByName(invoices)
+
+
+RENTAL_GUARDS = (("rental_delete", -20062), ("rental_delete", -20063))
+
+
+@query("tr4_audit_rental_feed")
+def _(t: RentalTables) -> DataFrame:
+    """Deletes of a timed feed against the children that are there at that time."""
+    read = lambda name: t.spark.read.parquet(f"{t.folder}/{name}.parquet")
+    feeds = _rental_feeds(read("orders"), read("orders"), read("lineitem"))
+    return audit.audit_feed(*feeds, "RENTALS", "rental", RENTAL_GUARDS).outcome(*_LOG)
+
+
+@query("str3_guarded_audit_stream")
+def _(t: RentalTables) -> DataFrame:
+    """The same feed as a stream: the children of every rental are its state."""
+    stream = lambda name: jobs.file_stream(t.spark, f"{t.folder}/{name}.parquet")
+    feeds = _rental_feeds(stream("orders"), stream("orders"), stream("lineitem"))
+    return keyed.run_guarded_audit(*feeds, "RENTALS", "rental", RENTAL_GUARDS).outcome(*_LOG)
+
+
+@query("str4_latest_returns")
+def _(t: RentalTables) -> DataFrame:
+    """Items returned per rental: number, value and latest return; some returns are taken back later."""
+    undone = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 2 == 0)
+    feed = jobs.file_stream(t.spark, f"{t.folder}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("rental_id"), F.col("l_shipdate").alias("return_date"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
+        F.explode(F.array_compact(F.array(F.lit("I"), F.when(undone, F.lit("D"))))).alias("op"),
+    )
+    kept = keyed.run_tracked(keyed.row_changes(feed, "rental_id", "return_date", "amount"))
+    return keyed.as_results(kept, "rental_id", "latest_return", "amount")

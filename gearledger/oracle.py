@@ -800,6 +800,46 @@ _add("tr1_check_new_items", ("rental_items", "equipments"),
                      FROM mains x LEFT JOIN equipments m ON m.equipment_id = x.main_id))""",
      _ITEMS)
 
+# Stored items come before all that arrive, are sound whatever they hold, and are not judged again.
+_MORE_ITEMS = f"""arriving AS MATERIALIZED (
+    SELECT i.rental_item_id, i.rental_id, i.equipment_id, abs(i.rental_item_id) % 2 AS fresh,
+           CASE WHEN abs(i.rental_item_id) % 2 = 1 AND i.rental_item_id % 47 = 0 THEN 0 ELSE i.quantity END AS quantity, i.days,
+           CASE WHEN abs(i.rental_item_id) % 2 = 0 OR i.rental_item_id % 43 <> 0 THEN i.price_per_day END AS price_per_day,
+           CASE WHEN i.rental_item_id % 41 = 0 THEN 'BROKEN' ELSE i.item_status END AS item_status,
+           e.equipment_type, e.status, e.category_id, e.mount_type
+    FROM rental_items i JOIN equipments e ON e.equipment_id = i.equipment_id),
+later AS MATERIALIZED (
+    SELECT *, CASE WHEN fresh = 0 THEN NULL WHEN quantity <= 0 THEN 'item_check/-20040'
+                   WHEN price_per_day IS NULL THEN 'item_check/-20041'
+                   WHEN item_status = 'BROKEN' THEN 'item_check/-20042'
+                   WHEN status <> 'AVAILABLE' THEN 'item_available/-20050' END AS late
+    FROM arriving),
+firsts AS MATERIALIZED (
+    SELECT * FROM later WHERE late IS NULL
+    QUALIFY row_number() OVER (PARTITION BY rental_id ORDER BY fresh, rental_item_id) = 1),
+seconds AS MATERIALIZED (
+    SELECT x.* FROM later x JOIN firsts m ON m.rental_id = x.rental_id
+    WHERE x.late IS NULL AND x.equipment_id <> m.equipment_id
+      AND (x.fresh = 0 OR x.equipment_type = 'MAIN' OR {_PAIR.format(m='m', x='x')} IS NULL)
+    QUALIFY row_number() OVER (PARTITION BY x.rental_id ORDER BY x.fresh, x.rental_item_id) = 1),
+mains AS MATERIALIZED (
+    SELECT x.*, CASE WHEN (m.fresh, m.rental_item_id) < (x.fresh, x.rental_item_id) AND m.equipment_id <> x.equipment_id
+                     THEN m.equipment_id
+                     WHEN (s.fresh, s.rental_item_id) < (x.fresh, x.rental_item_id) AND s.equipment_id <> x.equipment_id
+                     THEN s.equipment_id END AS main_id
+    FROM later x LEFT JOIN firsts m ON m.rental_id = x.rental_id
+    LEFT JOIN seconds s ON s.rental_id = x.rental_id
+    WHERE x.fresh = 1)"""
+_add("tr1_check_second_batch", ("rental_items", "equipments"),
+     f"""SELECT rental_item_id, rental_id, equipment_id,
+                CASE WHEN verdict IS NULL THEN CAST(quantity * days * price_per_day AS DOUBLE) END AS subtotal,
+                source, code, {_message()} AS message
+         FROM (SELECT *, split_part(verdict, '/', 1) AS source, CAST(split_part(verdict, '/', 2) AS BIGINT) AS code
+               FROM (SELECT x.*, coalesce(CASE WHEN x.equipment_type = 'ACCESSORY' AND x.main_id IS NOT NULL
+                            THEN 'compatibility/' || CAST({_PAIR.format(m='m', x='x')} AS VARCHAR) END, x.late) AS verdict
+                     FROM mains x LEFT JOIN equipments m ON m.equipment_id = x.main_id))""",
+     _MORE_ITEMS)
+
 
 def _log(table: str, thing: str, label: str, key: str) -> str:
     return f"""CASE abs({key}) % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action,
@@ -1012,3 +1052,29 @@ _SQL["str2_running_totals"] = """
                     * CAST(l_quantity AS BIGINT) * l_linenumber
                     * CASE WHEN p_partkey % 6 = 5 THEN 0 ELSE p_size + 5 END) AS DOUBLE) AS total_amount
     FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"""
+
+_FEED = f"""WITH changes AS (
+    SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'P' THEN 'I' WHEN 'O' THEN 'U' ELSE 'D' END AS op,
+           CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY ELSE o_orderdate END AS at FROM orders
+), told AS (
+    SELECT k, op, at,
+           (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.k AND l_shipdate <= c.at)
+           - (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.k AND l_returnflag = 'R'
+                AND l_shipdate + INTERVAL 20 DAY <= c.at) AS items,
+           (SELECT count(*) FROM orders o WHERE o.o_orderkey = c.k AND o.o_orderkey % 5 = 0
+                AND o.o_orderdate + INTERVAL 10 DAY <= c.at) AS invoices
+    FROM changes c
+), judged AS (
+    SELECT *, CASE WHEN op = 'D' AND items > 0 THEN -20062 WHEN op = 'D' AND invoices > 0 THEN -20063 END AS code FROM told)
+SELECT CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS action, 'RENTALS' AS table_name,
+       CAST(k AS VARCHAR) AS record_id, at AS action_time,
+       CASE op WHEN 'I' THEN 'Inserted' WHEN 'U' THEN 'Updated' ELSE 'Deleted' END || ' rental ' || {_code('RC', 'k', 9)} AS description,
+       CASE WHEN code IS NOT NULL THEN 'rental_delete' END AS source, CAST(code AS BIGINT) AS code,
+       {_message("'rental_delete'")} AS message
+FROM judged"""
+_SQL["tr4_audit_rental_feed"] = _FEED
+_SQL["str3_guarded_audit_stream"] = _FEED
+_SQL["str4_latest_returns"] = """
+    SELECT l_orderkey AS rental_id, count(*) AS "rows", CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS DOUBLE) AS amount,
+           max(l_shipdate) AS latest_return
+    FROM lineitem WHERE NOT (l_linestatus = 'O' AND l_linenumber % 2 = 0) GROUP BY 1"""
