@@ -51,7 +51,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 # share of equal registers.
 FLOOR, NEAR = 0.6, 0.58
 # Pivots go on while a round adds this part of all links; blocks find what is left.
-PAYS_OFF, PIVOT_ROUNDS = 0.1, 4
+PAYS_OFF, PIVOT_ROUNDS = 0.1, 2
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 PEELS = 2
 PIECE = 4096
