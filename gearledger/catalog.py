@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .functions import columns as C
 from .functions import sqlfuncs
 from .operators import (
-    audit, billing, checks, fees, numbering, quality, rentals, settlement, stock,
+    audit, billing, checks, fees, numbering, quality, rentals, settlement, stock, timeline,
 )
 from .operators.rejects import Decision
 from .plans import lookups, reports, views
@@ -985,3 +985,36 @@ def _(t: RentalTables) -> DataFrame:
     )
     kept = keyed.run_tracked(keyed.row_changes(feed, "rental_id", "return_date", "amount"))
     return keyed.as_results(kept, "rental_id", "latest_return", "amount")
+
+
+# ---------------------------------------------------------------- values by time
+
+
+@query("rp7_status_at")
+def _(t: RentalTables) -> DataFrame:
+    """The status that an equipment had got from its items at the time of each order."""
+    lines = t.spark.read.parquet(f"{t.folder}/lineitem.parquet")
+    orders = t.spark.read.parquet(f"{t.folder}/orders.parquet")
+    events = lines.select(
+        F.col("l_partkey").alias("equipment_id"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "N", "MAINTENANCE").when(F.col("l_returnflag") == "A", "DISABLED").otherwise("AVAILABLE").alias("status"),
+    )
+    moments = orders.select(F.col("o_custkey").alias("equipment_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("order_id"))
+    return timeline.as_of(events, moments, ["equipment_id"], "at", ["l_orderkey", "l_linenumber"], ["status"])
+
+
+@query("sp7_tax_by_date")
+def _(t: RentalTables) -> DataFrame:
+    """Orders taxed at their own date, by terms that overlap and leave gaps."""
+    orders = t.spark.read.parquet(f"{t.folder}/orders.parquet")
+    suppliers = t.spark.read.parquet(f"{t.folder}/supplier.parquet")
+    since = F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(cast(s_suppkey * 37 % 2400 AS INT))")
+    taxes = suppliers.select(
+        C.code_text("TX", F.col("s_suppkey"), 4).alias("tax_id"), F.expr("cast(s_suppkey % 13 AS decimal(5,2))").alias("tax_rate"),
+        F.expr("cast(s_suppkey % 7 <> 0 AS int)").alias("is_active"), since.alias("effective_from"),
+        (since + F.expr("make_dt_interval(cast(s_suppkey % 41 AS INT))")).alias("effective_to"),
+    )
+    rows = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("invoice_date"), F.col("o_totalprice").cast("decimal(12,2)").alias("amount"))
+    return billing.taxes_by_date(rows, "invoice_date", taxes).select(
+        "order_id", "invoice_date", "tax_id", C.percent_of(F.col("amount"), F.col("tax_rate")).alias("tax_amount")
+    )

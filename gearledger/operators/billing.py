@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import settle
 from . import fees
+from . import timeline
 from .numbering import dense_number, top_key
 from .rejects import Decision, first_refusal, refuse
 
@@ -63,6 +64,17 @@ def valid_tax(taxes: DataFrame, as_of: str) -> Column:
     )
 
 
+def taxes_by_date(rows: DataFrame, date: str, taxes: DataFrame) -> DataFrame:
+    """The rows with the tax (tax_id, tax_rate) in force on each row's own date, NULL where none is.
+
+    The same choice as ``valid_tax``, date by date, without comparing rows with validity ranges.
+    """
+    rank = F.struct((-F.unix_micros(F.col("effective_from").cast("timestamp"))).alias("start"), F.col("tax_id"))
+    value = F.struct("tax_id", "tax_rate")
+    found = timeline.in_force(rows, date, taxes.where("is_active = 1"), "effective_from", "effective_to", rank, value, "_tax")
+    return found.select(*rows.columns, F.col("_tax.tax_id").alias("tax_id"), F.col("_tax.tax_rate").alias("tax_rate"))
+
+
 def deposit_payments(
     commands: DataFrame,
     rentals: DataFrame,

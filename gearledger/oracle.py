@@ -1055,19 +1055,19 @@ _SQL["str2_running_totals"] = """
 
 _FEED = f"""WITH changes AS (
     SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'P' THEN 'I' WHEN 'O' THEN 'U' ELSE 'D' END AS op,
-           CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY ELSE o_orderdate END AS at FROM orders
+           CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY ELSE o_orderdate END AS due FROM orders
 ), told AS (
-    SELECT k, op, at,
-           (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.k AND l_shipdate <= c.at)
+    SELECT k, op, due,
+           (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.k AND l_shipdate <= c.due)
            - (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.k AND l_returnflag = 'R'
-                AND l_shipdate + INTERVAL 20 DAY <= c.at) AS items,
+                AND l_shipdate + INTERVAL 20 DAY <= c.due) AS items,
            (SELECT count(*) FROM orders o WHERE o.o_orderkey = c.k AND o.o_orderkey % 5 = 0
-                AND o.o_orderdate + INTERVAL 10 DAY <= c.at) AS invoices
+                AND o.o_orderdate + INTERVAL 10 DAY <= c.due) AS invoices
     FROM changes c
 ), judged AS (
     SELECT *, CASE WHEN op = 'D' AND items > 0 THEN -20062 WHEN op = 'D' AND invoices > 0 THEN -20063 END AS code FROM told)
 SELECT CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS action, 'RENTALS' AS table_name,
-       CAST(k AS VARCHAR) AS record_id, at AS action_time,
+       CAST(k AS VARCHAR) AS record_id, due AS action_time,
        CASE op WHEN 'I' THEN 'Inserted' WHEN 'U' THEN 'Updated' ELSE 'Deleted' END || ' rental ' || {_code('RC', 'k', 9)} AS description,
        CASE WHEN code IS NOT NULL THEN 'rental_delete' END AS source, CAST(code AS BIGINT) AS code,
        {_message("'rental_delete'")} AS message
@@ -1078,3 +1078,23 @@ _SQL["str4_latest_returns"] = """
     SELECT l_orderkey AS rental_id, count(*) AS "rows", CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS DOUBLE) AS amount,
            max(l_shipdate) AS latest_return
     FROM lineitem WHERE NOT (l_linestatus = 'O' AND l_linenumber % 2 = 0) GROUP BY 1"""
+
+_SQL["rp7_status_at"] = """
+    WITH last AS (
+        SELECT l_partkey, l_shipdate,
+               arg_max(CASE l_returnflag WHEN 'N' THEN 'MAINTENANCE' WHEN 'A' THEN 'DISABLED' ELSE 'AVAILABLE' END,
+                       l_orderkey * 100 + l_linenumber) AS status
+        FROM lineitem GROUP BY 1, 2)
+    SELECT o_custkey AS equipment_id, o_orderdate AS at, o_orderkey AS order_id, status
+    FROM orders ASOF LEFT JOIN last ON l_partkey = o_custkey AND o_orderdate >= l_shipdate"""
+_SQL["sp7_tax_by_date"] = f"""
+    WITH taxes AS (
+        SELECT {_code('TX', 's_suppkey', 4)} AS tax_id, s_suppkey % 13 AS rate, s_suppkey % 7 <> 0 AS active,
+               TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey * 37 % 2400 AS INTEGER)) AS since,
+               TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey * 37 % 2400 + s_suppkey % 41 AS INTEGER)) AS until FROM supplier
+    ), picked AS (
+        SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents, tax_id, rate
+        FROM orders LEFT JOIN taxes ON active AND o_orderdate BETWEEN since AND until
+        QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY since DESC, tax_id) = 1)
+    SELECT o_orderkey AS order_id, o_orderdate AS invoice_date, tax_id,
+           CAST(CAST((cents * rate + 50) // 100 AS BIGINT) AS DOUBLE) / 100 AS tax_amount FROM picked"""
