@@ -28,37 +28,32 @@ ROLES = ("ADMIN", "STAFF", "MANAGER", "SUPPORT", "SALES")
 INACTIVE_EMPLOYEES = (4,)
 CATEGORIES = ("Camera", "Lens", "Lighting", "Tripod", "Audio", "Accessories")
 
-# Price, price per day, purchase date, mount, total and available stock of
-# EQ001 to EQ022; four rows per category, two in the last.
+# Price, price per day, purchase date, mount, yearly depreciation, deposit share,
+# high-value flag, total and available stock of EQ001 to EQ022; four rows per category, two in the last.
 EQUIPMENTS = (
-    (60000000, 500000, "2022-01-01", "RF", 2, 1),
-    (55000000, 450000, "2021-06-15", "E", 2, 2),
-    (50000000, 400000, "2022-03-10", "Z", 1, 1),
-    (38000000, 300000, "2021-11-20", "X", 1, 1),
-    (25000000, 200000, "2022-02-01", "RF", 2, 1),
-    (22000000, 180000, "2021-09-01", "E", 2, 2),
-    (20000000, 150000, "2022-05-01", "Z", 1, 1),
-    (21000000, 170000, "2021-08-10", "EF", 1, 1),
-    (7000000, 50000, "2021-07-01", None, 2, 2),
-    (6000000, 40000, "2022-01-10", None, 2, 1),
-    (10000000, 80000, "2021-12-01", None, 1, 1),
-    (8000000, 60000, "2022-04-01", None, 1, 1),
-    (5000000, 30000, "2021-06-01", None, 2, 1),
-    (4000000, 25000, "2021-09-01", None, 1, 1),
-    (3500000, 20000, "2022-01-01", None, 1, 1),
-    (9000000, 70000, "2022-02-01", None, 1, 1),
-    (3000000, 20000, "2021-05-01", None, 2, 1),
-    (3500000, 25000, "2021-08-01", None, 1, 1),
-    (7000000, 50000, "2022-03-01", None, 1, 1),
-    (800000, 10000, "2021-04-01", None, 2, 2),
-    (1500000, 0, "2022-01-01", None, 3, 3),
-    (300000, 0, "2022-01-01", None, 3, 3),
+    (60000000, 500000, "2022-01-01", "RF", "0.10", "0.30", 1, 2, 1),
+    (55000000, 450000, "2021-06-15", "E", "0.10", "0.30", 1, 2, 2),
+    (50000000, 400000, "2022-03-10", "Z", "0.10", "0.30", 1, 1, 1),
+    (38000000, 300000, "2021-11-20", "X", "0.12", "0.25", 0, 1, 1),
+    (25000000, 200000, "2022-02-01", "RF", "0.10", "0.20", 0, 2, 1),
+    (22000000, 180000, "2021-09-01", "E", "0.10", "0.20", 0, 2, 2),
+    (20000000, 150000, "2022-05-01", "Z", "0.10", "0.20", 0, 1, 1),
+    (21000000, 170000, "2021-08-10", "EF", "0.10", "0.20", 0, 1, 1),
+    (7000000, 50000, "2021-07-01", None, "0.15", "0.10", 0, 2, 2),
+    (6000000, 40000, "2022-01-10", None, "0.15", "0.10", 0, 2, 1),
+    (10000000, 80000, "2021-12-01", None, "0.15", "0.10", 0, 1, 1),
+    (8000000, 60000, "2022-04-01", None, "0.15", "0.10", 0, 1, 1),
+    (5000000, 30000, "2021-06-01", None, "0.15", "0.10", 0, 2, 1),
+    (4000000, 25000, "2021-09-01", None, "0.15", "0.10", 0, 1, 1),
+    (3500000, 20000, "2022-01-01", None, "0.15", "0.10", 0, 1, 1),
+    (9000000, 70000, "2022-02-01", None, "0.15", "0.10", 0, 1, 1),
+    (3000000, 20000, "2021-05-01", None, "0.15", "0.10", 0, 2, 1),
+    (3500000, 25000, "2021-08-01", None, "0.15", "0.10", 0, 1, 1),
+    (7000000, 50000, "2022-03-01", None, "0.15", "0.10", 0, 1, 1),
+    (800000, 10000, "2021-04-01", None, "0.15", "0.10", 0, 2, 2),
+    (1500000, 0, "2022-01-01", None, "0.20", "0.00", 0, 3, 3),
+    (300000, 0, "2022-01-01", None, "0.20", "0.00", 0, 3, 3),
 )
-# Yearly depreciation and deposit share per category; EQ004 has its own.
-RATES = (("0.10", "0.30"), ("0.10", "0.20"), ("0.15", "0.10"), ("0.15", "0.10"),
-         ("0.15", "0.10"), ("0.20", "0.00"))
-EQ004_RATES = ("0.12", "0.25")
-HIGH_VALUE = (1, 2, 3)
 
 # Tax id, name, percent, active, first and last day.
 TAXES = (
@@ -74,14 +69,13 @@ def _day(text: str) -> dt.datetime:
 
 def _equipment_rows() -> list[tuple]:
     rows = []
-    for n, (price, per_day, bought, mount, _total, _free) in enumerate(EQUIPMENTS, start=1):
+    for n, (price, per_day, bought, mount, rate, deposit, high_value, *_stock) in enumerate(EQUIPMENTS, start=1):
         category = (n - 1) // 4
-        rate, deposit = EQ004_RATES if n == 4 else RATES[category]
         rows.append((
             f"EQ{n:03d}", f"{CATEGORIES[category]} {n:02d}",
             "ACCESSORY" if category == 5 else "MAIN", "AVAILABLE", None, Decimal(price),
             Decimal(price), Decimal(per_day), Decimal(rate), 0, _day(bought), None, None, mount,
-            f"CAT{category + 1:02d}", int(n in HIGH_VALUE), Decimal(deposit), CREATED,
+            f"CAT{category + 1:02d}", high_value, Decimal(deposit), CREATED,
         ))
     return rows
 
