@@ -51,7 +51,7 @@ requests_strategy = st.lists(
 )
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(lines=requests_strategy, stocks=st.lists(st.integers(0, 30), min_size=3, max_size=4),
        stream=st.sampled_from([0, 10**6]), head=st.sampled_from([7, 10**5]))
 def test_allocation_equals_sequential(spark, lines, stocks, stream, head):

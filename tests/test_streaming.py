@@ -156,7 +156,7 @@ def test_latest_value_goes_back_after_deletes(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     got = None
     for half in (rows[:100], rows[100:]):
-        written(spark, half, ddl, path, 17)
+        written(spark, half, ddl, path, 30)
         got = keyed.run_tracked(jobs.file_stream(spark, path, files_per_trigger=2), out, state).collect()
     want = {}
     for k, value, amount in live.values():
@@ -171,7 +171,7 @@ def test_results_of_a_feed_equal_the_batch(spark, changes):
     rows = [(1, 1, 5, 10), (1, -1, 5, 10), (2, -1, 9, 3), (2, 1, 9, 3), (2, 1, 4, 1), (3, 1, 2, 2), (3, 1, 2, 2), (3, -1, 2, 2)]
     feed = spark.createDataFrame(rows, ddl)
     path = changes + "-signed"
-    written(spark, rows, ddl, path, 1)
+    written(spark, rows, ddl, path, 2)
     got = keyed.run_tracked(jobs.file_stream(spark, path, files_per_trigger=1))
     batch = feed.groupBy("key").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("amount")).alias("total")).where("n > 0")
     assert sorted((r.key, r.n, r.total) for r in got.collect()) == sorted(map(tuple, batch.collect()))
