@@ -393,24 +393,24 @@ def test_false_starts_take_no_longer(spark):
 
 
 def test_a_group_just_below_the_threshold_stays_apart(spark):
-    """1,200 texts at 0.67 to 0.74 of one another, none linked but one pair; no pair leaves a block without a link."""
+    """800 texts at 0.67 to 0.74 of one another, none linked but one pair; no pair leaves a block without a link."""
     from gearledger.llm import neardup
 
     rng = random.Random(13)
     origin = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
     texts = []
-    for k in range(1200):
+    for k in range(800):
         words = origin[:]
         for at in rng.sample(range(0, 995, 5), 19):
             words[at + rng.randint(0, 4)] = f"e{k}x{at}"
         texts.append(" ".join(words))
     texts.append(texts[0].replace(" e0x", " f0x", 1))
     sets = [set(neardup.shingles(t).tolist()) for t in texts]
-    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in (rng.sample(range(1200), 2) for _ in range(3000))]
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in (rng.sample(range(800), 2) for _ in range(3000))]
     assert max(near) < 0.75 and sum(0.67 <= j for j in near) > 1500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
-    assert got == {d: (0 if d == 1200 else d) for d in range(1201)}
+    assert got == {d: (0 if d == 800 else d) for d in range(801)}
 
 
 def test_token_files_are_read_from_their_path_alone(spark, tmp_path):
