@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from ..sources import schemas as S
 
 Tables = Mapping[str, DataFrame]
@@ -49,130 +50,231 @@ def _rows(tables: Tables, table: str, rules: list[tuple[str, Column, Column]]) -
     return hits.select(*_violation(F.col("v.rule"), table, F.col("key"), F.col("v.detail")))
 
 
+def _stacked(tables: Tables, entries: Mapping[str, list[Column]]) -> DataFrame:
+    """The entries of every table (structs of one shape; null: none) as rows, one scan per table."""
+    return _union(
+        [
+            tables[table].select(F.inline(F.array_compact(F.array(*listed))))
+            for table, listed in entries.items()
+        ]
+    )
+
+
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def _repeated(tables: Tables, primary: bool, single: bool) -> DataFrame:
+    """Key rules by one aggregation over the stacked values of all tables.
+
+    Primary keys may be neither NULL nor used twice; unique columns only not used twice.
+    """
+    entries: dict[str, list[Column]] = {}
+
+    def add(rule: str, table: str, key: tuple[str, ...], present: Column) -> None:
+        entry = F.struct(
+            F.lit(rule).alias("rule_id"),
+            F.lit(table).alias("table_name"),
+            F.array(*[_text(c) for c in key]).alias("value"),
+        )
+        entries.setdefault(table, []).append(F.when(present, entry))
+
+    if primary:
+        for table, key in S.PRIMARY_KEYS.items():
+            add(f"pk:{table}", table, key, F.lit(True))
+    if single:
+        for table, column in S.UNIQUE:
+            add(f"unique:{table}.{column}", table, (column,), F.col(column).isNotNull())
+    groups = _stacked(tables, entries).groupBy("rule_id", "table_name", "value").agg(
+        F.count("*").alias("n")
+    )
+    # NULL parts only reach this point in primary keys.
+    broken = groups.where((F.col("n") > 1) | F.exists("value", lambda part: part.isNull()))
+    shown = F.transform("value", lambda part: F.coalesce(part, F.lit("NULL")))
+    return broken.select(
+        "rule_id", "table_name", F.concat_ws("/", shown).alias("key"),
+        F.col("n").cast("string").alias("detail"),
+    )
+
+
 def primary_keys(tables: Tables) -> DataFrame:
     """Keys that are NULL or used more than once."""
-    frames = []
-    for table, key in S.PRIMARY_KEYS.items():
-        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
-        groups = tables[table].groupBy(*key).agg(F.count("*").alias("n"))
-        frames.append(
-            groups.where((F.col("n") > 1) | missing).select(
-                *_violation(F.lit(f"pk:{table}"), table, key_text(table), F.col("n"))
-            )
-        )
-    return _union(frames)
+    return _repeated(tables, primary=True, single=False)
 
 
 def unique(tables: Tables) -> DataFrame:
     """Values of unique columns used more than once; NULL may repeat."""
-    frames = []
-    for table, column in S.UNIQUE:
-        groups = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(
-            F.count("*").alias("n")
-        )
-        frames.append(
-            groups.where("n > 1").select(
-                *_violation(
-                    F.lit(f"unique:{table}.{column}"), table, F.col(column).cast("string"),
-                    F.col("n"),
-                )
-            )
-        )
-    return _union(frames)
+    return _repeated(tables, primary=False, single=True)
+
+
+TARGETS: tuple[tuple[str, str], ...] = tuple(
+    dict.fromkeys((parent, column) for _, _, parent, column in S.FOREIGN_KEYS)
+)
 
 
 def foreign_keys(tables: Tables) -> DataFrame:
-    """Rows whose parent does not exist; a NULL reference passes."""
+    """Rows whose parent does not exist; a NULL reference passes.
+
+    Every table is scanned once: it stacks its own keys and the values that refer to others, and
+    one aggregation, combined before the shuffle, tells by a bit per rule who mentions a value;
+    bit 0 is the parent itself. Values without that bit are written down. Only tables whose
+    rules have such values are scanned again to list the rows; nothing of them is shuffled
+    while the values are few enough for Spark to broadcast them by their written size.
+    """
+    entries: dict[str, list[Column]] = {}
+
+    def add(table: str, column: str, target: int, bit: int) -> None:
+        entry = F.struct(
+            F.lit(target).alias("target"), _text(column).alias("value"),
+            F.lit(1 << bit).cast("bigint").alias("bits"),
+        )
+        entries.setdefault(table, []).append(F.when(F.col(column).isNotNull(), entry))
+
+    for target, (parent, column) in enumerate(TARGETS):
+        add(parent, column, target, 0)
+    for bit, (table, column, *parent) in enumerate(S.FOREIGN_KEYS, start=1):
+        add(table, column, TARGETS.index(tuple(parent)), bit)
+    mentioned = _stacked(tables, entries).groupBy("target", "value").agg(
+        F.bit_or("bits").alias("bits")
+    )
+    orphans = settle(mentioned.where(F.col("bits").bitwiseAND(1) == 0))
+    # One row: the union of all bits, so at most one flag per rule reaches the driver.
+    broken = orphans.agg(F.bit_or("bits")).first()[0] or 0
     frames = []
-    for table, column, parent, target in S.FOREIGN_KEYS:
-        needed = list(dict.fromkeys([*S.PRIMARY_KEYS[table], column]))
-        child = tables[table].where(F.col(column).isNotNull()).select(*needed)
-        known = tables[parent].select(F.col(target).alias("_parent"))
-        orphans = child.join(known, F.col(column) == F.col("_parent"), "left_anti")
-        frames.append(
-            orphans.select(
-                *_violation(
-                    F.lit(f"fk:{table}.{column}"), table, key_text(table), F.col(column)
+    for bit, (table, column, *parent) in enumerate(S.FOREIGN_KEYS, start=1):
+        if broken >> bit & 1:
+            lost = orphans.where(
+                (F.col("target") == TARGETS.index(tuple(parent)))
+                & (F.col("bits").bitwiseAND(1 << bit) != 0)
+            ).select(F.col("value").alias("_value"))
+            needed = dict.fromkeys([*S.PRIMARY_KEYS[table], column])
+            rows = tables[table].select(*needed).join(lost, _text(column) == F.col("_value"))
+            frames.append(
+                rows.select(
+                    *_violation(
+                        F.lit(f"fk:{table}.{column}"), table, key_text(table), F.col(column)
+                    )
                 )
             )
-        )
+    if not frames:
+        nothing = _violation(F.lit("fk"), "", F.col("value"), F.col("value"))
+        return orphans.where(F.lit(False)).select(*nothing)
     return _union(frames)
 
 
-def _row_family(rules: dict[str, list[tuple[str, Column, Column]]]) -> Callable[[Tables], DataFrame]:
-    def run(tables: Tables) -> DataFrame:
-        return _union([_rows(tables, table, table_rules) for table, table_rules in rules.items()])
-
-    return run
+Rules = dict[str, list[tuple[str, Column, Column]]]
 
 
-def not_null(tables: Tables) -> DataFrame:
-    """NULLs in required columns, one pass per table."""
-    rules: dict[str, list] = {}
+def _not_null() -> Rules:
+    rules: Rules = {}
     for table in S.TABLES:
         for c in S.columns(table):
             if c.required and c.name not in S.PRIMARY_KEYS[table]:
                 rules.setdefault(table, []).append(
                     (f"null:{table}.{c.name}", F.col(c.name).isNull(), F.lit("NULL"))
                 )
-    return _row_family(rules)(tables)
+    return rules
 
 
-def enumerations(tables: Tables) -> DataFrame:
-    """Values outside their list; NULL passes."""
-    rules: dict[str, list] = {}
+def _enumerations() -> Rules:
+    rules: Rules = {}
     for table, column, values in S.ENUMS:
         rules.setdefault(table, []).append(
             (f"enum:{table}.{column}", ~F.col(column).isin(*values), F.col(column))
         )
-    return _row_family(rules)(tables)
+    return rules
 
 
-def flags(tables: Tables) -> DataFrame:
-    """Flags other than 0 and 1."""
-    rules: dict[str, list] = {}
+def _flags() -> Rules:
+    rules: Rules = {}
     for table, column in S.FLAGS:
         rules.setdefault(table, []).append(
             (f"flag:{table}.{column}", ~F.col(column).isin(0, 1), F.col(column))
         )
-    return _row_family(rules)(tables)
+    return rules
 
 
-def ranges(tables: Tables) -> DataFrame:
-    """Numbers outside their range; NULL passes."""
-    rules: dict[str, list] = {}
+def _ranges() -> Rules:
+    rules: Rules = {}
     for table, name, shown, holds in S.RANGES:
         rules.setdefault(table, []).append(
             (f"range:{table}.{name}", ~F.expr(holds), F.col(shown))
         )
-    return _row_family(rules)(tables)
+    return rules
+
+
+def _payment_references() -> Rules:
+    broken = ~F.expr(S.PAYMENT_REFERENCE)
+    return {"payments": [("reference:payments", broken, F.col("payment_type"))]}
+
+
+def _bucket_sums() -> Rules:
+    return {"inventory": [("sum:inventory", ~F.expr(S.BUCKET_SUM), F.col("total_quantity"))]}
+
+
+ROW_RULES: dict[str, Callable[[], Rules]] = {
+    "not_null": _not_null,
+    "enumerations": _enumerations,
+    "flags": _flags,
+    "ranges": _ranges,
+    "payment_references": _payment_references,
+    "bucket_sums": _bucket_sums,
+}
+
+
+def row_rules(tables: Tables, families: list[str]) -> DataFrame:
+    """Broken row rules of the families named, one scan per table for all of them."""
+    merged: Rules = {}
+    for family in families:
+        for table, rules in ROW_RULES[family]().items():
+            merged.setdefault(table, []).extend(rules)
+    return _union([_rows(tables, table, rules) for table, rules in merged.items()])
+
+
+def not_null(tables: Tables) -> DataFrame:
+    """NULLs in required columns."""
+    return row_rules(tables, ["not_null"])
+
+
+def enumerations(tables: Tables) -> DataFrame:
+    """Values outside their list; NULL passes."""
+    return row_rules(tables, ["enumerations"])
+
+
+def flags(tables: Tables) -> DataFrame:
+    """Flags other than 0 and 1."""
+    return row_rules(tables, ["flags"])
+
+
+def ranges(tables: Tables) -> DataFrame:
+    """Numbers outside their range; NULL passes."""
+    return row_rules(tables, ["ranges"])
 
 
 def payment_references(tables: Tables) -> DataFrame:
     """Payments whose type does not fit their references."""
-    rule = ("reference:payments", ~F.expr(S.PAYMENT_REFERENCE), F.col("payment_type"))
-    return _rows(tables, "payments", [rule])
+    return row_rules(tables, ["payment_references"])
 
 
 def bucket_sums(tables: Tables) -> DataFrame:
     """Inventory rows whose buckets do not add up to the total."""
-    rule = ("sum:inventory", ~F.expr(S.BUCKET_SUM), F.col("total_quantity"))
-    return _rows(tables, "inventory", [rule])
-
-
-FAMILIES: dict[str, Callable[[Tables], DataFrame]] = {
-    "primary_keys": primary_keys,
-    "unique": unique,
-    "foreign_keys": foreign_keys,
-    "not_null": not_null,
-    "enumerations": enumerations,
-    "flags": flags,
-    "ranges": ranges,
-    "payment_references": payment_references,
-    "bucket_sums": bucket_sums,
-}
+    return row_rules(tables, ["bucket_sums"])
+
+
+FAMILIES: tuple[str, ...] = ("primary_keys", "unique", "foreign_keys", *ROW_RULES)
 
 
 def check(tables: Tables, families: list[str] | None = None) -> DataFrame:
-    """All violations of the chosen rule families."""
-    return _union([FAMILIES[name](tables) for name in families or FAMILIES])
+    """All violations of the chosen rule families (all families: None).
+
+    Key rules share one scan per table, row rules another, references a third.
+    """
+    chosen = FAMILIES if families is None else families
+    frames = []
+    if {"primary_keys", "unique"} & set(chosen):
+        frames.append(_repeated(tables, "primary_keys" in chosen, "unique" in chosen))
+    if "foreign_keys" in chosen:
+        frames.append(foreign_keys(tables))
+    if by_row := [family for family in ROW_RULES if family in chosen]:
+        frames.append(row_rules(tables, by_row))
+    return _union(frames)

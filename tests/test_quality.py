@@ -80,3 +80,29 @@ def test_broken_rows_are_found(spark, clean):
         ("reference:payments", "P3", "REFUND"),
         ("reference:payments", "P5", "NULL")}  # false without any reference; P7 is unknown and passes
     assert found(quality.bucket_sums(bad)) == {("sum:inventory", "IV001", "2")}
+
+
+def test_all_families_at_once_equal_each_alone(spark, clean):
+    bad = dict(clean)
+    bad["inventory"] = clean["inventory"].withColumn("equipment_id", F.lit("EQ999"))
+    bad["taxes"] = clean["taxes"].withColumn("tax_id", F.lit(None).cast("string"))
+    alone = [found(quality.check(bad, [family])) for family in quality.FAMILIES]
+    assert found(quality.check(bad)) == set().union(*alone)
+    assert len(found(quality.foreign_keys(bad))) == clean["inventory"].count()
+    assert ("pk:taxes", "NULL", str(clean["taxes"].count())) in alone[0]
+
+
+def test_parts_of_a_key_do_not_run_together(spark, clean):
+    pairs = [("A", "B/C"), ("A/B", "C"), (None, "C"), (None, "C"), ("NULL", "C")]
+    bad = dict(clean)
+    bad["equipment_accessories"] = spark.createDataFrame(pairs, "equipment_id string, accessory_id string")
+    assert found(quality.primary_keys(bad)) == {("pk:equipment_accessories", "NULL/C", "2")}
+    lost = found(quality.foreign_keys(bad))
+    assert {(r, d) for r, _, d in lost} == {
+        (f"fk:equipment_accessories.{c}", v) for i, c in enumerate(("equipment_id", "accessory_id"))
+        for v in {p[i] for p in pairs} if v}
+
+
+def test_one_aggregation_serves_all_keys(clean):
+    plan = quality.primary_keys(clean)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
