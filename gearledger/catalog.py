@@ -21,11 +21,13 @@ from .operators import (
 )
 from .operators.rejects import Decision
 from .plans import lookups, reports, views
+from .session import new_path
 from .sources import schemas, store
 from .sources.mapping import RentalTables
 from .streaming import jobs, keyed
 
 AS_OF = "2024-07-01 00:00:00"
+STORED_PARTS = 16  # parts of the tables that the stored upsert and delete write
 CLIENT = "192.0.2.10"  # an address reserved for documentation
 
 Query = Callable[[RentalTables], DataFrame]
@@ -127,9 +129,21 @@ def _(t: RentalTables) -> DataFrame:
     )
 
 
-def _rental_delete(t: RentalTables) -> tuple[DataFrame, Decision]:
-    return store.delete(
-        t["rentals"],
+@query("snk3_upsert_by_parts")
+def _(t: RentalTables) -> DataFrame:
+    """The upsert on a stored table, of which only the parts of paid invoices are rewritten."""
+    paid = billing.paid_invoices(
+        billing.pay_invoices(t["pay_invoice_commands"], t["invoices"])
+    )
+    path = store.write_keyed(
+        t["invoices"], new_path(t.spark, "keyed"), "invoices", "invoice_id", STORED_PARTS
+    )
+    store.upsert_keyed(path, paid, "invoice_id")
+    return store.read_keyed(t.spark, path).select("invoice_id", "status", "final_amount")
+
+
+def _rental_delete_request(t: RentalTables) -> tuple[DataFrame, str, list]:
+    return (
         t["rentals"].where("status = 'CREATED' OR due_date < TIMESTAMP_NTZ '1998-01-01'"),
         "rental_id",
         [
@@ -139,12 +153,26 @@ def _rental_delete(t: RentalTables) -> tuple[DataFrame, Decision]:
     )
 
 
+def _rental_delete(t: RentalTables) -> tuple[DataFrame, Decision]:
+    return store.delete(t["rentals"], *_rental_delete_request(t))
+
+
 @query("snk4_guarded_delete")
 def _(t: RentalTables) -> DataFrame:
     kept, _refused = _rental_delete(t)
     return kept.select("rental_id", "rental_code", "status")
 
 
+@query("snk4_delete_by_parts")
+def _(t: RentalTables) -> DataFrame:
+    """The guarded delete on a stored table, of which only the parts of deleted rows are rewritten."""
+    path = store.write_keyed(
+        t["rentals"], new_path(t.spark, "keyed"), "rentals", "rental_id", STORED_PARTS
+    )
+    store.delete_keyed(path, *_rental_delete_request(t))
+    return store.read_keyed(t.spark, path).select("rental_id", "rental_code", "status")
+
+
 @query("snk4_guarded_delete_rejects")
 def _(t: RentalTables) -> DataFrame:
     return _rental_delete(t)[1].rejects

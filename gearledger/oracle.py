@@ -156,28 +156,30 @@ _PAY_DECIDED = """decided AS (
                 THEN -20010 END AS code
     FROM pay_invoice_commands c
     LEFT JOIN invoices i ON i.invoice_id = c.invoice_id AND i.status = 'PENDING')"""
-_add(
-    "snk3_keyed_upsert",
-    _PAY,
-    """SELECT i.invoice_id,
-              CASE WHEN i.invoice_id IN (SELECT invoice_id FROM decided WHERE code IS NULL)
-                   THEN 'PAID' ELSE i.status END AS status,
-              CAST(i.final_amount AS DOUBLE) AS final_amount
-       FROM invoices i""",
-    _PAY_DECIDED,
-)
+for _name in ("snk3_keyed_upsert", "snk3_upsert_by_parts"):
+    _add(
+        _name,
+        _PAY,
+        """SELECT i.invoice_id,
+                  CASE WHEN i.invoice_id IN (SELECT invoice_id FROM decided WHERE code IS NULL)
+                       THEN 'PAID' ELSE i.status END AS status,
+                  CAST(i.final_amount AS DOUBLE) AS final_amount
+           FROM invoices i""",
+        _PAY_DECIDED,
+    )
 _DELETE = """asked AS (
     SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM rental_items i WHERE i.rental_id = r.rental_id) THEN -20062
                      WHEN EXISTS (SELECT 1 FROM invoices v WHERE v.rental_id = r.rental_id) THEN -20063
                 END AS code,
            (r.status = 'CREATED' OR r.due_date < TIMESTAMP '1998-01-01 00:00:00') AS wanted
     FROM rentals r)"""
-_add(
-    "snk4_guarded_delete",
-    ("rentals", "rental_items", "invoices"),
-    "SELECT rental_id, rental_code, status FROM asked WHERE NOT wanted OR code IS NOT NULL",
-    _DELETE,
-)
+for _name in ("snk4_guarded_delete", "snk4_delete_by_parts"):
+    _add(
+        _name,
+        ("rentals", "rental_items", "invoices"),
+        "SELECT rental_id, rental_code, status FROM asked WHERE NOT wanted OR code IS NOT NULL",
+        _DELETE,
+    )
 _add(
     "snk4_guarded_delete_rejects",
     ("rentals", "rental_items", "invoices"),

@@ -1,18 +1,21 @@
 """Rental tables on disk: scans, appends with defaults, keyed upserts and guarded deletes.
 
-A change never rewrites the files it reads: every operation returns the new table, and
-``write_table`` puts it in a new folder.
+``append``, ``upsert`` and ``delete`` return the new table, and ``write_table`` puts it in a new
+folder. A table written by ``write_keyed`` lies in parts by the hash of its key; ``upsert_keyed``
+and ``delete_keyed`` read and rewrite only the parts that hold a changed key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.rejects import Decision, first_refusal, refuse
+from ..session import settle
 from .schemas import DEFAULTS, columns, schema
 
 
@@ -111,3 +114,88 @@ def delete(
     decision = Decision(asked.select(key, refusal.alias("refusal")), key)
     kept = current.join(decision.accepted.select(key), key, "left_anti")
     return kept, decision
+
+
+PART = "part_of_"  # the folder of a row names the number of parts too: part_of_100=17
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def write_keyed(df: DataFrame, root: str, table: str, key: str, parts: int) -> str:
+    """Write a table in ``parts`` parts by the hash of its key, to a folder that must not exist yet.
+
+    ``parts`` should grow with the table, so that a part stays at some hundred megabytes.
+    """
+    path, column = f"{root}/{table}", f"{PART}{parts}"
+    dealt = df.withColumn(column, _part(F.col(key), parts)).repartition(parts, column)
+    dealt.write.mode("errorifexists").partitionBy(column).parquet(path)
+    # A file without rows states the columns of a table that has none yet.
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    empty.write.mode("append").parquet(f"{path}/{column}=0")
+    return path
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table written by ``write_keyed``, without the column of the parts."""
+    stored = spark.read.parquet(path)
+    return stored.drop(_part_column(stored))
+
+
+def _part_column(stored: DataFrame) -> str:
+    return next(c for c in stored.columns if c.startswith(PART))
+
+
+def _rewrite_parts(
+    path: str, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame]
+) -> list[int]:
+    """Replace the parts that hold one of the keys by ``change`` of their rows; their numbers.
+
+    The new rows are written to the shared folder before a part is touched, and a repeated call
+    with the same change gives the same rows, so that a job cut off while it replaces parts is
+    run again. Parts left without rows become a file that only holds the columns.
+    """
+    spark = keys.sparkSession
+    stored = spark.read.parquet(path)
+    column = _part_column(stored)
+    parts = int(column.removeprefix(PART))
+    kind = dict(stored.dtypes)[key]
+    # Hashes depend on the type, so keys are read as the stored type. At most one number per
+    # part reaches the driver.
+    of_keys = keys.select(_part(F.col(key).cast(kind), parts).alias("part"))
+    touched = sorted(r.part for r in of_keys.distinct().collect())
+    if not touched:
+        return []
+    rows = settle(change(stored.where(F.col(column).isin(touched))))
+    left = {r[0] for r in rows.select(column).distinct().collect()}
+    rows.repartition(column).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(column).parquet(path)
+    for number in touched:
+        if number not in left:
+            empty = spark.createDataFrame([], rows.drop(column).schema)
+            empty.write.mode("overwrite").parquet(f"{path}/{column}={number}")
+    return touched
+
+
+def upsert_keyed(path: str, changes: DataFrame, key: str) -> list[int]:
+    """``upsert`` on a stored table; only the parts of the changed keys are read and rewritten."""
+    return _rewrite_parts(path, changes, key, lambda rows: upsert(rows, changes, key))
+
+
+def delete_keyed(
+    path: str,
+    keys: DataFrame,
+    key: str,
+    guards: list[tuple[DataFrame, str, tuple[str, int]]] = (),
+) -> tuple[list[int], Decision]:
+    """``delete`` on a stored table; only the parts of the deleted keys are read and rewritten.
+
+    Returns the numbers of these parts and the decision over the asked keys that were found.
+    """
+    stored = read_keyed(keys.sparkSession, path)
+    _, decision = delete(stored, keys, key, guards)
+    decided = Decision(settle(decision.frame), key)
+    gone = decided.accepted.select(key)
+    return _rewrite_parts(path, gone, key, lambda rows: rows.join(gone, key, "left_anti")), decided

@@ -1,6 +1,7 @@
 """Reading and writing tables, and the plans a scan gets."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,56 @@ def test_guarded_delete(spark):
     assert {(r.key, r.code) for r in decision.rejects.collect()} == {("B", -20062), ("C", -20063)}
 
 
+def parts_of(path):
+    """The files of every part and the time they were written."""
+    parts = {}
+    for file in Path(path).rglob("*.parquet"):
+        parts.setdefault(file.parent.name, set()).add((file.name, file.stat().st_mtime_ns))
+    return parts
+
+
+def changed(before, after):
+    return {part for part in before.keys() | after.keys() if before.get(part) != after.get(part)}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_upsert_rewrites_only_touched_parts(spark, tmp_path, kind):
+    current = spark.range(2000).selectExpr(f"cast(id AS {kind}) AS k", "id % 7 AS v", "'x' AS w")
+    changes = spark.range(10).selectExpr("id * 211 AS k", "CASE WHEN id <> 3 THEN -id END AS v")
+    path = store.write_keyed(current, str(tmp_path), "t", "k", 100)
+    before = parts_of(path)
+    touched = store.upsert_keyed(path, changes, "k")
+    assert len(before) == 100 and 0 < len(touched) <= 10
+    assert changed(before, parts_of(path)) == {f"part_of_100={n}" for n in touched}
+    wanted = store.upsert(current, changes.withColumn("k", F.col("k").cast(kind)), "k")
+    got = store.read_keyed(spark, path).select("k", "v", "w")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    assert store.upsert_keyed(path, changes.where("k < 0"), "k") == []
+
+
+def test_keyed_delete_of_whole_parts_and_of_all_rows(spark, tmp_path):
+    current = spark.range(40).selectExpr("id AS k", "cast(id AS string) AS v")
+    path = store.write_keyed(current, str(tmp_path), "t", "k", 100)
+    before = parts_of(path)
+    child = spark.createDataFrame([(4,), (4,), (5,)], "parent bigint")
+    touched, decision = store.delete_keyed(
+        path, current.where("k < 6"), "k", [(child, "parent", ("rental_delete", -20062))])
+    assert {r.k for r in store.read_keyed(spark, path).collect()} == set(range(4, 40))
+    assert {(r.key, r.code) for r in decision.rejects.collect()} == {("4", -20062), ("5", -20062)}
+    assert len(touched) <= 4 and changed(before, parts_of(path)) == {f"part_of_100={n}" for n in touched}
+    store.delete_keyed(path, current, "k")
+    assert store.read_keyed(spark, path).count() == 0
+    assert store.read_keyed(spark, path).columns == ["k", "v"]
+
+
+def test_keyed_table_without_rows(spark, tmp_path):
+    empty = spark.createDataFrame([], "k bigint, v string")
+    path = store.write_keyed(empty, str(tmp_path), "t", "k", 10)
+    assert store.read_keyed(spark, path).schema == empty.schema
+    assert store.upsert_keyed(path, spark.createDataFrame([(1, "a")], "k bigint, v string"), "k") != []
+    assert store.read_keyed(spark, path).count() == 0  # an upsert changes rows that are there
+
+
 def test_view_plans_read_only_what_they_show(spark, folder):
     t = RentalTables(spark, folder)
     plan = plan_of(views.inventory_status(t["inventory"], t["equipments"], t["rental_items"]))
