@@ -211,6 +211,16 @@ def _(t: RentalTables) -> DataFrame:
     return lookups.customers_in_box(t["customers"], 10.75, 10.80, 106.65, 106.75)
 
 
+@query("fl5_customers_in_box_by_place")
+def _(t: RentalTables) -> DataFrame:
+    """The box on a table whose files are laid out by place."""
+    path = store.write_by_place(
+        t["customers"], new_path(t.spark, "placed"), "customers", STORED_PARTS
+    )
+    customers = t.spark.read.parquet(path)
+    return lookups.customers_in_box(customers, 10.75, 10.80, 106.65, 106.75)
+
+
 @query("fl6_rental_report")
 def _(t: RentalTables) -> DataFrame:
     return lookups.rental_report(t["rentals"], "1996-01-01 00:00:00", "1999-01-01 00:00:00")

@@ -203,9 +203,10 @@ _add("fl3_equipment_by_make_and_mount", ("equipments",),
         WHERE brand = 'Brand#17' AND model = 'ECONOMY' AND mount_type = 'Z'""")
 _add("fl4_customers_by_status", ("customers",),
      "SELECT customer_id, full_name, status FROM customers WHERE status = 'INACTIVE'")
-_add("fl5_customers_in_box", ("customers",),
-     """SELECT customer_id, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude
-        FROM customers WHERE latitude BETWEEN 10.75 AND 10.80 AND longitude BETWEEN 106.65 AND 106.75""")
+for _name in ("fl5_customers_in_box", "fl5_customers_in_box_by_place"):
+    _add(_name, ("customers",),
+         """SELECT customer_id, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude
+            FROM customers WHERE latitude BETWEEN 10.75 AND 10.80 AND longitude BETWEEN 106.65 AND 106.75""")
 _add("fl6_rental_report", ("rentals",),
      """SELECT status, CAST(date_trunc('month', rental_date) AS TIMESTAMP) AS month, count(*) AS rental_count,
                CAST(sum(total_amount) AS DOUBLE) AS total_amount

@@ -116,6 +116,41 @@ def delete(
     return kept, decision
 
 
+PLACE_BITS = 16  # bits of each coordinate in a place code: cells of about 300 m by 600 m
+
+
+def place(latitude: Column, longitude: Column) -> Column:
+    """Code of a place that takes the bits of both coordinates in turn; NULL if one is missing."""
+
+    def cell(degrees: Column, span: int) -> Column:
+        share = (degrees.cast("double") + span / 2) / span
+        number = F.floor(share * (1 << PLACE_BITS)).cast("bigint")
+        return F.when(degrees.isNotNull(), F.least(F.greatest(number, F.lit(0)), F.lit((1 << PLACE_BITS) - 1)))
+
+    north, east = cell(latitude, 180), cell(longitude, 360)
+    code = F.lit(0).cast("bigint")
+    for bit in range(PLACE_BITS):
+        for shift, number in ((0, east), (1, north)):
+            one = F.shiftright(number, bit).bitwiseAND(1)
+            code = code.bitwiseOR(F.shiftleft(one, 2 * bit + shift))
+    return code
+
+
+def write_by_place(df: DataFrame, root: str, table: str, files: int) -> str:
+    """Write a table so that rows of near places share files, to a folder that must not exist yet.
+
+    Files and row groups then cover small boxes of latitude and longitude, and a filter on
+    both skips the others by the minima and maxima in their footers. Rows of one place, or
+    without a place, spread over files by the hash of the row.
+    """
+    path = f"{root}/{table}"
+    code = place(F.col("latitude"), F.col("longitude"))
+    order = [code, F.xxhash64(*[F.col(c) for c in df.columns])]
+    dealt = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    dealt.write.mode("errorifexists").parquet(path)
+    return path
+
+
 PART = "part_of_"  # the folder of a row names the number of parts too: part_of_100=17
 
 

@@ -84,6 +84,36 @@ def test_guarded_delete(spark):
     assert {(r.key, r.code) for r in decision.rejects.collect()} == {("B", -20062), ("C", -20063)}
 
 
+def rows_scanned(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_a_box_reads_only_files_of_near_places(spark, tmp_path):
+    spots = spark.range(6400).selectExpr(
+        "id AS customer_id",
+        "CASE WHEN id % 3 > 0 THEN cast(10 + (id * 7919 % 6400) / 6400 AS decimal(9,6)) END AS latitude",
+        "cast(106 + (id * 104729 % 6389) / 6389 AS decimal(9,6)) AS longitude")
+    store.write_table(spots.repartition(64), str(tmp_path), "any")
+    store.write_by_place(spots, str(tmp_path), "near", 64)
+    found = {}
+    for name in ("any", "near"):
+        box = lookups.customers_in_box(spark.read.parquet(f"{tmp_path}/{name}"), 10.1, 10.2, 106.1, 106.2)
+        found[name] = sorted(map(tuple, box.collect())), rows_scanned(box)
+    assert found["any"][0] == found["near"][0] and found["near"][0]
+    assert found["any"][1] == 6400 and found["near"][1] <= 6400 / 4
+    sizes = [r[1] for r in spark.read.parquet(f"{tmp_path}/near").groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 6400 / 16  # a third of the rows has no place
+
+
+def test_place_codes(spark):
+    row = spark.sql("SELECT 1").select(
+        *[store.place(F.lit(a).cast("double"), F.lit(b).cast("double")).alias(str(i))
+          for i, (a, b) in enumerate([(-90, -180), (90, 180), (-90, 0), (0, -180), (None, 1)])]).first()
+    assert tuple(row) == (0, 2**32 - 1, 2**30, 2**31, None)
+
+
 def parts_of(path):
     """The files of every part and the time they were written."""
     parts = {}
