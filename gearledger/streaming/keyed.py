@@ -1,8 +1,8 @@
 """Stateful streams: guarded deletes of a change feed, and results that follow inserts and deletes.
 
-Both keep one state per key (``applyInPandasWithState`` over a RocksDB store), see the events of a
-key in one batch together, and work on them as arrays. Sinks are exactly-once: the file sink,
-or one folder per batch that a repeated batch overwrites.
+The guards keep one state per key (``applyInPandasWithState`` over a RocksDB store) and see the
+events of a key in one batch together; results are a streaming aggregation. Sinks are
+exactly-once: the file sink, or one folder per batch that a repeated batch overwrites.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..session import new_path
 from .jobs import STATE_STORE, made
 
 GUARDED = "record_id long, op string, label string, change_time timestamp_ntz, guard int"
-TRACKED = "key long, n long, total long, latest long"
+TRACKED = "key long, value long, left long, total long"
 
 
 def _guard(guards: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
@@ -78,37 +78,26 @@ def run_guarded_audit(
     return guarded_rows(decided, used, table, thing, guards)
 
 
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count, total and latest value of one key; the state is its set of values with their counts."""
-    values, counts, n, total = (np.array(x, np.int64) for x in state.get) if state.exists else (np.zeros(0, np.int64),) * 2 + (np.int64(0),) * 2
-    events = pd.concat(list(batches))
-    sign = events["sign"].to_numpy(np.int64)
-    merged, place = np.unique(np.concatenate([values, events["value"].to_numpy(np.int64)]), return_inverse=True)
-    left = np.zeros(len(merged), np.int64)
-    np.add.at(left, place, np.concatenate([counts, sign]))
-    n, total = int(n) + int(sign.sum()), int(total) + int((sign * events["amount"].to_numpy(np.int64)).sum())
-    # A delete may come before its insert: what is owed stays in the set.
-    values, counts = merged[left != 0], left[left != 0]
-    state.update((values.tolist(), counts.tolist(), n, total))
-    here = values[counts > 0]
-    latest = pd.array([int(here[-1]) if len(here) else None], dtype="Int64")
-    yield pd.DataFrame({"key": [int(key[0])], "n": [n], "total": [total]}).assign(latest=latest)
-
-
 def tracked(changes: DataFrame) -> DataFrame:
-    """Per key, after each batch that touches it: rows, total amount and latest value that are left.
+    """Per key and value, after each batch that touches it: rows that are left and their total amount.
 
     ``changes``: (key, sign, value, amount); sign is 1 for a row that comes and -1 for one that
-    goes, an update is both. Deleting the latest value brings the one before it back.
+    goes, an update is both. A delete may come before its insert: what is owed stays as a
+    negative count.
     """
-    return changes.groupBy("key").applyInPandasWithState(
-        _track, TRACKED, "seen array<long>, counts array<long>, n long, total long", "update", GroupStateTimeout.NoTimeout
+    return changes.groupBy("key", "value").agg(
+        F.sum("sign").alias("left"), F.sum(F.col("sign") * F.col("amount")).alias("total")
     )
 
 
 def run_tracked(changes: DataFrame, out: str | None = None, state: str | None = None) -> DataFrame:
-    """Drain the feed and return the keys that have rows left; ``out`` and ``state`` go on with earlier ones."""
+    """Drain the feed and return (key, n, total, latest) of the keys that have rows left.
+
+    Deleting the latest value brings the one before it back. ``out`` and ``state`` go on with
+    earlier ones.
+    """
     spark = changes.sparkSession
+    # The state grows with the keys and their values: on disk, not in the heap.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out, state = out or new_path(spark, "tracked"), state or new_path(spark, "tracked-state")
 
@@ -124,8 +113,11 @@ def run_tracked(changes: DataFrame, out: str | None = None, state: str | None =
     )
     query.awaitTermination()
     written = spark.read.schema(f"{TRACKED}, batch long").parquet(made(spark, out))
-    last = written.groupBy("key").agg(F.max_by(F.struct("n", "total", "latest"), "batch").alias("_l"))
-    return last.select("key", "_l.*").where("n > 0")
+    last = written.groupBy("key", "value").agg(F.max_by(F.struct("left", "total"), "batch").alias("_l"))
+    return last.groupBy("key").agg(
+        F.sum("_l.left").alias("n"), F.sum("_l.total").alias("total"),
+        F.max(F.when(F.col("_l.left") > 0, F.col("value"))).alias("latest"),
+    ).where("n > 0")
 
 
 def row_changes(rows: DataFrame, key: str, value: str, amount: str, ops: str = "op") -> DataFrame:

@@ -176,3 +176,10 @@ def test_results_of_a_feed_equal_the_batch(spark, changes):
     batch = feed.groupBy("key").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("amount")).alias("total")).where("n > 0")
     assert sorted((r.key, r.n, r.total) for r in got.collect()) == sorted(map(tuple, batch.collect()))
     assert {r.key: r.latest for r in got.collect()} == {2: 4, 3: 2}
+
+
+def test_results_of_a_feed_need_no_python_call_per_key(spark, changes):
+    ddl, path = "key long, sign long, value long, amount long", changes + "-plan"
+    written(spark, [(1, 1, 5, 10)], ddl, path, 1)
+    plan = keyed.tracked(jobs.file_stream(spark, path))._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Aggregate" in plan
