@@ -1,74 +1,94 @@
 """Stateful streams: guarded deletes of a change feed, and results that follow inserts and deletes.
 
-The guards keep one state per key (``applyInPandasWithState`` over a RocksDB store) and see the
-events of a key in one batch together; results are a streaming aggregation. Sinks are
-exactly-once: the file sink, or one folder per batch that a repeated batch overwrites.
+Both work on whole micro-batches by joins, windows and aggregations; no key has a Python call of
+its own. The state of the guards is a table of counts next to the checkpoint, one folder per
+batch; that of the results is a streaming aggregation over a RocksDB store. A repeated batch
+overwrites its own folders, so the sinks are exactly-once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import Guards, guard_events, guarded_rows
+from ..operators.numbering import range_scan
 from ..operators.rejects import Decision
 from ..session import new_path
 from .jobs import STATE_STORE, made
 
 GUARDED = "record_id long, op string, label string, change_time timestamp_ntz, guard int"
 TRACKED = "key long, value long, left long, total long"
+# Batches after which the counts of all batches so far are written together.
+FOLD = 16
 
 
-def _guard(guards: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Changes of one record with the first guard that refuses them; the state counts its children."""
+def _held(spark: SparkSession, counts: str, batch_id: int, names: list[str]) -> DataFrame:
+    """Children per record and guard that the batches before ``batch_id`` left: the last fold and what came since."""
+    since = batch_id - batch_id % FOLD
+    paths = [f"{counts}/net-{b}" for b in range(since, batch_id)] + ([f"{counts}/fold-{since}"] if since else [])
+    fields = ", ".join(["record_id long", *[f"{n} long" for n in names]])
+    if not paths:
+        return spark.createDataFrame([], fields)
+    return _net(spark.read.schema(fields).parquet(*paths), {n: F.col(n) for n in names})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(batches)).sort_values(["change_time", "kind"], kind="stable")
-        held = np.array(state.get[0] if state.exists else [0] * guards, np.int64)
-        child = events["guard"].to_numpy()[:, None] == np.arange(guards)
-        counts = held + np.cumsum(child * events["delta"].to_numpy(np.int64)[:, None], axis=0)
-        state.update((counts[-1].tolist(),))
-        asked = events["kind"].to_numpy() == 1
-        used = (counts > 0) & (events["op"] == "D").to_numpy()[:, None]
-        first = np.where(used.any(axis=1), used.argmax(axis=1), -1)
-        told = events.loc[asked, ["record_id", "op", "label", "change_time"]]
-        yield told.assign(guard=first[asked].astype(np.int32))
 
-    return step
+def _net(rows: DataFrame, deltas: dict) -> DataFrame:
+    """Sums per record, without records whose sums are all zero."""
+    sums = rows.groupBy("record_id").agg(*[F.sum(d).alias(n) for n, d in deltas.items()])
+    return sums.where(F.greatest(F.lit(0), *[F.abs(n) for n in deltas]) > 0)
 
 
-def guarded_stream(changes: DataFrame, children: DataFrame, guards: Guards) -> DataFrame:
-    """Changes (op, record_id, label, change_time) with the number of the guard that refuses them, or -1.
+def guard_batch(events: DataFrame, held: DataFrame, guards: Guards) -> DataFrame:
+    """Changes of one batch with the number of the guard that refuses them, or -1.
 
-    ``children``: (guard, op, record_id, change_time), a child that comes to or leaves a record.
-    Events of one batch count in the order of their time, children first; those of a later
-    batch come after them.
+    Events count in the order of their time (without one: last), children first, after what is
+    ``held`` from earlier batches. The counts are a running sum, scanned in ranges, so a record
+    of very many children is split.
     """
-    events = guard_events(changes, children).withColumn("guard", F.coalesce("guard", F.lit(-1)))
-    return events.groupBy("record_id").applyInPandasWithState(
-        _guard(len(guards)), GUARDED, "counts array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    names = [f"_d{i}" for i in range(len(guards))]
+    deltas = {n: F.when(F.col("guard") == i, F.col("delta")).otherwise(0) for i, n in enumerate(names)}
+    here = events.withColumns(deltas)
+    asked = here.where("kind = 1 AND op = 'D'").select(F.col("record_id").alias("_r")).distinct()
+    before = held.join(asked, F.col("record_id").eqNullSafe(F.col("_r")), "left_semi").withColumn("kind", F.lit(-1))
+    order = [F.col("kind") >= 0, F.col("change_time").isNull(), "change_time", "kind"]
+    rows = here.unionByName(before, allowMissingColumns=True)
+    scanned = range_scan(rows, ["record_id"], order, {f"_n{i}": n for i, n in enumerate(names)}).where("kind = 1")
+    first = F.coalesce(*[F.when((F.col("op") == "D") & (F.col(f"_n{i}") > 0), i) for i in range(len(guards))], F.lit(-1))
+    return scanned.select("record_id", "op", "label", "change_time", first.cast("int").alias("guard"))
 
 
 def run_guarded_audit(
     changes: DataFrame, children: DataFrame, table: str, thing: str, guards: Guards,
     log: str | None = None, state: str | None = None,
 ) -> Decision:
-    """Drain both feeds into a log of decided changes; ``log`` and ``state`` go on with earlier ones."""
+    """Drain both feeds into a log of decided changes; ``log`` and ``state`` go on with earlier ones.
+
+    ``children``: (guard, op, record_id, change_time), a child that comes to or leaves a record.
+    Events of one batch count in the order of their time, children first; those of a later
+    batch come after them.
+    """
     spark = changes.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     log, state = log or new_path(spark, "guarded-log"), state or new_path(spark, "guarded-state")
+    counts, names = f"{state}-counts", [f"_d{i}" for i in range(len(guards))]
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # Written once and read in the caller's session, whose plans are adaptive.
+        path = new_path(spark, "guarded-batch")
+        batch.write.parquet(path)
+        events, held = spark.read.schema(batch.schema).parquet(path), _held(spark, counts, batch_id, names)
+        guard_batch(events, held, guards).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        deltas = {n: F.when(F.col("guard") == i, F.col("delta")).otherwise(0) for i, n in enumerate(names)}
+        _net(events.where("kind = 0"), deltas).write.mode("overwrite").parquet(f"{counts}/net-{batch_id}")
+        if (batch_id + 1) % FOLD == 0:
+            both = held.unionByName(spark.read.schema(held.schema).parquet(f"{counts}/net-{batch_id}"))
+            _net(both, {n: F.col(n) for n in names}).write.mode("overwrite").parquet(f"{counts}/fold-{batch_id + 1}")
+
     query = (
-        guarded_stream(changes, children, guards)
-        .writeStream.format("parquet")
-        .option("path", log)
+        guard_events(changes, children)
+        .writeStream.outputMode("append")
         .option("checkpointLocation", state)
-        .outputMode("append")
+        .foreachBatch(keep)
         .trigger(availableNow=True)
         .start()
     )

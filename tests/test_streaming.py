@@ -183,3 +183,25 @@ def test_results_of_a_feed_need_no_python_call_per_key(spark, changes):
     written(spark, [(1, 1, 5, 10)], ddl, path, 1)
     plan = keyed.tracked(jobs.file_stream(spark, path))._jdf.queryExecution().analyzed().toString()
     assert "Pandas" not in plan and "Aggregate" in plan
+
+
+def test_counts_of_many_batches_are_folded(spark, tmp_path, monkeypatch):
+    """One file per batch; a delete far behind its children still meets them, one without time comes last."""
+    import datetime
+
+    monkeypatch.setattr(keyed, "FOLD", 2)
+    at = lambda day: datetime.datetime(2024, 1, day)
+    children = [(0, "I", 1, at(1)), (1, "I", 2, at(1)), (0, "D", 1, at(2)), (1, "I", 1, at(3)), (0, "I", 3, None)]
+    changes = [("U", 9, "x", at(d)) for d in range(1, 5)] + [("D", r, "x", at(9)) for r in (1, 2, 3, 4)] + [("D", 3, "y", None)]
+    folder = {name: str(tmp_path / name) for name in ("changes", "children", "log", "state")}
+    written(spark, changes[:4], FEED, folder["changes"], 1)
+    written(spark, children[:4], CHILDREN, folder["children"], 1)
+    stream = lambda name: jobs.file_stream(spark, folder[name], 1)
+    for late in (False, True):
+        if late:
+            written(spark, changes[4:], FEED, folder["changes"], 5)
+            written(spark, children[4:], CHILDREN, folder["children"], 1)
+        got = keyed.run_guarded_audit(stream("changes"), stream("children"), "RENTALS", "rental", GUARDS, folder["log"], folder["state"])
+    codes = {(record, when): code for op, record, when, code in decided(got) if op == "D"}
+    assert codes == {(1, at(9)): -20063, (2, at(9)): -20063, (3, at(9)): None, (4, at(9)): None, (3, None): -20062}
+    assert (tmp_path / "state-counts" / "fold-4").exists()
