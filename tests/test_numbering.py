@@ -100,3 +100,13 @@ def test_many_moments_in_one_day(spark):
     got = numbering.dense_number_by_time(df, "t", "key", "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 3001))
     assert [(r.t, r.key) for r in got] == sorted((r.t, r.key) for r in got)
+
+
+def test_no_join_on_a_coarse_value(spark):
+    """Rows that share their coarse values are not brought together by them: they are shuffled once, by the finest level."""
+    df = spark.range(5000).selectExpr("id % 3 AS g", "CAST(NULL AS bigint) AS high", "id DIV 100 AS mid", "id AS k", "1 AS one")
+    counted = numbering.running_total(df, ["g"], ["high", "mid", "k"], {"n": "one"})
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(counted.collect(), key=lambda r: (r.g, r.k))
+    assert [r.n for r in rows] == [i for g in range(3) for i in range(len(range(g, 5000, 3)))]
+    assert counted.columns == ["g", "high", "mid", "k", "one", "n"]
