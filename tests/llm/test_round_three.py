@@ -432,3 +432,12 @@ def test_token_files_are_read_from_their_path_alone(spark, tmp_path):
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
     parts = spark.read.parquet(f"{path}/segments").select("part").distinct().count()
     assert parts > 20
+
+
+def test_copies_meet_the_weights_once(spark):
+    told = spark.createDataFrame(
+        [(i, 9, 1, 2, [5, 6], [1, 1]) for i in range(50)] + [(50, 9, 3, 4, [5], [2]), (51, 9, 5, 6, [], [])],
+        "doc_id long, n long, one long, two long, keys array<long>, counts array<long>",
+    ).repartition(5)
+    got = sorted((r.one, r.two, r.key, r.times) for r in toxicity.expressions(told).collect())
+    assert got == [(1, 2, 5, 1), (1, 2, 6, 1), (3, 4, 5, 2)]
