@@ -161,6 +161,11 @@ def encoder(vocabulary: Broadcast) -> Encoder:
     return ENCODERS[key]
 
 
+def forget() -> None:
+    """Drop the worker's encoder: what comes after encoding runs in the same workers."""
+    ENCODERS.clear()
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) written once, ids as packed integers."""
     spark = docs.sparkSession
@@ -182,6 +187,7 @@ def count_ids(encoded: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and how often; at most the vocabulary's size."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             found = np.bincount(np.frombuffer(b"".join(batch["ids"]), kind))
@@ -214,6 +220,7 @@ def compress(encoded: DataFrame, code: Broadcast, kind: str, bounds: np.ndarray,
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         own = code.value
         for batch in batches:
             ids = np.frombuffer(b"".join(batch["ids"]), kind).astype(np.int64)
@@ -310,20 +317,24 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     segments(dealt).write.parquet(f"{path}/segments")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files under a path."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files under a path.
+
+    The ids themselves may stay out, their checksum is of them all the same. Segments are decoded where they are read: only the places of the parts travel.
+    """
     code = read_code(spark, path)
     stored = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
     parts = stored.groupBy("part").agg(
         F.max(F.col("before") + F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("_n")
     )
-    # One row per part.
+    # One row per part: their number comes from the settings, not from the table.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("offset"))
-    placed = stored.join(offsets, "part").withColumn("before", F.col("before") + F.col("offset"))
+    placed = stored.join(F.broadcast(offsets), "part").withColumn("before", F.col("before") + F.col("offset"))
     shared = spark.sparkContext.broadcast(code)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         own = shared.value
         for batch in batches:
             for before, doc_ids, missing, sizes, stream, marks in zip(*(batch[c] for c in STORED)):
@@ -334,18 +345,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = own.decode(stream, np.frombuffer(marks, "<u8"), in_block).astype("<u4")
                 ends = np.cumsum(sizes)
                 parts = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-                yield pd.DataFrame({
+                rows = {
                     "doc_id": np.frombuffer(doc_ids, "<i8"),
                     "missing": np.frombuffer(missing, bool),
                     "start": before + ends - sizes,
                     "n_tokens": sizes,
                     "ids_crc32": [zlib.crc32(p) for p in parts],
-                    "ids": parts,
-                })
+                }
+                yield pd.DataFrame(rows | {"ids": parts} if with_ids else rows)
 
-    found = placed.select(*STORED).mapInPandas(
-        decode, "doc_id long, missing boolean, start long, n_tokens long, ids_crc32 long, ids binary"
-    )
+    schema = "doc_id long, missing boolean, start long, n_tokens long, ids_crc32 long"
+    found = placed.select(*STORED).mapInPandas(decode, schema + ", ids binary" if with_ids else schema)
     return found.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
 
 
@@ -354,4 +364,4 @@ def token_report(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_token_files(docs.select("doc_id", "text"), vocabulary, path, end_id)
-    return read_token_files(spark, path).drop("ids")
+    return read_token_files(spark, path, with_ids=False)

@@ -441,3 +441,21 @@ def test_copies_meet_the_weights_once(spark):
     ).repartition(5)
     got = sorted((r.one, r.two, r.key, r.times) for r in toxicity.expressions(told).collect())
     assert got == [(1, 2, 5, 1), (1, 2, 6, 1), (3, 4, 5, 2)]
+
+
+def test_segments_are_decoded_where_they_are_read(spark, tmp_path):
+    import public_tokenizers
+
+    from gearledger.llm import tokens
+
+    path = str(tmp_path / "files")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    tokens.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = tokens.read_token_files(spark, path)
+        assert read.count() == 40
+        assert "SortMergeJoin" not in read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
