@@ -13,3 +13,17 @@ def test_rental_tables_bound_what_a_task_reads(spark, folder):
     common.prepare(spark)
     for key, value in session.TASK_BYTES.items():
         assert spark.conf.get(key) != value
+
+
+def test_operators_keep_the_settings_a_session_began_with(spark, folder):
+    """r03, pipeline and op3_token_output: tasks of the size the session names, not Spark's default of 128 MB."""
+    own = spark.newSession()
+    for key in session.TASK_BYTES:
+        own.conf.set(key, "5m")
+    common.prepare(own)
+    assert {own.conf.get(key) for key in session.TASK_BYTES} == {"5m"}
+    RentalTables(own, folder)
+    RentalTables(own, folder)
+    assert {key: own.conf.get(key) for key in session.TASK_BYTES} == session.TASK_BYTES
+    common.prepare(own)
+    assert {own.conf.get(key) for key in session.TASK_BYTES} == {"5m"}
